@@ -9,12 +9,12 @@ from __future__ import annotations
 
 def bround(expr: str, digits: int) -> str:
     """Half-even rounding of the shortest decimal form of a double (= Spark bround)."""
-    return f"CAST(round_even(CAST(CAST(({expr}) AS VARCHAR) AS DECIMAL(38,17)), {digits}) AS DOUBLE)"
+    return f"CAST(round_even(CAST(CAST(({expr}) AS VARCHAR) AS DECIMAL(38,28)), {digits}) AS DOUBLE)"
 
 
 def hround(expr: str, digits: int) -> str:
     """Half-up rounding of the shortest decimal form of a double (= Spark round)."""
-    return f"CAST(round(CAST(CAST(({expr}) AS VARCHAR) AS DECIMAL(38,17)), {digits}) AS DOUBLE)"
+    return f"CAST(round(CAST(CAST(({expr}) AS VARCHAR) AS DECIMAL(38,28)), {digits}) AS DOUBLE)"
 
 
 def r6(expr: str) -> str:
@@ -99,3 +99,68 @@ SCORED = """scored AS (
   SELECT doc_id, quality AS y_true, toxic AS y_true_2,
          ((doc_id * 7919) % 1000) / 1000.0::DOUBLE AS y_prob
   FROM labels)"""
+
+
+def interp(cols, source: str = "obs", name: str = "interp", mode: str = "linear") -> str:
+    """Per-location linear interpolation by row (edges nearest) or ffill/bfill."""
+    nb = []
+    for c in cols:
+        nb.append(
+            f"last_value(CASE WHEN {c} IS NOT NULL THEN _rn END IGNORE NULLS) OVER wp AS {c}__prn, "
+            f"last_value({c} IGNORE NULLS) OVER wp AS {c}__pv, "
+            f"first_value(CASE WHEN {c} IS NOT NULL THEN _rn END IGNORE NULLS) OVER wn AS {c}__nrn, "
+            f"first_value({c} IGNORE NULLS) OVER wn AS {c}__nv"
+        )
+    outs = []
+    for c in cols:
+        if mode == "linear":
+            outs.append(
+                f"CASE WHEN {c} IS NOT NULL THEN {c} "
+                f"WHEN {c}__pv IS NOT NULL AND {c}__nv IS NOT NULL THEN "
+                f"({c}__nv - {c}__pv) / CAST({c}__nrn - {c}__prn AS DOUBLE) * CAST(_rn - {c}__prn AS DOUBLE) + {c}__pv "
+                f"ELSE coalesce({c}__pv, {c}__nv) END AS {c}"
+            )
+        else:
+            outs.append(f"coalesce({c}, {c}__pv, {c}__nv) AS {c}")
+    return f"""{name} AS (
+  SELECT * EXCLUDE ({', '.join(f'{c}__prn, {c}__pv, {c}__nrn, {c}__nv' for c in cols)}) REPLACE ({', '.join(outs)})
+  FROM (
+    SELECT *, {', '.join(nb)}
+    FROM (SELECT *, row_number() OVER (PARTITION BY location_id ORDER BY valid_time) AS _rn FROM {source}) i
+    WINDOW wp AS (PARTITION BY location_id ORDER BY _rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+           wn AS (PARTITION BY location_id ORDER BY _rn ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)
+  ) x)"""
+
+
+BOUNDS = {
+    "temperature": (-20.0, 60.0),
+    "surface_pressure": (850.0, 1080.0),
+    "total_cloud_cover": (0.0, 1.0),
+    "low_cloud_cover": (0.0, 1.0),
+    "medium_cloud_cover": (0.0, 1.0),
+    "high_cloud_cover": (0.0, 1.0),
+    "precipitation": (0.0, 300.0),
+    "humidity": (0.0, 100.0),
+    "wind_speed": (0.0, 60.0),
+}
+
+
+def clip_expr(c: str) -> str:
+    lo, hi = BOUNDS[c]
+    return f"CASE WHEN {c} < {lo} THEN {lo}::DOUBLE WHEN {c} > {hi} THEN {hi}::DOUBLE ELSE {c} END"
+
+
+OBS_MEASURES = ["temperature", "surface_pressure", "total_cloud_cover", "precipitation", "humidity", "wind_speed"]
+
+# obs -> interpolated -> clipped -> final columns (location first)
+CLEAN = (
+    interp(OBS_MEASURES, "obs", "interp")
+    + """,
+clean AS (
+  SELECT location_id, valid_time, """
+    + ", ".join(f"{clip_expr(c)} AS {c}" for c in ["temperature", "surface_pressure", "total_cloud_cover"])
+    + ", "
+    + ", ".join(f"{clip_expr(c)} AS {c}" for c in ["precipitation", "humidity", "wind_speed"])
+    + """
+  FROM interp)"""
+)
