@@ -1 +1,97 @@
-"""Queries (filled in below)."""
+"""Queries: joins (JN-1..4)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import joins, windows
+from ..schema import KEY, TIME
+from ..sources.tables import daily_weather, load, obs_hourly, raw_grid
+from . import sqlparts as S
+from .catalog import query
+from .clean import clean_series
+
+
+@query(
+    "jn_variables",
+    S.with_(S.RAW)
+    + """SELECT a.event_id, a.valid_time, a.latitude, a.longitude, a.t2m, a.sp, b.tp
+FROM raw a JOIN raw b ON a.valid_time = b.valid_time AND a.latitude = b.latitude AND a.longitude = b.longitude""",
+)
+def q_jn_variables(spark, sf_dir):
+    r = raw_grid(load(spark, sf_dir, "events"))
+    instant = r.select("event_id", TIME, "latitude", "longitude", "t2m", "sp")
+    accumulated = r.select(TIME, "latitude", "longitude", "tp")
+    return joins.merge_variables(instant, accumulated)
+
+
+@query(
+    "jn_code_lookup",
+    """WITH codes(code, description, icon) AS (VALUES """
+    + ", ".join(f"({c}, '{d}', '{i}')" for c, d, i in __import__("stratocast.schema", fromlist=["x"]).WEATHER_CODES)
+    + """)
+SELECT e.event_id, CAST(json_extract_string(e.props, '$.k') AS INTEGER) AS weathercode,
+       coalesce(c.description, 'Unknown') AS description, coalesce(c.icon, '01d') AS icon
+FROM events e LEFT JOIN codes c ON c.code = CAST(json_extract_string(e.props, '$.k') AS INTEGER)""",
+)
+def q_jn_code_lookup(spark, sf_dir):
+    ev = load(spark, sf_dir, "events").select(
+        "event_id", F.get_json_object("props", "$.k").cast("int").alias("weathercode")
+    )
+    return joins.lookup_codes(ev)
+
+
+def _gazetteer(spark, sf_dir):
+    n = load(spark, sf_dir, "nation")
+    r = load(spark, sf_dir, "region")
+    return n.join(r, n.n_regionkey == r.r_regionkey).select(
+        F.col("n_name").alias("name"),
+        F.lit(None).cast("string").alias("admin1"),
+        F.col("r_name").alias("country"),
+        F.col("n_nationkey").cast("double").alias("latitude"),
+        (F.col("n_regionkey") * 10).cast("double").alias("longitude"),
+        F.col("n_nationkey").alias("rank"),
+    )
+
+
+def _place_queries(spark, sf_dir):
+    """One lookup per customer: padded, lower-case, unknown or empty forms of its nation."""
+    c = load(spark, sf_dir, "customer")
+    n = load(spark, sf_dir, "nation")
+    form = F.col("c_custkey") % 4
+    q = (
+        F.when(form == 0, F.concat(F.lit("  "), F.col("n_name"), F.lit("  ")))
+        .when(form == 1, F.lower(F.col("n_name")))
+        .when(form == 2, F.concat(F.col("n_name"), F.lit("ville")))
+        .otherwise(F.lit("   "))
+    )
+    return c.join(n, c.c_nationkey == n.n_nationkey).select("c_custkey", q.alias("query"))
+
+
+@query(
+    "jn_gazetteer",
+    """WITH g AS (SELECT n_name AS name, CAST(NULL AS VARCHAR) AS admin1, r_name AS country,
+                  CAST(n_nationkey AS DOUBLE) AS latitude, CAST(n_regionkey * 10 AS DOUBLE) AS longitude
+           FROM nation JOIN region ON n_regionkey = r_regionkey),
+q AS (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN '  ' || n_name || '  '
+                                          WHEN 1 THEN lower(n_name)
+                                          WHEN 2 THEN n_name || 'ville' ELSE '   ' END AS query
+      FROM customer JOIN nation ON c_nationkey = n_nationkey)
+SELECT q.c_custkey, q.query,
+       CASE WHEN lower(trim(q.query)) = '' THEN 'empty' WHEN g.name IS NULL THEN 'not_found' ELSE 'ok' END AS status,
+       CASE WHEN lower(trim(q.query)) <> '' AND g.name IS NOT NULL
+            THEN concat_ws(', ', g.name, nullif(g.admin1, ''), nullif(g.country, '')) END AS display_name,
+       CASE WHEN lower(trim(q.query)) <> '' THEN g.latitude END AS latitude,
+       CASE WHEN lower(trim(q.query)) <> '' THEN g.longitude END AS longitude
+FROM q LEFT JOIN g ON lower(trim(g.name)) = lower(trim(q.query))""",
+)
+def q_jn_gazetteer(spark, sf_dir):
+    return joins.resolve_places(_place_queries(spark, sf_dir), _gazetteer(spark, sf_dir))
+
+
+@query("jn_dashboard")
+def q_jn_dashboard(spark, sf_dir):
+    ev = load(spark, sf_dir, "events")
+    clean = clean_series(obs_hourly(ev))
+    current = windows.latest_features(clean)
+    return joins.dashboard(current, clean, daily_weather(ev))
