@@ -148,7 +148,9 @@ def autocorrelation(df, col="temperature", max_lag=48, block_rows=DEFAULT_BLOCK_
         0,
         block_rows=block_rows,
     )
-    wide = shifted.groupBy(KEY).agg(*[F.corr(F.col(col), F.col(f"_l{n}")).alias(f"a{n}") for n in lags])
+    from .eda import safe_corr
+
+    wide = shifted.groupBy(KEY).agg(*[safe_corr(F.col(col), F.col(f"_l{n}")).alias(f"a{n}") for n in lags])
     return wide.unpivot(KEY, [f"a{n}" for n in lags], "lag_name", "autocorr").select(
         KEY, F.expr("cast(substring(lag_name, 2) as int)").alias("lag"), "autocorr"
     )
