@@ -1 +1,140 @@
-"""Queries (filled in below)."""
+"""Queries: streaming ingest, live features and scoring (STR-1..3).
+
+The driver's ``events`` table is replayed as a file stream: it is written to a
+fresh shared folder as a few files in time order, then processed with
+``availableNow`` so the query ends when the files are consumed.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..schema import KEY, RAIN_FEATURES, TIME
+from ..session import shared_path
+from ..sources.tables import STANDIN_RAIN_THRESHOLD, load
+from ..streaming import ingest
+from ..operators import windows
+from . import sqlparts as S
+from .catalog import query, r6
+from .features import build_features, drop_incomplete
+
+N_FILES = 4
+
+
+def replay_source(spark, sf_dir, n_files: int = N_FILES):
+    """Write ``events`` as ``n_files`` time-ordered files (one job each, so the
+    file stream sees them in arrival order)."""
+    ev = load(spark, sf_dir, "events")
+    src = shared_path(spark, "events_stream")
+    bounds = ev.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
+    lo, hi = bounds["lo"], bounds["hi"]
+    step = (hi - lo) / n_files
+    for i in range(n_files):
+        a = lo + step * i
+        cond = F.col("ts") >= F.lit(a)
+        if i < n_files - 1:
+            cond = cond & (F.col("ts") < F.lit(lo + step * (i + 1)))
+        ev.filter(cond).coalesce(1).write.mode("append").parquet(src)
+    return src, ev.schema
+
+
+_VALUES = ["temperature", "precipitation", "humidity", "surface_pressure", "wind_speed", "total_cloud_cover"]
+
+
+@query(
+    "str_ingest",
+    S.with_(S.OBS)
+    + "SELECT location_id, valid_time, "
+    + ", ".join(f"round({c}, 6) AS {c}" for c in _VALUES)
+    + ", n FROM obs",
+)
+def q_str_ingest(spark, sf_dir):
+    src, schema = replay_source(spark, sf_dir)
+    sink = shared_path(spark, "obs_stream")
+    ingest.run_ingest(spark, src, sink, shared_path(spark, "ckpt_ingest"), schema)
+    out = ingest.latest(spark, sink, [KEY, TIME])
+    return out.select(KEY, TIME, *[r6(F.col(c)).alias(c) for c in _VALUES], "n")
+
+
+@query(
+    "str_features",
+    S.with_(S.OBS)
+    + """, t AS (SELECT *, count(*) OVER (PARTITION BY location_id) AS n_rows,
+                  row_number() OVER (PARTITION BY location_id ORDER BY valid_time DESC) - 1 AS b FROM obs),
+a AS (SELECT location_id, max(n_rows) AS n_rows,
+             max(CASE WHEN b = 0 THEN valid_time END) AS valid_time,
+             max(CASE WHEN b = 0 THEN temperature END) AS temp_now,
+             max(CASE WHEN b = 1 THEN temperature END) AS v1,
+             max(CASE WHEN b = 24 THEN temperature END) AS v24,
+             avg(CASE WHEN b BETWEEN 1 AND 6 THEN temperature END) AS m6
+      FROM t GROUP BY 1)
+SELECT location_id, valid_time, round(temp_now, 6) AS temp_now, round(v1, 6) AS temp_lag_1,
+       round(v24, 6) AS temp_lag_24, """
+    + S.bround("m6", 4)
+    + " AS temp_rolling_6 FROM a",
+)
+def q_str_features(spark, sf_dir):
+    src, schema = replay_source(spark, sf_dir)
+    obs_dir = shared_path(spark, "obs_stream")
+    out_dir = shared_path(spark, "live_features")
+    ingest.run_features(spark, obs_dir, out_dir, shared_path(spark, "ckpt_features"), src, schema)
+    f = ingest.latest(spark, out_dir, [KEY])
+    return f.select(
+        KEY, TIME, r6(F.col("temp_now")).alias("temp_now"), r6(F.col("temp_lag_1")).alias("temp_lag_1"),
+        r6(F.col("temp_lag_24")).alias("temp_lag_24"), "temp_rolling_6",
+    )
+
+
+@query("str_scoring")
+def q_str_scoring(spark, sf_dir):
+    """Fit the rain classifier on the batch history, then score every arriving
+    hour with features built from the stored 48-hour halo."""
+    from ..operators import models
+    from .clean import clean_series
+    from ..sources.tables import obs_hourly
+
+    hist = drop_incomplete(
+        build_features(clean_series(obs_hourly(load(spark, sf_dir, "events"))), threshold=STANDIN_RAIN_THRESHOLD)
+    ).checkpoint()
+    present = [c for c in RAIN_FEATURES if c in hist.columns]
+    model = models.fit_rain_classifier(hist, present, max_iter=5)
+
+    src, schema = replay_source(spark, sf_dir)
+    obs_dir = shared_path(spark, "obs_stream")
+    out_dir = shared_path(spark, "rain_scores")
+
+    def score(batch):
+        span = batch.groupBy(KEY).agg(F.min(TIME).alias("_from"))
+        try:
+            stored = ingest.latest(batch.sparkSession, obs_dir, [KEY, TIME])
+        except Exception:  # noqa: BLE001 - first batch
+            stored = batch.limit(0)
+        halo = stored.join(span, KEY).filter(
+            F.col(TIME) >= F.col("_from") - F.make_dt_interval(F.lit(0), F.lit(ingest.HALO_HOURS))
+        ).select(*batch.columns)
+        merged = windows.dedup_first(
+            halo.withColumn("_src", F.lit(1)).unionByName(batch.withColumn("_src", F.lit(0))), [KEY, TIME], ["_src"]
+        ).drop("_src")
+        feats = build_features(merged.drop("n"), threshold=STANDIN_RAIN_THRESHOLD)
+        mine = feats.join(batch.select(KEY, TIME), [KEY, TIME], "left_semi")
+        scored = model.score(mine.na.fill(0.0, ["humidity"]))
+        return models.rain_predictions(scored.select(KEY, TIME, "y_prob"))
+
+    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+
+    def write(batch, batch_id):
+        batch.persist()
+        ingest.versioned_writer(obs_dir)(batch, batch_id)
+        ingest.scoring_writer(score, out_dir)(batch, batch_id)
+        batch.unpersist()
+
+    q = (
+        ingest.observation_stream(events)
+        .writeStream.outputMode("update")
+        .foreachBatch(write)
+        .option("checkpointLocation", shared_path(spark, "ckpt_scoring"))
+        .trigger(availableNow=True)
+        .start()
+    )
+    q.awaitTermination()
+    return ingest.latest(spark, out_dir, [KEY, TIME])
