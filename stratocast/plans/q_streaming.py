@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..schema import KEY, RAIN_FEATURES, TIME
-from ..session import shared_path
+from ..session import shared_path, checkpoint
 from ..sources.tables import STANDIN_RAIN_THRESHOLD, load
 from ..streaming import ingest
 from ..operators import windows
@@ -29,11 +29,15 @@ def replay_source(spark, sf_dir, n_files: int = N_FILES):
     bounds = ev.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
     lo, hi = bounds["lo"], bounds["hi"]
     step = (hi - lo) / n_files
+    # file boundaries as TIMESTAMP_NTZ literals parsed from text (no zone involved);
+    # the first file has no lower bound and the last no upper bound, so every row lands once
+    cuts = [F.to_timestamp_ntz(F.lit((lo + step * i).isoformat())) for i in range(1, n_files)]
     for i in range(n_files):
-        a = lo + step * i
-        cond = F.col("ts") >= F.lit(a)
+        cond = F.lit(True)
+        if i > 0:
+            cond = cond & (F.col("ts") >= cuts[i - 1])
         if i < n_files - 1:
-            cond = cond & (F.col("ts") < F.lit(lo + step * (i + 1)))
+            cond = cond & (F.col("ts") < cuts[i])
         ev.filter(cond).coalesce(1).write.mode("append").parquet(src)
     return src, ev.schema
 
@@ -95,7 +99,7 @@ def q_str_scoring(spark, sf_dir):
 
     hist = drop_incomplete(
         build_features(clean_series(obs_hourly(load(spark, sf_dir, "events"))), threshold=STANDIN_RAIN_THRESHOLD)
-    ).checkpoint()
+    ).transform(checkpoint)
     present = [c for c in RAIN_FEATURES if c in hist.columns]
     model = models.fit_rain_classifier(hist, present, max_iter=5)
 

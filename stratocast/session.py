@@ -84,3 +84,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Reliable (eager) checkpoint into the shared checkpoint folder."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

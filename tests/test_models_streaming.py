@@ -9,14 +9,14 @@ from stratocast.operators import metrics as M
 from stratocast.operators import models, splits
 from stratocast.plans.clean import clean_series
 from stratocast.plans.features import build_features, drop_incomplete
-from stratocast.session import shared_path
+from stratocast.session import checkpoint, shared_path
 from stratocast.sources import payloads
 from stratocast.sources.tables import load, obs_hourly
 
 
 def _feats(spark, sf):
     c = clean_series(obs_hourly(load(spark, "/root/testdata/sf0.01", "events")))
-    return drop_incomplete(build_features(c, threshold=48.0)).checkpoint()
+    return drop_incomplete(build_features(c, threshold=48.0)).transform(checkpoint)
 
 
 def test_rain_model_beats_constant_and_round_trips(spark, sf):
