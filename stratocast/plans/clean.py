@@ -37,9 +37,14 @@ def clean_raw(raw: DataFrame, block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame
     return clean_series(d, block_rows=block_rows)
 
 
-def clean_series(series_df: DataFrame, block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
-    """Interpolate, clip and order the measurement columns of an hourly series."""
+def clean_series(series_df: DataFrame, block_rows: int = DEFAULT_BLOCK_ROWS, keep_index: bool = False) -> DataFrame:
+    """Interpolate, clip and order the measurement columns of an hourly series.
+
+    Cleaning keeps every row, so with ``keep_index`` the row index built for the
+    interpolation is passed on and the feature stage does not rebuild it.
+    """
     present = [c for c in MEASURES if c in series_df.columns]
     filled = windows.interpolate_linear(series_df, present, block_rows=block_rows)
     clipped = quality.range_clip(filled)
-    return quality.select_final_columns(clipped.drop(RN))
+    out = quality.select_final_columns(clipped.drop(RN))
+    return clipped.select(*out.columns, RN) if keep_index else out

@@ -25,7 +25,7 @@ def clean(spark, sf_dir):
 
 
 def feats(spark, sf_dir):
-    return build_features(clean(spark, sf_dir), threshold=STANDIN_RAIN_THRESHOLD)
+    return build_features(clean_series(obs(spark, sf_dir), keep_index=True), threshold=STANDIN_RAIN_THRESHOLD)
 
 
 @query(

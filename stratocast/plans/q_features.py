@@ -166,7 +166,7 @@ SELECT location_id, count(*) AS n_samples, min(valid_time) AS first_anchor, max(
 FROM s WHERE nx = 24 AND ny = 5 GROUP BY 1""",
 )
 def q_wn_sequences(spark, sf_dir):
-    f = drop_incomplete(build_features(clean_series(obs(spark, sf_dir)), threshold=STANDIN_RAIN_THRESHOLD))
+    f = drop_incomplete(build_features(clean_series(obs(spark, sf_dir), keep_index=True), threshold=STANDIN_RAIN_THRESHOLD))
     seq = windows.sequences(f, FORECAST_FEATURES, 24, 5)
     add = lambda acc, v: acc + v
     per = seq.select(

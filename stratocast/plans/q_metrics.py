@@ -29,7 +29,8 @@ def clean(spark, sf_dir):
 
 
 def kept_features(spark, sf_dir):
-    return drop_incomplete(build_features(clean(spark, sf_dir), threshold=STANDIN_RAIN_THRESHOLD))
+    c = clean_series(obs_hourly(load(spark, sf_dir, "events")), keep_index=True)
+    return drop_incomplete(build_features(c, threshold=STANDIN_RAIN_THRESHOLD))
 
 
 def _r6_all(df, cols):
