@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import units
 from ..operators import quality
 from ..schema import FEATURE_NOT_NULL, KEY, RAIN_FEATURES, TIME
-from ..sources.tables import STANDIN_RAIN_THRESHOLD, load, obs_hourly, raw_grid
+from ..sources.tables import STANDIN_RAIN_THRESHOLD, clean_table, load, obs_hourly, obs_table, raw_grid
 from . import sqlparts as S
 from .catalog import query, r6
 from .clean import clean_series
@@ -23,7 +23,7 @@ def renamed(spark, sf_dir):
 
 
 def obs(spark, sf_dir):
-    return obs_hourly(load(spark, sf_dir, "events"))
+    return obs_table(spark, sf_dir)
 
 
 RAW = S.with_(S.RAW)
@@ -170,7 +170,7 @@ SELECT location_id, round(max(abs(_expected - temp_lag_1)), 6) AS lag1_max_diff,
 FROM chk GROUP BY location_id""",
 )
 def q_qc_validate(spark, sf_dir):
-    f = build_features(clean_series(obs(spark, sf_dir), keep_index=True), threshold=STANDIN_RAIN_THRESHOLD)
+    f = build_features(clean_table(spark, sf_dir, keep_index=True), threshold=STANDIN_RAIN_THRESHOLD)
     kept = quality.drop_null_rows(f, FEATURE_NOT_NULL)
     v = quality.validate_features(kept)
     return v.select(KEY, r6(F.col("lag1_max_diff")).alias("lag1_max_diff"), "non_binary_labels", "null_cells", "passed")
@@ -200,6 +200,6 @@ def q_qc_time_gaps(spark, sf_dir):
     + ", hour_sin, hour_cos, month_sin, month_cos FROM feat",
 )
 def q_prj_model_inputs(spark, sf_dir):
-    f = build_features(clean_series(obs(spark, sf_dir), keep_index=True), threshold=STANDIN_RAIN_THRESHOLD)
+    f = build_features(clean_table(spark, sf_dir, keep_index=True), threshold=STANDIN_RAIN_THRESHOLD)
     present = [c for c in RAIN_FEATURES if c in f.columns]
     return f.select(KEY, TIME, *present, "hour_sin", "hour_cos", "month_sin", "month_cos")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import eda
 from ..schema import KEY, TIME
-from ..sources.tables import STANDIN_RAIN_THRESHOLD, load, obs_hourly, order_months
+from ..sources.tables import STANDIN_RAIN_THRESHOLD, clean_table, load, obs_hourly, obs_table, order_months
 from . import sqlparts as S
 from .catalog import query, r6
 from .clean import clean_series
@@ -17,15 +17,15 @@ MEASURES = ["temperature", "surface_pressure", "total_cloud_cover", "precipitati
 
 
 def obs(spark, sf_dir):
-    return obs_hourly(load(spark, sf_dir, "events"))
+    return obs_table(spark, sf_dir)
 
 
 def clean(spark, sf_dir):
-    return clean_series(obs(spark, sf_dir))
+    return clean_table(spark, sf_dir)
 
 
 def feats(spark, sf_dir):
-    return build_features(clean_series(obs(spark, sf_dir), keep_index=True), threshold=STANDIN_RAIN_THRESHOLD)
+    return build_features(clean_table(spark, sf_dir, keep_index=True), threshold=STANDIN_RAIN_THRESHOLD)
 
 
 @query(

@@ -6,14 +6,14 @@ from pyspark.sql import functions as F
 
 from ..operators import windows
 from ..schema import KEY, TIME
-from ..sources.tables import STANDIN_RAIN_THRESHOLD, load, obs_hourly
+from ..sources.tables import STANDIN_RAIN_THRESHOLD, clean_table, load, obs_hourly, obs_table
 from . import sqlparts as S
 from .catalog import query, r6
 from .features import build_features, rain_rate_by_month_hour
 
 
 def obs(spark, sf_dir):
-    return obs_hourly(load(spark, sf_dir, "events"))
+    return obs_table(spark, sf_dir)
 
 
 def features(spark, sf_dir, **kw):
@@ -166,7 +166,7 @@ SELECT location_id, count(*) AS n_samples, min(valid_time) AS first_anchor, max(
 FROM s WHERE nx = 24 AND ny = 5 GROUP BY 1""",
 )
 def q_wn_sequences(spark, sf_dir):
-    f = drop_incomplete(build_features(clean_series(obs(spark, sf_dir), keep_index=True), threshold=STANDIN_RAIN_THRESHOLD))
+    f = drop_incomplete(build_features(clean_table(spark, sf_dir, keep_index=True), threshold=STANDIN_RAIN_THRESHOLD))
     seq = windows.sequences(f, FORECAST_FEATURES, 24, 5)
     add = lambda acc, v: acc + v
     per = seq.select(
@@ -208,7 +208,7 @@ SELECT location_id, valid_time, n_rows, temp_now,
 FROM a""",
 )
 def q_wn_latest(spark, sf_dir):
-    return windows.latest_features(clean_series(obs(spark, sf_dir)))
+    return windows.latest_features(clean_table(spark, sf_dir))
 
 
 @query(
@@ -231,7 +231,7 @@ SELECT location_id, valid_time, temperature, humidity, temp_lag_1, temp_lag_24,
 FROM k WHERE rk <= 24""",
 )
 def q_wn_last_n(spark, sf_dir):
-    c = clean_series(obs(spark, sf_dir)).select(KEY, TIME, "temperature", "humidity")
+    c = clean_table(spark, sf_dir, keep_index=True).select(KEY, TIME, "temperature", "humidity", RN)
     d = windows.ensure_index(c)
 
     def build(w):

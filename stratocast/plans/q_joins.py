@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import joins, windows
 from ..schema import KEY, TIME
-from ..sources.tables import daily_weather, load, obs_hourly, raw_grid
+from ..sources.tables import clean_table, daily_weather, load, obs_hourly, raw_grid
 from . import sqlparts as S
 from .catalog import query
 from .clean import clean_series
@@ -92,6 +92,6 @@ def q_jn_gazetteer(spark, sf_dir):
 @query("jn_dashboard")
 def q_jn_dashboard(spark, sf_dir):
     ev = load(spark, sf_dir, "events")
-    clean = clean_series(obs_hourly(ev))
+    clean = clean_table(spark, sf_dir)
     current = windows.latest_features(clean)
     return joins.dashboard(current, clean, daily_weather(ev))

@@ -8,7 +8,7 @@ from ..operators import metrics as M
 from ..operators import scaling, series, splits, windows
 from ..operators.series import RN
 from ..schema import FORECAST_FEATURES, KEY, TIME
-from ..sources.tables import STANDIN_RAIN_THRESHOLD, load, obs_hourly, scored_labels
+from ..sources.tables import STANDIN_RAIN_THRESHOLD, clean_table, load, obs_hourly, scored_labels
 from . import sqlparts as S
 from .catalog import query, r6
 from .clean import clean_series
@@ -25,11 +25,11 @@ def scored(spark, sf_dir):
 
 
 def clean(spark, sf_dir):
-    return clean_series(obs_hourly(load(spark, sf_dir, "events")))
+    return clean_table(spark, sf_dir)
 
 
 def kept_features(spark, sf_dir):
-    c = clean_series(obs_hourly(load(spark, sf_dir, "events")), keep_index=True)
+    c = clean_table(spark, sf_dir, keep_index=True)
     return drop_incomplete(build_features(c, threshold=STANDIN_RAIN_THRESHOLD))
 
 

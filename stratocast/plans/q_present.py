@@ -8,7 +8,7 @@ from ..functions import presentation as P
 from ..functions.timeparts import day_label, hour_label
 from ..operators import joins
 from ..schema import KEY, TIME
-from ..sources.tables import daily_weather, load, obs_hourly, scored_labels
+from ..sources.tables import clean_table, daily_weather, load, obs_hourly, scored_labels
 from . import sqlparts as S
 from .catalog import query, r6
 from .clean import clean_series
@@ -22,7 +22,7 @@ def scored(spark, sf_dir):
 
 
 def clean(spark, sf_dir):
-    return clean_series(obs_hourly(load(spark, sf_dir, "events")))
+    return clean_table(spark, sf_dir)
 
 
 @query(
@@ -123,7 +123,7 @@ FROM clean c JOIN daily d ON d.location_id = c.location_id AND d.day = CAST(c.va
 )
 def q_sc_range_pct(spark, sf_dir):
     ev = load(spark, sf_dir, "events")
-    c = clean_series(obs_hourly(ev))
+    c = clean_table(spark, sf_dir)
     d = daily_weather(ev)
     j = c.join(d, (c[KEY] == d[KEY]) & (F.to_date(c[TIME]) == d["day"]))
     pct = P.range_position_pct(c["temperature"], d["temperature_2m_min"], d["temperature_2m_max"])
@@ -175,7 +175,7 @@ WHERE t.rk = 1""",
 )
 def q_prj_current(spark, sf_dir):
     ev = load(spark, sf_dir, "events")
-    c = clean_series(obs_hourly(ev))
+    c = clean_table(spark, sf_dir)
     newest = c.groupBy(KEY).agg(F.max(TIME).alias("_t"))
     cur = c.join(newest, (c[KEY] == newest[KEY]) & (c[TIME] == newest["_t"])).select(c["*"])
     d = daily_weather(ev)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..schema import KEY, RAIN_FEATURES, TIME
 from ..session import shared_path, checkpoint
-from ..sources.tables import STANDIN_RAIN_THRESHOLD, load
+from ..sources.tables import STANDIN_RAIN_THRESHOLD, clean_table, load
 from ..streaming import ingest
 from ..operators import windows
 from . import sqlparts as S
@@ -98,7 +98,7 @@ def q_str_scoring(spark, sf_dir):
     from ..sources.tables import obs_hourly
 
     hist = drop_incomplete(
-        build_features(clean_series(obs_hourly(load(spark, sf_dir, "events")), keep_index=True), threshold=STANDIN_RAIN_THRESHOLD)
+        build_features(clean_table(spark, sf_dir, keep_index=True), threshold=STANDIN_RAIN_THRESHOLD)
     ).transform(checkpoint)
     present = [c for c in RAIN_FEATURES if c in hist.columns]
     model = models.fit_rain_classifier(hist, present, max_iter=5)

@@ -110,3 +110,40 @@ def scored_labels(labels: DataFrame) -> DataFrame:
         F.col("toxic").alias("y_true_2"),
         (((F.col("doc_id") * 7919) % 1000) / 1000.0).alias("y_prob"),
     )
+
+
+# --- derived tables written once per application ----------------------------
+
+_DERIVED: dict[tuple[str, str, str], str] = {}
+
+
+def derived(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """Write ``build()`` once per (application, input folder, name) as Parquet in
+    the shared checkpoint folder and read it back.
+
+    Later stages branch (row-index counts, carry tables, joins); reading a
+    written table keeps each branch from re-deriving it from the raw events, and
+    the files survive executor loss.
+    """
+    from ..session import shared_path
+
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    path = _DERIVED.get(key)
+    if path is None:
+        path = shared_path(spark, name)
+        build().write.mode("overwrite").parquet(path)
+        _DERIVED[key] = path
+    return spark.read.parquet(path)
+
+
+def obs_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hourly stand-in series, built once from ``events``."""
+    return derived(spark, sf_dir, "obs_hourly", lambda: obs_hourly(load(spark, sf_dir, "events")))
+
+
+def clean_table(spark: SparkSession, sf_dir: str, keep_index: bool = False) -> DataFrame:
+    """The cleaned hourly series (with its row index ``_rn``), built once."""
+    from ..plans.clean import clean_series
+
+    t = derived(spark, sf_dir, "clean_hourly", lambda: clean_series(obs_table(spark, sf_dir), keep_index=True))
+    return t if keep_index else t.drop("_rn")
