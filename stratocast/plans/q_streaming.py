@@ -108,17 +108,7 @@ def q_str_scoring(spark, sf_dir):
     out_dir = shared_path(spark, "rain_scores")
 
     def score(batch):
-        span = batch.groupBy(KEY).agg(F.min(TIME).alias("_from"))
-        try:
-            stored = ingest.latest(batch.sparkSession, obs_dir, [KEY, TIME])
-        except Exception:  # noqa: BLE001 - first batch
-            stored = batch.limit(0)
-        halo = stored.join(span, KEY).filter(
-            F.col(TIME) >= F.col("_from") - F.make_dt_interval(F.lit(0), F.lit(ingest.HALO_HOURS))
-        ).select(*batch.columns)
-        merged = windows.dedup_first(
-            halo.withColumn("_src", F.lit(1)).unionByName(batch.withColumn("_src", F.lit(0))), [KEY, TIME], ["_src"]
-        ).drop("_src")
+        merged = ingest.halo_rows(batch, obs_dir)
         feats = build_features(merged.drop("n"), threshold=STANDIN_RAIN_THRESHOLD)
         mine = feats.join(batch.select(KEY, TIME), [KEY, TIME], "left_semi")
         scored = model.score(mine.na.fill(0.0, ["humidity"]))

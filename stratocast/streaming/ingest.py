@@ -99,27 +99,41 @@ def run_ingest(
     q.awaitTermination()
 
 
+def halo_rows(batch: DataFrame, obs_dir: str, hours: int = HALO_HOURS) -> DataFrame:
+    """Stored observations of the batch's locations from ``hours`` before the
+    batch's first hour, merged with the batch (batch rows win).
+
+    The stored table is read with a time filter (row-group pruning on the
+    Parquet scan) before the latest-version aggregate, so each micro-batch
+    touches only its halo, not the whole history.
+    """
+    spark = batch.sparkSession
+    span = batch.groupBy(KEY).agg(F.min(TIME).alias("_from"))
+    first = batch.agg(F.min(TIME)).first()[0]
+    if first is None:
+        return batch
+    # the bound as a TIMESTAMP_NTZ parsed from text: no session-zone conversion
+    lower = F.to_timestamp_ntz(F.lit(first.isoformat())) - F.make_dt_interval(F.lit(0), F.lit(hours))
+    try:
+        stored = spark.read.parquet(obs_dir).filter(F.col(TIME) >= lower)
+    except Exception:  # noqa: BLE001 - no earlier batch written yet
+        return batch
+    rest = [c for c in stored.columns if c not in (KEY, TIME, "batch_id")]
+    newest = stored.groupBy(KEY, TIME).agg(F.max_by(F.struct(*rest), F.col("batch_id")).alias("_v"))
+    stored = newest.select(KEY, TIME, *[F.col("_v")[c].alias(c) for c in rest])
+    near = stored.join(span, KEY).filter(
+        F.col(TIME) >= F.col("_from") - F.make_dt_interval(F.lit(0), F.lit(hours))
+    ).select(*batch.columns)
+    both = near.withColumn("_src", F.lit(1)).unionByName(batch.withColumn("_src", F.lit(0)))
+    return windows.dedup_first(both, [KEY, TIME], ["_src"]).drop("_src")
+
+
 def feature_writer(obs_dir: str, out_dir: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch sink for live features: for the locations touched by the
-    batch, re-read the last ``HALO_HOURS`` hours of stored observations (a
-    filter pushed to the scan), merge the batch, compute the newest-row
-    features and write them as this batch's version."""
+    """foreachBatch sink for live features: newest-row features of each
+    touched location from the batch plus its stored 48-hour halo."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        span = batch.groupBy(KEY).agg(F.min(TIME).alias("_from"), F.max(TIME).alias("_to"))
-        start = F.col("_from") - F.make_dt_interval(F.lit(0), F.lit(HALO_HOURS))
-        try:
-            stored = latest(spark, obs_dir, [KEY, TIME])
-        except Exception:  # noqa: BLE001 - no earlier batch written yet
-            stored = batch.limit(0)
-        halo = stored.join(span, KEY).filter(F.col(TIME) >= start).select(*batch.columns)
-        merged = windows.dedup_first(
-            halo.withColumn("_src", F.lit(1)).unionByName(batch.withColumn("_src", F.lit(0))),
-            [KEY, TIME],
-            ["_src"],
-        ).drop("_src")
-        feats = windows.latest_features(merged)
+        feats = windows.latest_features(halo_rows(batch, obs_dir))
         feats.write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
 
     return write
