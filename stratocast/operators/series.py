@@ -112,15 +112,17 @@ def carry_nearest(
     cols: Sequence[str],
     keys: Sequence[str] | str = (KEY,),
     block_rows: int = DEFAULT_BLOCK_ROWS,
+    pos: str = RN,
 ) -> DataFrame:
     """For each column ``c`` add ``c__prev`` / ``c__next``: struct(rn, v) of the
-    nearest non-null value strictly before / after the row (null if none)."""
+    nearest non-null value strictly before / after the row (null if none);
+    ``rn`` holds the ``pos`` column (row index by default)."""
     ks = _keys(keys)
     rn = F.col(RN)
     d = df.withColumn(BLOCK, block_of(rn, block_rows))
 
     def pair(c: str) -> Column:
-        return F.when(F.col(c).isNotNull(), F.struct(rn.alias("rn"), F.col(c).alias("v")))
+        return F.when(F.col(c).isNotNull(), F.struct(F.col(pos).alias("rn"), F.col(c).alias("v")))
 
     summary = d.groupBy(*ks, BLOCK).agg(
         *[F.max(pair(c)).alias(f"{c}__last") for c in cols],

@@ -87,6 +87,22 @@ def add_lag_features(df, col="temperature", lags=LAG_HOURS, block_rows=DEFAULT_B
     return series.framed(d, lambda w: lag_exprs(w, col, lags), max(lags), 0, block_rows=block_rows)
 
 
+def add_time_lags(df, col="temperature", hours=LAG_HOURS):
+    """Lags by *time* (RANGE semantics): the value exactly ``h`` hours earlier at
+    the same location, null when that hour is missing.  Each lag is an equi-join
+    on (location, time), so a long series is spread over the join partitions."""
+    prefix = "temp" if col == "temperature" else col
+    out = df
+    for h in hours:
+        prev = df.select(
+            F.col(KEY).alias("_k"),
+            (F.col(TIME) + F.make_dt_interval(F.lit(0), F.lit(h))).alias("_t"),
+            F.col(col).alias(f"{prefix}_lag_{h}h"),
+        )
+        out = out.join(prev, (out[KEY] == prev["_k"]) & (out[TIME] == prev["_t"]), "left").drop("_k", "_t")
+    return out
+
+
 def add_rolling_mean(df, col="temperature", window=ROLLING_WINDOW, digits=4, block_rows=DEFAULT_BLOCK_ROWS):
     d = ensure_index(df)
     return series.framed(
@@ -156,12 +172,18 @@ def autocorrelation(df, col="temperature", max_lag=48, block_rows=DEFAULT_BLOCK_
     )
 
 
-def interpolate_linear(df, cols: Sequence[str], block_rows=DEFAULT_BLOCK_ROWS):
-    """Linear interpolation by row position; leading/trailing gaps take the
-    nearest valid value; an all-null column stays null."""
+def interpolate_linear(df, cols: Sequence[str], block_rows=DEFAULT_BLOCK_ROWS, by: str = "row"):
+    """Linear interpolation; leading/trailing gaps take the nearest valid value;
+    an all-null column stays null.  ``by='row'`` spaces rows equally (the
+    original behaviour), ``by='time'`` weights by elapsed time."""
     d = ensure_index(df)
-    near = series.carry_nearest(d, cols, block_rows=block_rows)
-    rn = F.col(RN)
+    if by == "time":
+        d = d.withColumn("_pos", F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(TIME)))
+    elif by != "row":
+        raise ValueError("by must be 'row' or 'time'")
+    pos_col = "_pos" if by == "time" else RN
+    near = series.carry_nearest(d, cols, block_rows=block_rows, pos=pos_col)
+    rn = F.col(pos_col)
     out = []
     for c in cols:
         p, n = F.col(f"{c}__prev"), F.col(f"{c}__next")
@@ -173,7 +195,8 @@ def interpolate_linear(df, cols: Sequence[str], block_rows=DEFAULT_BLOCK_ROWS):
         )
         out.append(filled.alias(c))
     keep = [x for x in d.columns if x not in cols]
-    return near.select(*keep, *out).select(*d.columns)
+    res = near.select(*keep, *out).select(*d.columns)
+    return res.drop("_pos") if by == "time" else res
 
 
 def fill_forward_backward(df, cols: Sequence[str], block_rows=DEFAULT_BLOCK_ROWS):

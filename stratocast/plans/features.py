@@ -58,6 +58,30 @@ def build_features(
     return out.select(*cols)
 
 
+def features_for_range(
+    clean: DataFrame,
+    start: str,
+    end: str,
+    halo_hours: int = 48,
+    **kw,
+) -> DataFrame:
+    """Features for ``start <= valid_time < end`` only.
+
+    Catalyst does not push a filter on the order column below a window, so the
+    read is widened by ``halo_hours`` on both sides (pushed to the scan), the
+    windows run on that slice, and the exact range is kept afterwards.  Exact
+    when the halo holds at least 24 rows on each side (true for an hourly series
+    without long gaps; widen ``halo_hours`` otherwise).
+    """
+    lo = F.to_timestamp_ntz(F.lit(start))
+    hi = F.to_timestamp_ntz(F.lit(end))
+    pad = F.make_dt_interval(F.lit(0), F.lit(halo_hours))
+    wide = clean.drop(RN) if RN in clean.columns else clean
+    wide = wide.filter((F.col(TIME) >= lo - pad) & (F.col(TIME) < hi + pad))
+    feats = build_features(wide, **kw)
+    return feats.filter((F.col(TIME) >= lo) & (F.col(TIME) < hi))
+
+
 def drop_incomplete(features: DataFrame, subset=None) -> DataFrame:
     """Drop rows with a null in any present feature/label column."""
     cols = [c for c in (subset or FEATURE_NOT_NULL) if c in features.columns]

@@ -125,3 +125,39 @@ def test_gap_is_row_based(spark):
     assert got[1][1] == 1.0  # previous row, although 5 hours earlier
     gaps = windows.add_time_diff(df).orderBy("valid_time").collect()
     assert gaps[1].time_diff_hours == 5.0
+
+
+def test_time_lags_and_time_interpolation(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(0, t0, 1.0), (0, t0 + dt.timedelta(hours=1), 2.0), (0, t0 + dt.timedelta(hours=3), 4.0)]
+    df = spark.createDataFrame(rows, "location_id long, valid_time timestamp_ntz, temperature double")
+    got = {r.valid_time: r.temp_lag_1h for r in windows.add_time_lags(df, hours=[1]).collect()}
+    assert got[t0 + dt.timedelta(hours=1)] == 1.0 and got[t0 + dt.timedelta(hours=3)] is None
+    rows = [(0, t0, 0.0), (0, t0 + dt.timedelta(hours=1), None), (0, t0 + dt.timedelta(hours=4), 4.0)]
+    df = spark.createDataFrame(rows, "location_id long, valid_time timestamp_ntz, x double")
+    by_time = [r.x for r in windows.interpolate_linear(df, ["x"], by="time").orderBy("valid_time").collect()]
+    by_row = [r.x for r in windows.interpolate_linear(df, ["x"]).orderBy("valid_time").collect()]
+    assert by_time == [0.0, 1.0, 4.0] and by_row == [0.0, 2.0, 4.0]
+
+
+def test_range_reader_equals_full_features(spark, sf):
+    from stratocast.plans.features import features_for_range
+
+    obs = obs_hourly(load(spark, "/root/testdata/sf0.01", "events"))
+    full = build_features(obs, threshold=48.0).filter(
+        (F.col("valid_time") >= F.lit("2024-01-10").cast("timestamp_ntz"))
+        & (F.col("valid_time") < F.lit("2024-01-12").cast("timestamp_ntz"))
+    )
+    part = features_for_range(obs, "2024-01-10", "2024-01-12", threshold=48.0)
+    cols = ["location_id", "valid_time", "temp_lag_1", "temp_lag_24", "temp_rolling_6", "rain_tomorrow"]
+    assert _rows(part, cols) == _rows(full, cols)
+
+
+def test_global_time_split(spark, sf):
+    from stratocast.operators import splits
+
+    obs = obs_hourly(load(spark, sf, "events")).select("location_id", "valid_time")
+    got = splits.time_split(obs, (0.8,), ("train", "test"), keys=())
+    rows = sorted((r.valid_time, r.location_id, r.split) for r in got.collect())
+    n = len(rows)
+    assert [r[2] for r in rows] == ["train"] * int(n * 0.8) + ["test"] * (n - int(n * 0.8))
