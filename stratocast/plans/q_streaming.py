@@ -1,8 +1,9 @@
 """Queries: streaming ingest, live features and scoring (STR-1..3).
 
-The driver's ``events`` table is replayed as a file stream: it is written to a
-fresh shared folder as a few files in time order, then processed with
-``availableNow`` so the query ends when the files are consumed.
+The driver's ``events`` table is replayed as a file stream: it is appended to a
+fresh shared folder in a few time slices, and after each slice the query is
+restarted from its checkpoint with ``availableNow``, so it consumes the new
+files as one micro-batch and stops.
 """
 
 from __future__ import annotations
@@ -18,27 +19,38 @@ from . import sqlparts as S
 from .catalog import query, r6
 from .features import build_features, drop_incomplete
 
-N_FILES = 4
+N_SLICES = 4
 
 
-def replay_source(spark, sf_dir, n_files: int = N_FILES):
-    """Write ``events`` as ``n_files`` time-ordered files (one job each, so the
-    file stream sees them in arrival order)."""
+def replay(spark, sf_dir, run_once, n_slices: int = N_SLICES):
+    """Replay ``events`` as a file stream that arrives in ``n_slices`` time slices.
+
+    Each slice is appended to a fresh shared folder by an ordinary parallel write
+    (one file per task), then ``run_once()`` starts the streaming query with
+    ``availableNow`` from its checkpoint: it consumes exactly the files that are
+    new since the last run, as one micro-batch, and stops.  Restarting from the
+    checkpoint is the same path a query takes after a driver failure, and every
+    row of a slice is later than every row of the slices before it, so no row is
+    behind the watermark.  Returns the source folder and its schema.
+    """
     ev = load(spark, sf_dir, "events")
     src = shared_path(spark, "events_stream")
     bounds = ev.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
     lo, hi = bounds["lo"], bounds["hi"]
-    step = (hi - lo) / n_files
-    # file boundaries as TIMESTAMP_NTZ literals parsed from text (no zone involved);
-    # the first file has no lower bound and the last no upper bound, so every row lands once
-    cuts = [F.to_timestamp_ntz(F.lit((lo + step * i).isoformat())) for i in range(1, n_files)]
-    for i in range(n_files):
+    if lo is None:
+        return src, ev.schema
+    step = (hi - lo) / n_slices
+    # slice boundaries as TIMESTAMP_NTZ literals parsed from text (no zone involved);
+    # the first slice has no lower bound and the last no upper bound, so every row lands once
+    cuts = [F.to_timestamp_ntz(F.lit((lo + step * i).isoformat())) for i in range(1, n_slices)]
+    for i in range(n_slices):
         cond = F.lit(True)
         if i > 0:
             cond = cond & (F.col("ts") >= cuts[i - 1])
-        if i < n_files - 1:
+        if i < n_slices - 1:
             cond = cond & (F.col("ts") < cuts[i])
-        ev.filter(cond).coalesce(1).write.mode("append").parquet(src)
+        ev.filter(cond).write.mode("append").parquet(src)
+        run_once(src, ev.schema)
     return src, ev.schema
 
 
@@ -53,9 +65,9 @@ _VALUES = ["temperature", "precipitation", "humidity", "surface_pressure", "wind
     + ", n FROM obs",
 )
 def q_str_ingest(spark, sf_dir):
-    src, schema = replay_source(spark, sf_dir)
     sink = shared_path(spark, "obs_stream")
-    ingest.run_ingest(spark, src, sink, shared_path(spark, "ckpt_ingest"), schema)
+    ckpt = shared_path(spark, "ckpt_ingest")
+    replay(spark, sf_dir, lambda src, schema: ingest.run_ingest(spark, src, sink, ckpt, schema, skip_empty_batches=True))
     out = ingest.latest(spark, sink, [KEY, TIME])
     return out.select(KEY, TIME, *[r6(F.col(c)).alias(c) for c in _VALUES], "n")
 
@@ -78,10 +90,14 @@ SELECT location_id, valid_time, round(temp_now, 6) AS temp_now, round(v1, 6) AS
     + " AS temp_rolling_6 FROM a",
 )
 def q_str_features(spark, sf_dir):
-    src, schema = replay_source(spark, sf_dir)
     obs_dir = shared_path(spark, "obs_stream")
     out_dir = shared_path(spark, "live_features")
-    ingest.run_features(spark, obs_dir, out_dir, shared_path(spark, "ckpt_features"), src, schema)
+    ckpt = shared_path(spark, "ckpt_features")
+    replay(
+        spark,
+        sf_dir,
+        lambda src, schema: ingest.run_features(spark, obs_dir, out_dir, ckpt, src, schema, skip_empty_batches=True),
+    )
     f = ingest.latest(spark, out_dir, [KEY])
     return f.select(
         KEY, TIME, r6(F.col("temp_now")).alias("temp_now"), r6(F.col("temp_lag_1")).alias("temp_lag_1"),
@@ -103,9 +119,9 @@ def q_str_scoring(spark, sf_dir):
     present = [c for c in RAIN_FEATURES if c in hist.columns]
     model = models.fit_rain_classifier(hist, present, max_iter=5)
 
-    src, schema = replay_source(spark, sf_dir)
     obs_dir = shared_path(spark, "obs_stream")
     out_dir = shared_path(spark, "rain_scores")
+    ckpt = shared_path(spark, "ckpt_scoring")
 
     def score(batch):
         merged = ingest.halo_rows(batch, obs_dir)
@@ -114,21 +130,22 @@ def q_str_scoring(spark, sf_dir):
         scored = model.score(mine.na.fill(0.0, ["humidity"]))
         return models.rain_predictions(scored.select(KEY, TIME, "y_prob"))
 
-    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
-
     def write(batch, batch_id):
         batch.persist()
-        ingest.versioned_writer(obs_dir)(batch, batch_id)
-        ingest.scoring_writer(score, out_dir)(batch, batch_id)
+        # a no-data batch (watermark advance only) has nothing to store or score
+        if not batch.isEmpty():
+            ingest.versioned_writer(obs_dir)(batch, batch_id)
+            ingest.scoring_writer(score, out_dir)(batch, batch_id)
         batch.unpersist()
 
-    q = (
-        ingest.observation_stream(events)
-        .writeStream.outputMode("update")
-        .foreachBatch(write)
-        .option("checkpointLocation", shared_path(spark, "ckpt_scoring"))
-        .trigger(availableNow=True)
-        .start()
-    )
-    q.awaitTermination()
+    def run_once(src, schema):
+        writer = (
+            ingest.observation_stream(ingest.file_stream(spark, src, schema))
+            .writeStream.outputMode("update")
+            .foreachBatch(write)
+            .option("checkpointLocation", ckpt)
+        )
+        ingest.start_available_now(spark, writer, skip_empty_batches=True)
+
+    replay(spark, sf_dir, run_once)
     return ingest.latest(spark, out_dir, [KEY, TIME])

@@ -9,6 +9,7 @@ the shared checkpoint folder, so a restarted query resumes where it stopped.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,26 +78,66 @@ def latest(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(newest).select(*keys, *[F.col("_v")[c].alias(c) for c in rest])
 
 
+@contextmanager
+def without_no_data_batches(spark: SparkSession):
+    """Start queries inside this block without no-data micro-batches.
+
+    A no-data batch only advances the watermark and evicts state; in update mode
+    it emits no rows, and the next data batch evicts the same state.  A query
+    copies the session settings when it starts, so the setting is restored right
+    after ``start()`` and other work in the session is unaffected.
+    """
+    key = "spark.sql.streaming.noDataMicroBatches.enabled"
+    old = spark.conf.get(key, None)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        if old is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, old)
+
+
+def start_available_now(spark: SparkSession, writer, skip_empty_batches: bool = False):
+    """``trigger(availableNow)``, start and wait; optionally without no-data batches."""
+    writer = writer.trigger(availableNow=True)
+    if skip_empty_batches:
+        with without_no_data_batches(spark):
+            q = writer.start()
+    else:
+        q = writer.start()
+    q.awaitTermination()
+    return q
+
+
+def file_stream(spark: SparkSession, source_dir: str, schema, files_per_trigger: int | None = None) -> DataFrame:
+    """Parquet file stream; ``files_per_trigger`` None = all new files per batch."""
+    reader = spark.readStream.schema(schema)
+    if files_per_trigger is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return reader.parquet(source_dir)
+
+
 def run_ingest(
     spark: SparkSession,
     source_dir: str,
     sink_dir: str,
     checkpoint: str,
     schema,
-    files_per_trigger: int = 1,
+    files_per_trigger: int | None = None,
+    skip_empty_batches: bool = False,
 ) -> None:
-    """Process every file present in ``source_dir`` (availableNow) into the
-    versioned observation table at ``sink_dir``."""
-    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(source_dir)
-    q = (
+    """Process every file present in ``source_dir`` and not yet seen by the
+    checkpoint (availableNow) into the versioned observation table at ``sink_dir``."""
+    events = file_stream(spark, source_dir, schema, files_per_trigger)
+    writer = (
         observation_stream(events)
         .writeStream.outputMode("update")
         .foreachBatch(versioned_writer(sink_dir))
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
     )
-    q.awaitTermination()
+    start_available_now(spark, writer, skip_empty_batches)
 
 
 def halo_rows(batch: DataFrame, obs_dir: str, hours: int = HALO_HOURS) -> DataFrame:
@@ -139,25 +180,34 @@ def feature_writer(obs_dir: str, out_dir: str) -> Callable[[DataFrame, int], Non
     return write
 
 
-def run_features(spark: SparkSession, obs_dir: str, out_dir: str, checkpoint: str, source_dir: str, schema) -> None:
+def run_features(
+    spark: SparkSession,
+    obs_dir: str,
+    out_dir: str,
+    checkpoint: str,
+    source_dir: str,
+    schema,
+    files_per_trigger: int | None = None,
+    skip_empty_batches: bool = False,
+) -> None:
     """Second stage: observations stream -> live features (versioned)."""
-    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source_dir)
+    events = file_stream(spark, source_dir, schema, files_per_trigger)
     obs = observation_stream(events)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
-        versioned_writer(obs_dir)(batch, batch_id)
-        feature_writer(obs_dir, out_dir)(batch, batch_id)
+        # a no-data batch (watermark advance only) has nothing to store or score
+        if not batch.isEmpty():
+            versioned_writer(obs_dir)(batch, batch_id)
+            feature_writer(obs_dir, out_dir)(batch, batch_id)
         batch.unpersist()
 
-    q = (
+    writer = (
         obs.writeStream.outputMode("update")
         .foreachBatch(write)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
     )
-    q.awaitTermination()
+    start_available_now(spark, writer, skip_empty_batches)
 
 
 def scoring_writer(score: Callable[[DataFrame], DataFrame], out_dir: str) -> Callable[[DataFrame, int], None]:
