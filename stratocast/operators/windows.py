@@ -152,23 +152,26 @@ def add_time_diff(df, block_rows=DEFAULT_BLOCK_ROWS):
 def autocorrelation(df, col="temperature", max_lag=48, block_rows=DEFAULT_BLOCK_ROWS):
     """Pearson correlation of the series with itself ``l`` rows back, l = 1..max_lag.
 
-    One framed pass builds all lags, one grouped aggregate computes every
-    correlation (partial aggregation), then the wide row is unpivoted.
+    One framed pass puts the ``max_lag`` earlier values of each row in an array;
+    ``posexplode`` turns it into (lag, x, y) pairs that feed one grouped
+    correlation keyed by (location, lag).  The aggregate combines map-side, so
+    the shuffle carries at most locations x max_lag partial rows per task, and
+    the generated code holds one correlation, not ``max_lag`` of them.
     """
     d = ensure_index(df)
     lags = list(range(1, max_lag + 1))
     shifted = series.framed(
         d,
-        lambda w: [F.lag(F.col(col), n).over(w).alias(f"_l{n}") for n in lags],
+        lambda w: [F.array(*[F.lag(F.col(col), n).over(w) for n in lags]).alias("_lags")],
         max_lag,
         0,
         block_rows=block_rows,
     )
     from .eda import safe_corr
 
-    wide = shifted.groupBy(KEY).agg(*[safe_corr(F.col(col), F.col(f"_l{n}")).alias(f"a{n}") for n in lags])
-    return wide.unpivot(KEY, [f"a{n}" for n in lags], "lag_name", "autocorr").select(
-        KEY, F.expr("cast(substring(lag_name, 2) as int)").alias("lag"), "autocorr"
+    pairs = shifted.select(KEY, F.col(col).alias("_x"), F.posexplode("_lags").alias("_i", "_y"))
+    return pairs.groupBy(KEY, (F.col("_i") + F.lit(1)).cast("int").alias("lag")).agg(
+        safe_corr(F.col("_x"), F.col("_y")).alias("autocorr")
     )
 
 

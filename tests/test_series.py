@@ -161,3 +161,21 @@ def test_global_time_split(spark, sf):
     rows = sorted((r.valid_time, r.location_id, r.split) for r in got.collect())
     n = len(rows)
     assert [r[2] for r in rows] == ["train"] * int(n * 0.8) + ["test"] * (n - int(n * 0.8))
+
+
+def test_autocorrelation_matches_brute_force_across_blocks(spark, sf):
+    import math
+
+    obs = obs_hourly(load(spark, sf, "events")).select("location_id", "valid_time", "humidity")
+    pdf = obs.toPandas().sort_values(["location_id", "valid_time"])
+    exp = {}
+    for loc, g in pdf.groupby("location_id"):
+        s = g["humidity"].reset_index(drop=True)
+        for lag in range(1, 6):
+            pair = s.to_frame("x").assign(y=s.shift(lag)).dropna()
+            c = pair["x"].corr(pair["y"]) if len(pair) > 1 else float("nan")
+            exp[(loc, lag)] = None if math.isnan(c) else round(c, 9)
+    for block in (7, 100_000):
+        got = windows.autocorrelation(obs, "humidity", max_lag=5, block_rows=block).collect()
+        res = {(r.location_id, r.lag): None if r.autocorr is None else round(r.autocorr, 9) for r in got}
+        assert res == exp, f"block_rows={block}"
