@@ -287,15 +287,14 @@ def latest_features(df: DataFrame, col: str = "temperature") -> DataFrame:
     )
 
 
-def last_n_rows(df: DataFrame, n: int = 24, slack: int = 24) -> DataFrame:
+def last_n_rows(df: DataFrame, n: int = 24) -> DataFrame:
     """Keep the newest ``n`` rows of each location.
 
-    Candidates are the newest ``n + slack`` rows by row index (a filter), then
-    a tiny window ranks them; exact when at most ``slack`` of the newest rows
-    were removed before this call.
+    The rows present are numbered afresh (an index carried from an earlier
+    stage may have gaps where rows were filtered out), so the newest ``n`` are
+    exactly those with ``_rn > count - n``: a filter after a per-location count,
+    with no window over a location's history.
     """
-    d = ensure_index(df)
+    d = series.index_rows(df.drop(RN) if RN in df.columns else df)
     cnt = d.groupBy(KEY).agg(F.max(RN).alias("_cnt"))
-    cand = d.join(cnt, KEY).filter(F.col(RN) > F.col("_cnt") - F.lit(n + slack)).drop("_cnt")
-    w = Window.partitionBy(KEY).orderBy(F.col(RN).desc())
-    return cand.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= n).drop("_rk")
+    return d.join(cnt, KEY).filter(F.col(RN) > F.col("_cnt") - F.lit(n)).drop("_cnt")

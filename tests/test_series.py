@@ -179,3 +179,17 @@ def test_autocorrelation_matches_brute_force_across_blocks(spark, sf):
         got = windows.autocorrelation(obs, "humidity", max_lag=5, block_rows=block).collect()
         res = {(r.location_id, r.lag): None if r.autocorr is None else round(r.autocorr, 9) for r in got}
         assert res == exp, f"block_rows={block}"
+
+
+def test_last_n_rows_exact_after_rows_removed(spark, sf):
+    obs = series.index_rows(obs_hourly(load(spark, sf, "events")))
+    # remove the 40 newest rows of every location after indexing: the carried
+    # index now has a gap at the top, wider than any fixed slack
+    cnt = obs.groupBy("location_id").agg(F.max("_rn").alias("_c"))
+    kept = obs.join(cnt, "location_id").filter(F.col("_rn") <= F.col("_c") - 40).drop("_c")
+    got = windows.last_n_rows(kept, 24).select("location_id", "valid_time")
+    pdf = kept.select("location_id", "valid_time").toPandas()
+    exp = sorted(
+        (loc, t) for loc, g in pdf.groupby("location_id") for t in g["valid_time"].nlargest(24)
+    )
+    assert sorted((r.location_id, r.valid_time) for r in got.collect()) == exp
