@@ -3,9 +3,11 @@
 Curve metrics (ROC-AUC, average precision, the curves themselves) need, for
 every distinct score, the cumulative positives and negatives at or above it.
 That is a prefix sum in score order; instead of one global sort in one task we
-(1) count per distinct score (partial aggregation), (2) cut the score range
-into ``buckets`` fixed bins and prefix-sum the small bin table, and (3) run
-the cumulative window only inside each bin.
+(1) count per distinct score (partial aggregation), (2) cut the distinct
+scores into ``buckets`` bins at approximate quantiles and prefix-sum the small
+bin table, and (3) run the cumulative window only inside each bin.  Quantile
+edges give every bin about the same number of distinct scores however the
+scores are distributed (probabilities often crowd near 0), so no bin is hot.
 """
 
 from __future__ import annotations
@@ -70,17 +72,23 @@ def class_report(df: DataFrame, y="y_true", p="y_prob", threshold: float = DEFAU
 
 
 def score_points(df: DataFrame, y="y_true", p="y_prob", buckets: int = 1024) -> DataFrame:
-    """One row per distinct score with its positives/negatives (pos, neg) and the
-    cumulative counts at or above it (TP, FP), plus totals P and N.
+    """One row per distinct (non-null) score with its positives/negatives
+    (pos, neg) and the cumulative counts at or above it (TP, FP), plus totals
+    P and N."""
+    from pyspark.ml.feature import Bucketizer
 
-    Scores are probabilities in [0, 1]; bins are ``floor(p * buckets)``.
-    """
     t = F.col(y) == 1
-    pts = df.groupBy(F.col(p).alias("score")).agg(
-        F.count_if(t).alias("pos"), F.count_if(~t).alias("neg")
+    pts = (
+        df.filter(F.col(p).isNotNull())
+        .groupBy(F.col(p).cast("double").alias("score"))
+        .agg(F.count_if(t).alias("pos"), F.count_if(~t).alias("neg"))
     )
-    b = F.least(F.greatest(F.floor(F.col("score") * buckets), F.lit(0)), F.lit(buckets - 1)).cast("int")
-    pts = pts.withColumn("_bin", b)
+    # at most buckets-1 edges reach the driver, whatever the number of scores
+    probs = [i / buckets for i in range(1, buckets)]
+    edges = pts.agg(F.percentile_approx("score", probs, 10 * buckets).alias("e")).first()["e"] or []
+    splits = [float("-inf"), *sorted({float(e) for e in edges}), float("inf")]
+    pts = Bucketizer(splits=splits, inputCol="score", outputCol="_b").transform(pts)
+    pts = pts.withColumn("_bin", F.col("_b").cast("int")).drop("_b")
     bins = pts.groupBy("_bin").agg(F.sum("pos").alias("_bp"), F.sum("neg").alias("_bn"))
     # the bin table has at most ``buckets`` rows: one ordered window is fine
     above = Window.orderBy(F.col("_bin").desc()).rowsBetween(Window.unboundedPreceding, -1)

@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from stratocast.operators import metrics as M
 
 
@@ -84,3 +86,17 @@ def test_regression_metrics(spark):
     got = {r.step: r for r in M.regression_metrics(df).collect()}
     assert got["+1h"].mae == 0.5 and got["overall"].n == 3
     assert abs(got["+1h"].r2 - (1 - 1.0 / 2.0)) < 1e-12
+
+
+def test_auc_and_ap_with_scores_crowded_near_zero(spark):
+    # most distinct scores fall in [0, 0.001): fixed-width bins would put them all
+    # in one bin; quantile bins spread them, and the result stays exact
+    rnd = random.Random(11)
+    pairs = [(int(rnd.random() < 0.1), rnd.randint(0, 5000) / 5e6) for _ in range(900)]
+    pairs += [(int(rnd.random() < 0.8), rnd.randint(0, 100) / 100) for _ in range(100)]
+    pts = M.score_points(_frame(spark, pairs), buckets=16)
+    assert abs(pts.agg(F.sum("pos") + F.sum("neg")).first()[0] - len(pairs)) == 0
+    auc = M.roc_auc(pts).first().roc_auc
+    ap = M.average_precision(pts).first().average_precision
+    assert abs(auc - _brute_auc(pairs)) < 1e-12
+    assert abs(ap - _brute_ap(pairs)) < 1e-12
