@@ -57,17 +57,22 @@ def mean_by(df: DataFrame, group: Sequence, col: str) -> DataFrame:
 def five_numbers(df: DataFrame, group: Sequence[str], col: str, exact: bool = True, accuracy: int = 10000) -> DataFrame:
     """min, quartiles (linear interpolation), max per group.
 
-    ``exact`` uses ``percentile`` (state per distinct value of the group);
+    ``exact`` finds the order statistics by narrowing value intervals
+    (``quantiles.exact_quantiles``), so no task holds a group's values;
     ``exact=False`` uses ``percentile_approx`` with bounded state.
     """
     c = F.col(col)
-    q = (
-        F.percentile(c, F.array(*[F.lit(x) for x in QUARTILES]))
-        if exact
-        else F.percentile_approx(c, F.array(*[F.lit(x) for x in QUARTILES]), accuracy)
-    )
-    out = df.groupBy(*group).agg(F.min(c).alias("min"), q.alias("_q"), F.max(c).alias("max"), F.count(c).alias("n"))
-    return out.select(*group, "n", "min", *[F.col("_q")[i].alias(n) for i, n in enumerate(["q1", "median", "q3"])], "max")
+    names = ["q1", "median", "q3"]
+    out = df.groupBy(*group).agg(F.min(c).alias("min"), F.max(c).alias("max"), F.count(c).alias("n"))
+    if exact:
+        from .quantiles import quantile_columns
+
+        q = quantile_columns(df, group, col, QUARTILES, names)
+        out = out.join(q, list(group), "left")
+        return out.select(*group, "n", "min", *names, "max")
+    approx = F.percentile_approx(c, F.array(*[F.lit(x) for x in QUARTILES]), accuracy)
+    out = df.groupBy(*group).agg(F.min(c).alias("min"), approx.alias("_q"), F.max(c).alias("max"), F.count(c).alias("n"))
+    return out.select(*group, "n", "min", *[F.col("_q")[i].alias(n) for i, n in enumerate(names)], "max")
 
 
 def describe(df: DataFrame, cols: Sequence[str], exact: bool = True) -> DataFrame:
@@ -76,23 +81,24 @@ def describe(df: DataFrame, cols: Sequence[str], exact: bool = True) -> DataFram
         F.array(*[F.lit(c) for c in cols]), F.array(*[F.col(c).cast("double") for c in cols])
     )).alias("column_name", "value"))
     v = F.col("value")
-    q = (
-        F.percentile(v, F.array(*[F.lit(x) for x in QUARTILES]))
-        if exact
-        else F.percentile_approx(v, F.array(*[F.lit(x) for x in QUARTILES]), 10000)
-    )
-    out = long.groupBy("column_name").agg(
+    stats = [
         F.count(v).alias("count"),
         F.avg(v).alias("mean"),
         F.stddev_samp(v).alias("std"),
         F.min(v).alias("min"),
-        q.alias("_q"),
         F.max(v).alias("max"),
-    )
-    return out.select(
-        "column_name", "count", "mean", "std", "min",
-        F.col("_q")[0].alias("p25"), F.col("_q")[1].alias("p50"), F.col("_q")[2].alias("p75"), "max",
-    )
+    ]
+    names = ["p25", "p50", "p75"]
+    if exact:
+        from .quantiles import quantile_columns
+
+        out = long.groupBy("column_name").agg(*stats)
+        out = out.join(quantile_columns(long, ["column_name"], "value", QUARTILES, names), "column_name", "left")
+    else:
+        approx = F.percentile_approx(v, F.array(*[F.lit(x) for x in QUARTILES]), 10000)
+        out = long.groupBy("column_name").agg(*stats, approx.alias("_q"))
+        out = out.select("*", *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
+    return out.select("column_name", "count", "mean", "std", "min", *names, "max")
 
 
 def null_counts(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
