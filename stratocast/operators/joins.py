@@ -31,7 +31,9 @@ def merge_variables(instant: DataFrame, accumulated: DataFrame, on=(TIME, "latit
 
 def weather_codes(spark: SparkSession) -> DataFrame:
     """The fixed 17-row code table."""
-    return spark.createDataFrame(WEATHER_CODES, "code int, description string, icon string")
+    from ..sources.literals import literal_table
+
+    return literal_table(spark, WEATHER_CODES, [("code", "int"), ("description", "string"), ("icon", "string")])
 
 
 def lookup_codes(df: DataFrame, code_col: str = "weathercode") -> DataFrame:

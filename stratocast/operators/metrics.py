@@ -163,8 +163,10 @@ def threshold_sweep(df: DataFrame, y="y_true", p="y_prob", thresholds=SWEEP) ->
     n_bin = sum((F.col(p) >= F.lit(t)).cast("int") for t in thresholds)
     t = F.col(y) == 1
     per_bin = df.groupBy(n_bin.alias("bin")).agg(F.count_if(t).alias("pos"), F.count_if(~t).alias("neg"))
-    grid = spark.createDataFrame(
-        [(i + 1, float(thr)) for i, thr in enumerate(thresholds)] + [(0, None)], "bin int, thr double"
+    from ..sources.literals import literal_table
+
+    grid = literal_table(
+        spark, [(i + 1, float(thr)) for i, thr in enumerate(thresholds)] + [(0, None)], [("bin", "int"), ("thr", "double")]
     )
     full = grid.join(per_bin, "bin", "left").na.fill(0, ["pos", "neg"])
     # at most len(thresholds)+1 rows
