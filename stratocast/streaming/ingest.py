@@ -1,8 +1,9 @@
 """Structured Streaming jobs: observation ingest, rolling live features, scoring.
 
-Sinks are idempotent: every micro-batch writes its own folder
-(``batch_id=N``) with overwrite, so a replayed batch replaces itself, and
-readers keep the newest version of each key (``latest``).  Checkpoints live in
+Sinks are idempotent: every micro-batch writes its own folders (``batch_id=N``;
+the observation store under ``obs_day=D/batch_id=N``) with overwrite, so a
+replayed batch replaces itself, and readers keep the newest version of each key
+(``latest``).  Checkpoints live in
 the shared checkpoint folder, so a restarted query resumes where it stopped.
 """
 
@@ -60,11 +61,29 @@ def utc_instant(ts_ntz):
     )
 
 
+# Partition columns of the versioned observation store (no leading underscore:
+# Spark skips folders named ``_...`` as hidden).
+DAY = "obs_day"
+VERSION = "batch_id"
+
+
 def versioned_writer(path: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch sink: each batch overwrites its own ``batch_id=N`` folder."""
+    """foreachBatch sink for the observation store, laid out ``obs_day=D/batch_id=N``.
+
+    Dynamic partition overwrite replaces exactly the (day, batch) folders of this
+    batch, so a replayed batch replaces itself; readers that need a time range
+    prune to its day folders instead of listing every batch ever written.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        (
+            batch.withColumn(DAY, F.to_date(F.col(TIME)))
+            .withColumn(VERSION, F.lit(batch_id))
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy(DAY, VERSION)
+            .parquet(path)
+        )
 
     return write
 
@@ -73,8 +92,8 @@ def latest(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
     """Newest version of each key across all batch folders (an aggregate:
     partial max_by per key, no window over a key's history)."""
     df = spark.read.parquet(path)
-    rest = [c for c in df.columns if c not in keys and c != "batch_id"]
-    newest = F.max_by(F.struct(*rest), F.col("batch_id")).alias("_v")
+    rest = [c for c in df.columns if c not in keys and c not in (VERSION, DAY)]
+    newest = F.max_by(F.struct(*rest), F.col(VERSION)).alias("_v")
     return df.groupBy(*keys).agg(newest).select(*keys, *[F.col("_v")[c].alias(c) for c in rest])
 
 
@@ -156,11 +175,12 @@ def halo_rows(batch: DataFrame, obs_dir: str, hours: int = HALO_HOURS) -> DataFr
     # the bound as a TIMESTAMP_NTZ parsed from text: no session-zone conversion
     lower = F.to_timestamp_ntz(F.lit(first.isoformat())) - F.make_dt_interval(F.lit(0), F.lit(hours))
     try:
-        stored = spark.read.parquet(obs_dir).filter(F.col(TIME) >= lower)
+        # the day bound prunes partition folders, the time bound row groups
+        stored = spark.read.parquet(obs_dir).filter((F.col(DAY) >= F.to_date(lower)) & (F.col(TIME) >= lower))
     except Exception:  # noqa: BLE001 - no earlier batch written yet
         return batch
-    rest = [c for c in stored.columns if c not in (KEY, TIME, "batch_id")]
-    newest = stored.groupBy(KEY, TIME).agg(F.max_by(F.struct(*rest), F.col("batch_id")).alias("_v"))
+    rest = [c for c in stored.columns if c not in (KEY, TIME, VERSION, DAY)]
+    newest = stored.groupBy(KEY, TIME).agg(F.max_by(F.struct(*rest), F.col(VERSION)).alias("_v"))
     stored = newest.select(KEY, TIME, *[F.col("_v")[c].alias(c) for c in rest])
     near = stored.join(span, KEY).filter(
         F.col(TIME) >= F.col("_from") - F.make_dt_interval(F.lit(0), F.lit(hours))
