@@ -41,7 +41,9 @@ def _intervals(vals: DataFrame, state: DataFrame, ks: list[str], small: bool) ->
     the join shuffles on the keys and AQE splits a skewed key."""
     v = F.col("_v")
     st = F.broadcast(state) if small else state
-    return vals.join(st, ks).filter((v >= F.col("_a")) & (v < F.col("_b")))
+    # [a, b), except that the top interval also holds +inf (as Bucketizer's last bucket)
+    below_b = (v < F.col("_b")) | (F.col("_b") == F.lit(float("inf")))
+    return vals.join(st, ks).filter((v >= F.col("_a")) & below_b)
 
 
 def exact_quantiles(
