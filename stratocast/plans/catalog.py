@@ -16,30 +16,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def _bigint_counts(sql: str) -> str:
-    """Wrap each ``count_if(...)`` as BIGINT (DuckDB returns HUGEINT, Spark bigint)."""
-    out, i, token = [], 0, "count_if("
-    while True:
-        j = sql.find(token, i)
-        if j < 0:
-            out.append(sql[i:])
-            return "".join(out)
-        depth, k = 1, j + len(token)
-        while depth:
-            depth += {"(": 1, ")": -1}.get(sql[k], 0)
-            k += 1
-        out.append(sql[i:j])
-        out.append(f"CAST({token}{_bigint_counts(sql[j + len(token):k - 1])}) AS BIGINT)")
-        i = k
-
-
 def query(name: str, sql: str | None = None):
     def deco(fn):
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
         QUERIES[name] = fn
         if sql is not None:
-            SQL[name] = _bigint_counts(sql)
+            SQL[name] = sql
         return fn
 
     return deco

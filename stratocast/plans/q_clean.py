@@ -141,7 +141,7 @@ _RANGE_COLS = ["temperature", "surface_pressure", "total_cloud_cover", "precipit
     "qc_range_counts",
     OBS
     + " UNION ALL ".join(
-        f"SELECT '{c}' AS column_name, count_if({c} < {S.BOUNDS[c][0]} OR {c} > {S.BOUNDS[c][1]}) AS violations FROM obs\n"
+        f"SELECT '{c}' AS column_name, count(*) FILTER (WHERE {c} < {S.BOUNDS[c][0]} OR {c} > {S.BOUNDS[c][1]}) AS violations FROM obs\n"
         for c in _RANGE_COLS
     ),
 )
@@ -164,9 +164,9 @@ def q_qc_range_clip(spark, sf_dir):
                    AND temp_rolling_6 IS NOT NULL),
 chk AS (SELECT *, lag(temperature) OVER (PARTITION BY location_id ORDER BY valid_time) AS _expected FROM kept)
 SELECT location_id, round(max(abs(_expected - temp_lag_1)), 6) AS lag1_max_diff,
-       count_if(rain_tomorrow NOT IN (0, 1)) AS non_binary_labels,
+       count(*) FILTER (WHERE rain_tomorrow NOT IN (0, 1)) AS non_binary_labels,
        CAST(0 AS BIGINT) AS null_cells,
-       coalesce(max(abs(_expected - temp_lag_1)), 0) <= 0.01 AND count_if(rain_tomorrow NOT IN (0, 1)) = 0 AS passed
+       coalesce(max(abs(_expected - temp_lag_1)), 0) <= 0.01 AND count(*) FILTER (WHERE rain_tomorrow NOT IN (0, 1)) = 0 AS passed
 FROM chk GROUP BY location_id""",
 )
 def q_qc_validate(spark, sf_dir):

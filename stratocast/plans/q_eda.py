@@ -31,10 +31,10 @@ def feats(spark, sf_dir):
 @query(
     "ag_class_balance",
     CLEAN_FEAT
-    + """SELECT count_if(rain_tomorrow = 1) AS n_pos, count_if(rain_tomorrow = 0) AS n_neg,
+    + """SELECT count(*) FILTER (WHERE rain_tomorrow = 1) AS n_pos, count(*) FILTER (WHERE rain_tomorrow = 0) AS n_neg,
        count(rain_tomorrow) AS n_valid,
-       round(count_if(rain_tomorrow = 1) * 100.0::DOUBLE / count(rain_tomorrow), 6) AS pos_pct,
-       round(count_if(rain_tomorrow = 0) / greatest(count_if(rain_tomorrow = 1), 1)::DOUBLE, 6) AS imbalance_ratio
+       round(count(*) FILTER (WHERE rain_tomorrow = 1) * 100.0::DOUBLE / count(rain_tomorrow), 6) AS pos_pct,
+       round(count(*) FILTER (WHERE rain_tomorrow = 0) / greatest(count(*) FILTER (WHERE rain_tomorrow = 1), 1)::DOUBLE, 6) AS imbalance_ratio
 FROM feat""",
 )
 def q_ag_class_balance(spark, sf_dir):
@@ -122,9 +122,9 @@ _OBS_COLS = ["location_id", "valid_time", "temperature", "precipitation", "humid
 @query(
     "ag_null_counts",
     S.with_(S.OBS)
-    + " UNION ALL ".join(f"SELECT '{c}' AS column_name, count_if({c} IS NULL) AS nulls FROM obs\n" for c in _OBS_COLS)
+    + " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) FILTER (WHERE {c} IS NULL) AS nulls FROM obs\n" for c in _OBS_COLS)
     + " UNION ALL SELECT 'TOTAL', "
-    + " + ".join(f"count_if({c} IS NULL)" for c in _OBS_COLS)
+    + " + ".join(f"count(*) FILTER (WHERE {c} IS NULL)" for c in _OBS_COLS)
     + " FROM obs",
 )
 def q_ag_null_counts(spark, sf_dir):
@@ -145,7 +145,7 @@ _PROFILE = [
     "ag_profile",
     CLEAN_FEAT
     + " UNION ALL ".join(
-        f"SELECT '{c}' AS column_name, '{t}' AS dtype, count_if({c} IS NULL) AS nulls, "
+        f"SELECT '{c}' AS column_name, '{t}' AS dtype, count(*) FILTER (WHERE {c} IS NULL) AS nulls, "
         + (f"CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max" if t != "timestamp_ntz"
            else "CAST(NULL AS DOUBLE) AS min, CAST(NULL AS DOUBLE) AS max")
         + " FROM feat\n"

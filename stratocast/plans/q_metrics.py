@@ -157,8 +157,8 @@ def q_ml_minmax_inverse(spark, sf_dir):
 
 # --- classification metrics ------------------------------------------------------
 
-_CM = """cm AS (SELECT count_if(y_true = 1 AND y_prob >= 0.5) AS tp, count_if(y_true <> 1 AND y_prob >= 0.5) AS fp,
-                   count_if(y_true = 1 AND y_prob < 0.5) AS fn, count_if(y_true <> 1 AND y_prob < 0.5) AS tn FROM scored)"""
+_CM = """cm AS (SELECT count(*) FILTER (WHERE y_true = 1 AND y_prob >= 0.5) AS tp, count(*) FILTER (WHERE y_true <> 1 AND y_prob >= 0.5) AS fp,
+                   count(*) FILTER (WHERE y_true = 1 AND y_prob < 0.5) AS fn, count(*) FILTER (WHERE y_true <> 1 AND y_prob < 0.5) AS tn FROM scored)"""
 
 
 @query(
@@ -187,7 +187,7 @@ def q_ml_class_report(spark, sf_dir):
     return _r6_all(M.class_report(scored(spark, sf_dir)), ["precision", "recall", "f1"])
 
 
-_PTS = """pts AS (SELECT y_prob AS score, count_if(y_true = 1) AS pos, count_if(y_true <> 1) AS neg FROM scored GROUP BY 1),
+_PTS = """pts AS (SELECT y_prob AS score, count(*) FILTER (WHERE y_true = 1) AS pos, count(*) FILTER (WHERE y_true <> 1) AS neg FROM scored GROUP BY 1),
 cum AS (SELECT *, sum(pos) OVER (ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS TP,
                sum(neg) OVER (ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS FP,
                sum(pos) OVER () AS P, sum(neg) OVER () AS N FROM pts)"""
@@ -234,8 +234,8 @@ _THR = "thr(idx, t) AS (VALUES " + ", ".join(f"({i + 1}, '{t!r}'::DOUBLE)" for i
 _SWEEP = (
     S.with_(S.SCORED, _THR)
     + """, c AS (SELECT thr.idx, thr.t,
-              count_if(y_true = 1 AND y_prob >= t) AS tp, count_if(y_true <> 1 AND y_prob >= t) AS fp,
-              count_if(y_true = 1 AND y_prob < t) AS fn, count_if(y_true <> 1 AND y_prob < t) AS tn
+              count(*) FILTER (WHERE y_true = 1 AND y_prob >= t) AS tp, count(*) FILTER (WHERE y_true <> 1 AND y_prob >= t) AS fp,
+              count(*) FILTER (WHERE y_true = 1 AND y_prob < t) AS fn, count(*) FILTER (WHERE y_true <> 1 AND y_prob < t) AS tn
        FROM thr, scored GROUP BY 1, 2),
 sw AS (SELECT CAST(idx AS INTEGER) AS idx, """
     + S.bround("t", 2)
