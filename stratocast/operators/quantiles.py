@@ -26,7 +26,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoint
+from ..session import checkpoint, materialize
 
 FINISH_ROWS = 100_000
 BINS = 1024
@@ -66,13 +66,14 @@ def exact_quantiles(
 
     x = F.col(col).cast("double")
     # the value counts feed several branches (sizes, ranks, intervals): one scan
-    # of the input, written once to the shared checkpoint folder
+    # of the input, written once as Parquet in the shared checkpoint folder
+    # (columnar re-reads with size statistics for the joins)
     vals = (
         df.filter(x.isNotNull() & ~F.isnan(x))
         .groupBy(*ks, x.alias("_v"))
         .agg(F.count(F.lit(1)).alias("_c"))
-        .transform(checkpoint)
     )
+    vals = materialize(vals, "quantile_value_counts")
     # distinct values of the largest group and the number of groups, one job
     sizes = vals.groupBy(*ks).agg(F.count(F.lit(1)).alias("_k")).agg(
         F.max("_k").alias("widest"), F.count(F.lit(1)).alias("groups")
