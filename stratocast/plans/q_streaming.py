@@ -14,7 +14,6 @@ from ..schema import KEY, RAIN_FEATURES, TIME
 from ..session import shared_path, checkpoint
 from ..sources.tables import STANDIN_RAIN_THRESHOLD, clean_table, load
 from ..streaming import ingest
-from ..operators import windows
 from . import sqlparts as S
 from .catalog import query, r6
 from .features import build_features, drop_incomplete
@@ -110,8 +109,6 @@ def q_str_scoring(spark, sf_dir):
     """Fit the rain classifier on the batch history, then score every arriving
     hour with features built from the stored 48-hour halo."""
     from ..operators import models
-    from .clean import clean_series
-    from ..sources.tables import obs_hourly
 
     hist = drop_incomplete(
         build_features(clean_table(spark, sf_dir, keep_index=True), threshold=STANDIN_RAIN_THRESHOLD)
