@@ -23,3 +23,14 @@ def test_scan_prunes_columns_and_pushes_filters(spark, sf):
     text = _plan(ev)
     assert "PushedFilters: [IsNotNull(value), GreaterThan(value,10.0)]" in text
     assert "ReadSchema: struct<user_id:bigint,value:double>" in text
+
+
+def test_autocorrelation_plan_is_partitioned_and_jvm_only(spark, sf):
+    from stratocast.operators import windows
+
+    a = windows.autocorrelation(obs_hourly(load(spark, sf, "events")), "temperature", 48)
+    text = _plan(a)
+    assert "SinglePartition" not in text
+    assert "BatchEvalPython" not in text and "ArrowEvalPython" not in text
+    # one correlation aggregate keyed by (location, lag), combined map-side
+    assert "partial_" in text
