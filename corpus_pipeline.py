@@ -1,21 +1,70 @@
-"""The corpus pipeline: stages over ``documents``, each one of the numbered operators."""
+"""The corpus pipeline: stages over ``documents``, each one of the numbered operators.
+
+Every stage but the last returns the columns it was given, so stages can be
+written and read again one by one.  A stage works on all that the one before it
+kept:
+
+1. language ID: texts without a language go (null, or no letters), and those
+   whose prediction is no better than ``LANGUAGE_SCORE``;
+2. quality: texts that the classifier predicts to be of label 0 go;
+3. exact dedup: of equal texts the row with the largest doc_id stays;
+4. near dedup: of each class of near-duplicates the row with the smallest doc_id stays;
+5. packing of what is left into sequences: one row per piece.
+
+Rows are told apart by doc_id; rows without one can't be told apart and go where
+the stage would have to choose between them.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from stratocast.llm.packing import pack
+from stratocast.llm import bag_minhash, exact_dedup, language_id, packing, quality_cnn
 from stratocast.llm.registry import ship
 from stratocast.session import materialize
 from stratocast.sources.tables import load
 
+#: Shares of the kernel score below which no language is believed.
+LANGUAGE_SCORE = 0.35
+
+
+def _keep(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Rows of docs whose doc_id is among the chosen, with the columns of docs."""
+    ids = chosen.select(F.col("doc_id").alias("_chosen")).distinct()
+    return docs.join(ids, docs["doc_id"] == ids["_chosen"], "left_semi")
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = language_id.identify(docs)
+    return _keep(docs, found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LANGUAGE_SCORE)))
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = quality_cnn.score_quality(docs, load(spark, sf_dir, "labels"))
+    return _keep(docs, found.where("predicted = 1"))
+
+
+def drop_exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _keep(docs, exact_dedup.exact_duplicates(docs).where("kept"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _keep(docs, bag_minhash.near_duplicates(docs).where("kept"))
+
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4 on what the earlier stages kept: one row per piece."""
-    return pack(docs)
+    return packing.pack(docs)
 
 
-STAGES = [("best_fit_packing", pack_sequences)]
+STAGES = [
+    ("language_id", identify_language),
+    ("quality", keep_quality),
+    ("exact_dedup", drop_exact_duplicates),
+    ("near_dedup", drop_near_duplicates),
+    ("packing", pack_sequences),
+]
+#: Three stages have no SQL form (two classifiers and a signature scheme); the tests compare run() with brute force.
 ORACLE_SQL = None
 
 

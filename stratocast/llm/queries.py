@@ -48,3 +48,38 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import count_tokens
 
     return count_tokens(load(spark, sf_dir, "documents"))
+
+
+@query("op3_embedding_links")
+def op3_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .cover_tree import linked_vectors
+
+    return linked_vectors(load(spark, sf_dir, "embeddings"))
+
+
+@query("op6_near_duplicates")
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bag_minhash import near_duplicates
+
+    return near_duplicates(load(spark, sf_dir, "documents"))
+
+
+@query("op8_language_id")
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import identify
+
+    return identify(load(spark, sf_dir, "documents"))
+
+
+@query("op9_page_text")
+def op9_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .page_diff import extract
+
+    return extract(load(spark, sf_dir, "pages"))
+
+
+@query("op10_quality")
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_cnn import score_quality
+
+    return score_quality(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
