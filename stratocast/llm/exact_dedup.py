@@ -10,8 +10,8 @@
    or more than once.
 3. Rows so marked are suspects.  Only their texts are shuffled: a bitmap of the
    suspects' hashes (at most ``BITMAP`` bits, whatever the input) lets other rows
-   stay where they are, a semi-join removes what passed it by chance, and texts
-   are grouped by their bytes with map-side combining.
+   stay where they are, texts are grouped by their bytes with map-side combining,
+   and a semi-join removes what passed the bitmap by chance.
 4. Hashes that turn out to stand for several texts (none in practice) are
    settled by grouping and joining on the texts themselves.
 
@@ -164,8 +164,9 @@ def exact_duplicates(docs: DataFrame, fingerprint=_fingerprint, bits: int = BITM
     suspects = rows.where("suspect")
     hashes = suspects.select("h").distinct()
     may_be = suspect_filter(hashes, bits)
-    texts = t.where(may_be("h")).join(hashes, "h", "left_semi")
-    by_text = texts.groupBy("h", "text").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keep_id"))
+    # copies are combined map-side before they are dealt by their hash
+    by_text = t.where(may_be("h")).groupBy("h", "text").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keep_id"))
+    by_text = by_text.join(hashes, "h", "left_semi")
     groups = materialize(by_text.groupBy("h").agg(F.count(F.lit(1)).alias("texts"), F.max("n").alias("n"), F.max("keep_id").alias("keep_id")), "text-groups")
 
     def out(df):

@@ -121,7 +121,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             taken[r["lang"]] = taken.get(r["lang"], 0) + 1
             marks.append(np.unpackbits(np.frombuffer(bytes(r["bits"]), np.uint8), count=int(_START[-1])))
             langs.append(r["lang"])
-    return fit(np.array(marks, np.uint8).reshape(len(langs), -1), langs)
+    return fit(np.array(marks, np.uint8).reshape(len(langs), int(_START[-1])), langs)
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:

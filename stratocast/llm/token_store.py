@@ -114,8 +114,9 @@ def write(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: int =
         ids, counts, frames = [], [], []
 
         def close():
+            known = [x for x in ids if x is not None]
             return pa.RecordBatch.from_pylist(
-                [{"part": part, "place": place, "first_id": ids[0], "last_id": ids[-1], "start": start, "tokens": sum(counts), "block": pack_block(ids, counts, frames, e.dtype.itemsize, dictionary_hash(dictionary))}],
+                [{"part": part, "place": place, "first_id": min(known, default=None), "last_id": max(known, default=None), "start": start, "tokens": sum(counts), "block": pack_block(ids, counts, frames, e.dtype.itemsize, dictionary_hash(dictionary))}],
                 schema=pa.schema([("part", pa.int32()), ("place", pa.int64()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("start", pa.int64()), ("tokens", pa.int64()), ("block", pa.binary())]),
             )
 
