@@ -68,13 +68,14 @@ def range_position_pct(current: Column, lo: Column, hi: Column) -> Column:
 
 
 def clamp_pct(x: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), x))
+    """Within 0 and 100; an unknown value draws an empty bar (``least`` would skip the null)."""
+    return F.when(x > F.lit(100.0), F.lit(100.0)).when(x > F.lit(0.0), x).otherwise(F.lit(0.0))
 
 
 def hydro_bars(humidity: Column, precip: Column, pressure: Column) -> list[Column]:
     return [
         clamp_pct(humidity).alias("humidity_bar"),
-        clamp_pct(F.least(precip * F.lit(10.0), F.lit(100.0))).alias("precip_bar"),
+        clamp_pct(precip * F.lit(10.0)).alias("precip_bar"),
         clamp_pct((pressure - F.lit(980.0)) / F.lit(60.0) * F.lit(100.0)).alias("pressure_bar"),
     ]
 

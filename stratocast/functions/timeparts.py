@@ -26,6 +26,12 @@ def utc_to_local(ts: Column, tz: str = LOCAL_TZ) -> Column:
     return F.convert_timezone(F.lit("UTC"), F.lit(tz), ts.cast("timestamp_ntz"))
 
 
+def utc_wall_clock(instant: Column) -> Column:
+    """An instant as the naive UTC wall clock (a plain cast would use the session zone)."""
+    seconds = (F.unix_micros(instant) / F.lit(1e6)).cast("decimal(18,6)")
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
+
+
 def date_parts(ts: Column) -> list[Column]:
     """hour, day, month, day_of_week (0 = Monday)."""
     return [

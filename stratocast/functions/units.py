@@ -14,7 +14,7 @@ from ..schema import KELVIN_OFFSET, MAGNUS_A, MAGNUS_B
 
 def nan_to_null(c: Column) -> Column:
     """Spark orders NaN above every number (so NaN > x is true); use null instead."""
-    return F.nanvl(c, F.lit(None).cast("double"))
+    return F.nanvl(c.cast("double"), F.lit(None).cast("double"))
 
 
 def kelvin_to_celsius(k: Column) -> Column:
@@ -58,5 +58,6 @@ def fraction_to_percent(f: Column) -> Column:
 
 
 def clip_range(x: Column, lo: float, hi: float) -> Column:
-    """Clip to [lo, hi]; null stays null."""
+    """Clip to [lo, hi]; null stays null, NaN (unknown too) becomes null."""
+    x = nan_to_null(x)
     return F.when(x < F.lit(lo), F.lit(lo)).when(x > F.lit(hi), F.lit(hi)).otherwise(x)

@@ -9,20 +9,6 @@ from ..functions import presentation as P
 from ..functions.timeparts import day_label
 from ..schema import KEY, TIME, UNKNOWN_CODE, WEATHER_CODES
 
-# Row bound below which a lookup side is broadcast; larger sides go through a
-# shuffle join (AQE may still broadcast from runtime statistics).
-BROADCAST_MAX_ROWS = 1_000_000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only after checking it holds at most ``max_rows`` rows.
-
-    The check reads at most ``max_rows + 1`` rows; above the bound the frame is
-    returned unchanged and the join shuffles (skewed keys split by AQE).
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
 
 def merge_variables(instant: DataFrame, accumulated: DataFrame, on=(TIME, "latitude", "longitude")) -> DataFrame:
     """Attach accumulated variables to instantaneous rows by key (not by position)."""
@@ -77,7 +63,8 @@ def resolve_places(queries: DataFrame, gazetteer: DataFrame, query_col: str = "q
         F.col("_b.longitude").alias("longitude"),
     )
     q = queries.withColumn("_key", normalise_place(F.col(query_col)))
-    j = q.join(broadcast_if_small(top), "_key", "left")
+    # AQE broadcasts the gazetteer from its measured size, or splits a hot name
+    j = q.join(top, "_key", "left")
     display = F.concat_ws(
         ", ",
         F.col("place_name"),
@@ -105,15 +92,15 @@ def dashboard(
     daily: DataFrame,
     rain: DataFrame | None = None,
     hours: int = 24,
-    days: int = 7,
+    days: int | None = None,
 ) -> DataFrame:
     """One record per location: current conditions, hourly strip, daily list,
     optional rain prediction.
 
-    The strip and the daily list keep the newest ``hours`` hours / ``days``
-    days of each location (a per-location max, a join and a filter; no window
-    over a whole location), so every ``collect_list`` has a fixed bound on a
-    de-duplicated hourly/daily series.
+    The strip shows the newest ``hours`` hours of each location; the daily list
+    every day that ``daily`` holds for it (the days of a payload), or the newest
+    ``days``.  Both come from per-location maxima and filters, without a window
+    over a whole location.
     """
     newest = hourly.groupBy(KEY).agg(F.max(TIME).alias("_tmax"))
     strip = (
@@ -136,7 +123,7 @@ def dashboard(
     dl = (
         lookup_codes(daily)
         .join(last_day, KEY)
-        .filter(F.col("day") > F.date_sub(F.col("_dmax"), days))
+        .filter(F.lit(True) if days is None else F.col("day") > F.date_sub(F.col("_dmax"), days))
         .groupBy(KEY)
         .agg(
             F.array_sort(

@@ -113,7 +113,7 @@ def roc_auc(points: DataFrame) -> DataFrame:
     """Exact area under the ROC curve (trapezoids between distinct scores)."""
     contrib = F.col("neg") * (F.col("TP") - F.col("pos") / 2.0)
     return points.agg(
-        F.try_divide(F.sum(contrib), F.first("P") * F.first("N")).alias("roc_auc")
+        F.try_divide(F.sum(contrib), F.first("P").cast("double") * F.first("N").cast("double")).alias("roc_auc")
     )
 
 

@@ -8,10 +8,10 @@ given rank is found by narrowing instead:
 1. count rows per (group, value) - a partial aggregate, spread by value;
 2. for each wanted rank keep an interval [a, b) of values and the number of the
    group's rows below it.  While an interval still holds more than
-   ``finish_rows`` distinct values, cut all open intervals at approximate
-   quantiles of their values (at most ``bins - 1`` edges reach the driver), sum
-   the counts per (rank, bin), prefix-sum the <= ``bins`` bins of each rank and
-   keep the bin that contains the rank;
+   ``finish_rows`` distinct values, cut every open interval at ``bins - 1``
+   approximate quantiles of its own values, sum the counts per (rank, bin),
+   prefix-sum the <= ``bins`` bins of each rank and keep the bin that contains
+   the rank (nothing but the size of the widest interval reaches the driver);
 3. rank the few values left in each interval with a window and read the value.
 
 Quantiles interpolate linearly between the two neighbouring order statistics
@@ -29,21 +29,14 @@ from pyspark.sql import functions as F
 from ..session import checkpoint, materialize
 
 FINISH_ROWS = 100_000
-BINS = 1024
-MAX_ROUNDS = 8
+BINS = 64
 
 
-def _intervals(vals: DataFrame, state: DataFrame, ks: list[str], small: bool) -> DataFrame:
-    """Values inside each rank's open interval.  ``state`` has at most
-    2 x len(probs) rows per group; ``small`` says that bound, computed from the
-    group count, is under the broadcast limit.  Broadcasting it keeps a group
-    that holds most values from being shuffled into one task; above the bound
-    the join shuffles on the keys and AQE splits a skewed key."""
+def _intervals(vals: DataFrame, state: DataFrame, ks: list[str]) -> DataFrame:
+    """Values inside each rank's open interval [a, b); the top interval also holds +inf."""
     v = F.col("_v")
-    st = F.broadcast(state) if small else state
-    # [a, b), except that the top interval also holds +inf (as Bucketizer's last bucket)
     below_b = (v < F.col("_b")) | (F.col("_b") == F.lit(float("inf")))
-    return vals.join(st, ks).filter((v >= F.col("_a")) & below_b)
+    return vals.join(state, ks).filter((v >= F.col("_a")) & below_b)
 
 
 def exact_quantiles(
@@ -53,16 +46,12 @@ def exact_quantiles(
     probs: Sequence[float],
     bins: int = BINS,
     finish_rows: int = FINISH_ROWS,
-    max_rounds: int = MAX_ROUNDS,
 ) -> DataFrame:
     """(keys..., ``_j`` = index into ``probs``, ``_q`` = quantile) per group with a value."""
-    from pyspark.ml.feature import Bucketizer
-
     ks = list(keys)
     if not ks:
-        one = exact_quantiles(df.withColumn("_all", F.lit(0)), ["_all"], col, probs, bins, finish_rows, max_rounds)
+        one = exact_quantiles(df.withColumn("_all", F.lit(0)), ["_all"], col, probs, bins, finish_rows)
         return one.drop("_all")
-    from .joins import BROADCAST_MAX_ROWS
 
     x = F.col(col).cast("double")
     # the value counts feed several branches (sizes, ranks, intervals): one scan
@@ -74,12 +63,6 @@ def exact_quantiles(
         .agg(F.count(F.lit(1)).alias("_c"))
     )
     vals = materialize(vals, "quantile_value_counts")
-    # distinct values of the largest group and the number of groups, one job
-    sizes = vals.groupBy(*ks).agg(F.count(F.lit(1)).alias("_k")).agg(
-        F.max("_k").alias("widest"), F.count(F.lit(1)).alias("groups")
-    ).first()
-    widest, groups = sizes["widest"], sizes["groups"]
-    small = groups * 2 * len(probs) <= BROADCAST_MAX_ROWS
     n = vals.groupBy(*ks).agg(F.sum("_c").alias("_n"))
     pos = n.select(
         *ks, F.posexplode(F.array(*[F.lit(float(p)) for p in probs])).alias("_j", "_p"), "_n"
@@ -93,39 +76,41 @@ def exact_quantiles(
         F.lit(float("inf")).alias("_b"),
         F.lit(0).cast("long").alias("_below"),
     )
-    rounds = 0
-    while widest is not None and widest > finish_rows and rounds < max_rounds:
-        rounds += 1
-        cand = _intervals(vals, state, ks, small)
-        probs_cut = [i / bins for i in range(1, bins)]
-        edges = cand.agg(F.percentile_approx("_v", probs_cut, 10 * bins).alias("e")).first()["e"] or []
-        splits = [float("-inf"), *sorted({float(e) for e in edges}), float("inf")]
-        if len(splits) < 3:
-            break
-        binned = Bucketizer(splits=splits, inputCol="_v", outputCol="_bd").transform(cand)
-        per = binned.groupBy(*ks, "_r", "_a", "_b", "_below", F.col("_bd").cast("int").alias("_bin")).agg(
-            F.sum("_c").alias("_bc")
-        )
+
+    # the first count is per group: the ranks of a group start from one interval
+    widest = vals.groupBy(*ks).agg(F.count(F.lit(1)).alias("_k")).agg(F.max("_k")).first()[0]
+    cuts = [i / bins for i in range(1, bins)]
+    while widest is not None and widest > finish_rows:
+        cand = _intervals(vals, state, ks)
+        # edges of each rank's own interval: every round leaves about 1/bins of it
+        edges = cand.groupBy(*ks, "_r").agg(F.array_distinct(F.percentile_approx("_v", cuts, 100 * bins)).alias("_e"))
+        cut = state.join(edges, [*ks, "_r"])
+        bin_of = F.size(F.filter("_e", lambda e: e <= F.col("_v")))
+        per = _intervals(vals, cut, ks).groupBy(*ks, "_r", bin_of.alias("_bin")).agg(F.sum("_c").alias("_bc"))
         # at most ``bins`` rows per rank: a bounded window
         before = Window.partitionBy(*ks, "_r").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-        per = per.withColumn("_cb", F.col("_below") + F.coalesce(F.sum("_bc").over(before), F.lit(0)))
-        edge = F.array(*[F.lit(s) for s in splits])
+        per = per.join(cut, [*ks, "_r"]).withColumn(
+            "_cb", F.col("_below") + F.coalesce(F.sum("_bc").over(before), F.lit(0))
+        )
         state = (
             per.filter((F.col("_cb") <= F.col("_r")) & (F.col("_r") < F.col("_cb") + F.col("_bc")))
             .select(
                 *ks,
                 "_r",
-                F.greatest(F.col("_a"), edge[F.col("_bin")]).alias("_a"),
-                F.least(F.col("_b"), edge[F.col("_bin") + 1]).alias("_b"),
+                F.when(F.col("_bin") > 0, F.get("_e", F.col("_bin") - 1)).otherwise(F.col("_a")).alias("_a"),
+                F.coalesce(F.get("_e", F.col("_bin")), F.col("_b")).alias("_b"),
                 F.col("_cb").alias("_below"),
             )
             .transform(checkpoint)
         )
-        widest = (
-            _intervals(vals, state, ks, small).groupBy(*ks, "_r").agg(F.count(F.lit(1)).alias("_k")).agg(F.max("_k")).first()[0]
+        left = (
+            _intervals(vals, state, ks).groupBy(*ks, "_r").agg(F.count(F.lit(1)).alias("_k")).agg(F.max("_k")).first()[0]
         )
+        if left >= widest:
+            raise RuntimeError("no interval became narrower; use more bins")
+        widest = left
 
-    cand = _intervals(vals, state, ks, small)
+    cand = _intervals(vals, state, ks)
     upto = Window.partitionBy(*ks, "_r").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     at = (
         cand.withColumn("_cum", F.col("_below") + F.sum("_c").over(upto))

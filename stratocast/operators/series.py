@@ -16,7 +16,12 @@ job.  This module gives the same row semantics in parallel:
    result of the unsplit window.  Halo rows are dropped afterwards.
 3. ``carry_nearest`` finds, for every row, the nearest non-null value before and
    after it with unbounded reach: inside the block by window, across blocks from
-   a per-block summary table (one row per block) windowed by location.
+   a per-block summary table (one row per block) windowed by location.  Both
+   directions use running frames (the look-ahead over the descending order), so
+   the work is linear in the rows of a block.
+
+Rows with a null key or a null time are rows like any other: a null key is one
+series, a null time sorts first.
 """
 
 from __future__ import annotations
@@ -37,6 +42,16 @@ def _keys(keys: Sequence[str] | str) -> list[str]:
     return [keys] if isinstance(keys, str) else list(keys)
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join that matches null keys with null keys; ``right``'s key columns are dropped."""
+    other = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    on = None
+    for k in keys:
+        c = F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+        on = c if on is None else on & c
+    return left.join(other, on, how).drop(*[f"_r_{k}" for k in keys])
+
+
 def index_rows(
     df: DataFrame,
     keys: Sequence[str] | str = (KEY,),
@@ -60,7 +75,7 @@ def index_rows(
     )
     local = Window.partitionBy(*ks, bkt).orderBy(F.col(order), *[F.col(c) for c in tiebreak])
     return (
-        d.join(offsets, [*ks, bkt])
+        join_null_safe(d, offsets, [*ks, bkt])
         .withColumn(RN, F.col("_off") + F.row_number().over(local))
         .drop(bkt, "_off")
     )
@@ -130,17 +145,19 @@ def carry_nearest(
     )
     wb = Window.partitionBy(*ks).orderBy(BLOCK)
     earlier = wb.rowsBetween(Window.unboundedPreceding, -1)
-    later = wb.rowsBetween(1, Window.unboundedFollowing)
+    later = Window.partitionBy(*ks).orderBy(F.col(BLOCK).desc()).rowsBetween(Window.unboundedPreceding, -1)
     carry = summary.select(
         *ks,
         BLOCK,
         *[F.last(f"{c}__last", ignorenulls=True).over(earlier).alias(f"{c}__cin") for c in cols],
-        *[F.first(f"{c}__first", ignorenulls=True).over(later).alias(f"{c}__cout") for c in cols],
+        *[F.last(f"{c}__first", ignorenulls=True).over(later).alias(f"{c}__cout") for c in cols],
     )
     w = Window.partitionBy(*ks, BLOCK).orderBy(RN)
     wp = w.rowsBetween(Window.unboundedPreceding, -1)
-    wn = w.rowsBetween(1, Window.unboundedFollowing)
-    out = d.join(carry, [*ks, BLOCK], "left").select(
+    # the next value is the last one seen when the block is read backwards: a
+    # running frame, where (1, unboundedFollowing) would start anew at every row
+    wn = Window.partitionBy(*ks, BLOCK).orderBy(F.col(RN).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    out = join_null_safe(d, carry, [*ks, BLOCK], "left").select(
         *df.columns,
         *[
             F.coalesce(F.last(pair(c), ignorenulls=True).over(wp), F.col(f"{c}__cin")).alias(
@@ -149,15 +166,10 @@ def carry_nearest(
             for c in cols
         ],
         *[
-            F.coalesce(F.first(pair(c), ignorenulls=True).over(wn), F.col(f"{c}__cout")).alias(
+            F.coalesce(F.last(pair(c), ignorenulls=True).over(wn), F.col(f"{c}__cout")).alias(
                 f"{c}__next"
             )
             for c in cols
         ],
     )
     return out
-
-
-def location_counts(df: DataFrame, keys: Sequence[str] | str = (KEY,)) -> DataFrame:
-    """Rows per key (``_cnt``), one row per key."""
-    return df.groupBy(*_keys(keys)).agg(F.count(F.lit(1)).alias("_cnt"))

@@ -20,6 +20,7 @@ from ..schema import (
     ROLLING_WINDOW,
     TIME,
 )
+from ..functions.units import nan_to_null
 from . import series
 from .series import DEFAULT_BLOCK_ROWS, RN
 
@@ -62,8 +63,9 @@ def rain_label_expr(
     turns that into 0 (what the original code does), ``tail='null'`` keeps null.
     """
     frame = w.rowsBetween(1, lookahead)
-    total = F.sum(F.col(col)).over(frame)
-    complete = F.count(F.col(col)).over(frame) == lookahead
+    value = nan_to_null(F.col(col))  # NaN compares above every threshold
+    total = F.sum(value).over(frame)
+    complete = F.count(value).over(frame) == lookahead
     raw = F.when(complete, total > F.lit(float(threshold)))
     if tail == "zero":
         raw = F.coalesce(raw, F.lit(False))
@@ -74,7 +76,7 @@ def rain_label_expr(
 
 def point_label_expr(w: WindowSpec, col: str = "precipitation", ahead: int = 24) -> Column:
     """Older label: the value ``ahead`` rows later is positive (missing -> 0)."""
-    return F.coalesce(F.lead(F.col(col), ahead).over(w) > F.lit(0.0), F.lit(False)).cast("int").alias(
+    return F.coalesce(F.lead(nan_to_null(F.col(col)), ahead).over(w) > F.lit(0.0), F.lit(False)).cast("int").alias(
         "rain_point_24"
     )
 
@@ -179,7 +181,7 @@ def interpolate_linear(df, cols: Sequence[str], block_rows=DEFAULT_BLOCK_ROWS, b
     """Linear interpolation; leading/trailing gaps take the nearest valid value;
     an all-null column stays null.  ``by='row'`` spaces rows equally (the
     original behaviour), ``by='time'`` weights by elapsed time."""
-    d = ensure_index(df)
+    d = ensure_index(df).withColumns({c: nan_to_null(F.col(c)) for c in cols})
     if by == "time":
         d = d.withColumn("_pos", F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(TIME)))
     elif by != "row":
@@ -204,7 +206,7 @@ def interpolate_linear(df, cols: Sequence[str], block_rows=DEFAULT_BLOCK_ROWS, b
 
 def fill_forward_backward(df, cols: Sequence[str], block_rows=DEFAULT_BLOCK_ROWS):
     """Forward fill, then backward fill for the leading gap."""
-    d = ensure_index(df)
+    d = ensure_index(df).withColumns({c: nan_to_null(F.col(c)) for c in cols})
     near = series.carry_nearest(d, cols, block_rows=block_rows)
     keep = [x for x in d.columns if x not in cols]
     filled = [
@@ -214,11 +216,17 @@ def fill_forward_backward(df, cols: Sequence[str], block_rows=DEFAULT_BLOCK_ROWS
 
 
 def dedup_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Keep one row per ``keys``: the first in ``order`` (which must be unique).
+    """Keep one row per ``keys``: the first in ``order``, or in input order where
+    ``order`` names no column besides the keys.
 
     Expressed as an aggregate (min of a struct led by the order columns), so a
     key with a huge number of copies is reduced map-side before any shuffle.
     """
+    order = [c for c in order if c not in keys]
+    if not order:
+        place = "_input_place"
+        placed = df.withColumn(place, F.monotonically_increasing_id())
+        return dedup_first(placed, keys, [place]).select(*df.columns)
     rest = [c for c in df.columns if c not in keys and c not in order]
     packed = F.struct(*[F.col(c) for c in order], *[F.col(c) for c in rest])
     return df.groupBy(*[F.col(k) for k in keys]).agg(F.min(packed).alias("_first")).select(
@@ -259,7 +267,7 @@ def latest_features(df: DataFrame, col: str = "temperature") -> DataFrame:
     are read after a cheap filter on the row index."""
     d = series.index_rows(df.drop(RN) if RN in df.columns else df)
     cnt = d.groupBy(KEY).agg(F.max(RN).alias("_cnt"))
-    tail = d.join(cnt, KEY).withColumn("_back", F.col("_cnt") - F.col(RN))  # 0 = newest
+    tail = series.join_null_safe(d, cnt, [KEY]).withColumn("_back", F.col("_cnt") - F.col(RN))  # 0 = newest
     tail = tail.filter(F.col("_back") <= 24)
     b = F.col("_back")
     v = F.col(col)
@@ -297,4 +305,4 @@ def last_n_rows(df: DataFrame, n: int = 24) -> DataFrame:
     """
     d = series.index_rows(df.drop(RN) if RN in df.columns else df)
     cnt = d.groupBy(KEY).agg(F.max(RN).alias("_cnt"))
-    return d.join(cnt, KEY).filter(F.col(RN) > F.col("_cnt") - F.lit(n)).drop("_cnt")
+    return series.join_null_safe(d, cnt, [KEY]).filter(F.col(RN) > F.col("_cnt") - F.lit(n)).drop("_cnt")

@@ -32,8 +32,8 @@ def clean_raw(raw: DataFrame, block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame
     d = quality.convert_units(d)
     if KEY not in d.columns:
         d = location_from_grid(d)
-    tiebreak = [c for c in ("event_id",) if c in d.columns]
-    d = windows.dedup_first(d, [KEY, TIME], tiebreak or [TIME])
+    # the first of rows for one hour, in input order unless an id orders them
+    d = windows.dedup_first(d, [KEY, TIME], [c for c in ("event_id",) if c in d.columns])
     return clean_series(d, block_rows=block_rows)
 
 

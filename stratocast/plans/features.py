@@ -6,13 +6,13 @@ Spark evaluates them in a single Window operator after a single shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.timeparts import cyclic_features, date_parts
 from ..operators import series, windows
 from ..operators.series import DEFAULT_BLOCK_ROWS, RN
-from ..schema import FEATURE_NOT_NULL, KEY, RAIN_LOOKAHEAD_H, RAIN_THRESHOLD_MM, TIME
+from ..schema import FEATURE_NOT_NULL, KEY, LAG_HOURS, RAIN_LOOKAHEAD_H, RAIN_THRESHOLD_MM, TIME
 
 FEATURE_ORDER = [
     "hour",
@@ -58,27 +58,55 @@ def build_features(
     return out.select(*cols)
 
 
+def range_halo(clean: DataFrame, lo, hi, back: int, fwd: int) -> tuple:
+    """Times between which every location has ``back`` rows before ``lo`` and
+    ``fwd`` rows from ``hi`` on, or all it has: gaps move them out.
+
+    Reads the key and time columns only; what is windowed is a table of rows per
+    (location, day), and two times reach the driver."""
+    day = F.to_date(F.col(TIME))
+
+    def reach(rows: DataFrame, newest_first: bool, need: int):
+        per_day = rows.groupBy(KEY, day.alias("_day")).agg(
+            F.count(F.lit(1)).alias("_n"), F.min(TIME).alias("_from"), F.max(TIME).alias("_to")
+        )
+        order = F.col("_day").desc() if newest_first else F.col("_day").asc()
+        so_far = F.sum("_n").over(Window.partitionBy(KEY).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+        needed = per_day.withColumn("_before", F.coalesce(so_far, F.lit(0))).filter(F.col("_before") < need)
+        return needed.agg(F.min("_from").cast("string"), F.max("_to").cast("string")).first()
+
+    first = reach(clean.filter(F.col(TIME) < lo), True, back)[0]
+    last = reach(clean.filter(F.col(TIME) >= hi), False, fwd)[1]
+    return first, last
+
+
 def features_for_range(
     clean: DataFrame,
     start: str,
     end: str,
-    halo_hours: int = 48,
+    lookahead: int = RAIN_LOOKAHEAD_H,
     **kw,
 ) -> DataFrame:
-    """Features for ``start <= valid_time < end`` only.
+    """Features for ``start <= valid_time < end`` only, equal to those of the whole series.
 
     Catalyst does not push a filter on the order column below a window, so the
-    read is widened by ``halo_hours`` on both sides (pushed to the scan), the
-    windows run on that slice, and the exact range is kept afterwards.  Exact
-    when the halo holds at least 24 rows on each side (true for an hourly series
-    without long gaps; widen ``halo_hours`` otherwise).
+    read is widened on both sides to the times that hold the rows the windows
+    reach (24 back, ``lookahead`` ahead - rows, not hours, so gaps don't matter);
+    that filter reaches the scan, and the exact range is kept afterwards.
     """
     lo = F.to_timestamp_ntz(F.lit(start))
     hi = F.to_timestamp_ntz(F.lit(end))
-    pad = F.make_dt_interval(F.lit(0), F.lit(halo_hours))
     wide = clean.drop(RN) if RN in clean.columns else clean
-    wide = wide.filter((F.col(TIME) >= lo - pad) & (F.col(TIME) < hi + pad))
-    feats = build_features(wide, **kw)
+    first, last = range_halo(wide, lo, hi, max(LAG_HOURS), lookahead)
+    if first is not None:
+        wide = wide.filter(F.col(TIME) >= F.lit(first).cast("timestamp_ntz"))
+    else:
+        wide = wide.filter(F.col(TIME) >= lo)
+    if last is not None:
+        wide = wide.filter(F.col(TIME) <= F.lit(last).cast("timestamp_ntz"))
+    else:
+        wide = wide.filter(F.col(TIME) < hi)
+    feats = build_features(wide, lookahead=lookahead, **kw)
     return feats.filter((F.col(TIME) >= lo) & (F.col(TIME) < hi))
 
 

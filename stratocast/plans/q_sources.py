@@ -55,11 +55,11 @@ def q_src_typed_series(spark, sf_dir):
 @query(
     "src_partitioned_union",
     S.with_(S.RAW)
-    + """SELECT event_id, valid_time, latitude, longitude, t2m, sp, u10, v10,
+    + """SELECT event_id, valid_time, latitude, longitude, t2m, sp, u10, v10, CAST(NULL AS DOUBLE) AS tp,
        CAST(year(valid_time) AS INTEGER) AS year, CAST(month(valid_time) AS INTEGER) AS month, 'instant' AS var_set
 FROM raw
 UNION ALL
-SELECT event_id, valid_time, latitude, longitude, NULL, NULL, NULL, NULL,
+SELECT event_id, valid_time, latitude, longitude, NULL, NULL, NULL, NULL, tp,
        CAST(year(valid_time) AS INTEGER), CAST(month(valid_time) AS INTEGER), 'accum'
 FROM raw""",
 )
@@ -76,9 +76,9 @@ def q_src_partitioned_union(spark, sf_dir):
         r.select("event_id", TIME, "latitude", "longitude", "tp", "year", "month"), accum_path, ["year", "month"]
     )
     inst = files.read_partitioned(spark, instant_path).withColumn("var_set", F.lit("instant"))
-    acc = files.read_partitioned(spark, accum_path).drop("tp").withColumn("var_set", F.lit("accum"))
+    acc = files.read_partitioned(spark, accum_path).withColumn("var_set", F.lit("accum"))
     return inst.unionByName(acc, allowMissingColumns=True).select(
-        "event_id", TIME, "latitude", "longitude", "t2m", "sp", "u10", "v10", "year", "month", "var_set"
+        "event_id", TIME, "latitude", "longitude", "t2m", "sp", "u10", "v10", "tp", "year", "month", "var_set"
     )
 
 

@@ -16,6 +16,7 @@ from ..sources.tables import STANDIN_RAIN_THRESHOLD, clean_table, load
 from ..streaming import ingest
 from . import sqlparts as S
 from .catalog import query, r6
+from .clean import clean_series
 from .features import build_features, drop_incomplete
 
 N_SLICES = 4
@@ -121,10 +122,12 @@ def q_str_scoring(spark, sf_dir):
     ckpt = shared_path(spark, "ckpt_scoring")
 
     def score(batch):
-        merged = ingest.halo_rows(batch, obs_dir)
-        feats = build_features(merged.drop("n"), threshold=STANDIN_RAIN_THRESHOLD)
-        mine = feats.join(batch.select(KEY, TIME), [KEY, TIME], "left_semi")
-        scored = model.score(mine.na.fill(0.0, ["humidity"]))
+        # cleaned as the training rows were; rows without 24 rows of history or
+        # with an unknown value are not scored
+        merged = clean_series(ingest.halo_rows(batch, obs_dir).drop("n"))
+        feats = build_features(merged, threshold=STANDIN_RAIN_THRESHOLD)
+        mine = feats.join(batch.select(KEY, TIME), [KEY, TIME], "left_semi").na.drop(subset=present)
+        scored = model.score(mine)
         return models.rain_predictions(scored.select(KEY, TIME, "y_prob"))
 
     def write(batch, batch_id):

@@ -53,7 +53,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
     On a cluster ``spark.checkpoint.dir`` names a shared filesystem; we never
     override it.  Only local runs and tests, where it is unset, get a fresh
-    folder from ``mkdtemp``.
+    folder from ``mkdtemp``; on any other master that would be a folder of one
+    machine, so it is an error there.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -61,6 +62,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="stratocast-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

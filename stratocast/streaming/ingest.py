@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from contextlib import contextmanager
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -177,7 +178,10 @@ def halo_rows(batch: DataFrame, obs_dir: str, hours: int = HALO_HOURS) -> DataFr
     try:
         # the day bound prunes partition folders, the time bound row groups
         stored = spark.read.parquet(obs_dir).filter((F.col(DAY) >= F.to_date(lower)) & (F.col(TIME) >= lower))
-    except Exception:  # noqa: BLE001 - no earlier batch written yet
+    except AnalysisException as e:
+        # no earlier batch has been written; any other error of the store is an error
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
         return batch
     rest = [c for c in stored.columns if c not in (KEY, TIME, VERSION, DAY)]
     newest = stored.groupBy(KEY, TIME).agg(F.max_by(F.struct(*rest), F.col(VERSION)).alias("_v"))
