@@ -11,11 +11,14 @@ time and only up to the time by which all registers are filled.
 
 Documents with equal multisets are one node.  Nodes that agree in all rows of a
 band share a bucket; in each bucket members are compared with a pivot, on their
-whole multisets; further rounds take new pivots among members not yet connected
-with the first ones; what then remains unconnected in a bucket is compared pair
-by pair, except pairs that sizes or the triangle inequality of 1 - J rule out.
-A bucket of copies thus costs one comparison each, and no link that a bucket
-offers between different components is left out.
+whole multisets.  Members that this connects with their pivot are done with in
+that bucket; strangers to its component are then compared with all other members
+of other components: as pairs in small buckets (each pair once, except pairs that
+sizes or the triangle inequality of 1 - J rule out), as blocks of members in large
+ones, where an overlap is an entry of a matrix product and not a row.  So a bucket
+of copies costs one comparison each, a bucket of thousands of half-alike texts
+never becomes rows for all its pairs, and no link that a bucket offers between
+different components is left out.
 
 Links: weighted Jaccard similarity of five-word shingles of at least 0.8.  Nulls
 count as empty; texts without words link with nothing.  Repeated rows are each
@@ -26,6 +29,7 @@ gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,8 +44,10 @@ from .word_bags import bag_keys, counted, shingles, units
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
 CHUNK = 2_000_000
-#: Rounds of new pivots before the rest is compared pair by pair.
-ROUNDS = 3
+#: Buckets up to this size are compared by pairs of rows, larger ones by blocks of members.
+SMALL, BLOCK = 16, 256
+#: Units of one matrix of a block.
+COLUMNS = 1 << 14
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _PLACE, _REGISTER = np.uint64(0xD1B54A32D192ED03), np.uint64(0xA0761D6478BD642F)
 
@@ -187,11 +193,66 @@ def _may_link(a: str, b: str, similarity: float):
     return F.least(a, b) >= F.greatest(a, b) * F.lit(similarity)
 
 
-def linked_nodes(nodes: DataFrame, bag_of, similarity: float = SIMILARITY, rounds: int = ROUNDS) -> DataFrame | None:
+def compare_blocks(group: pd.DataFrame, similarity: float) -> pd.DataFrame:
+    """Links between the members ``side`` 0 and ``side`` 1 of one bucket that lie in different components.
+
+    A pair is looked at only in the first band it shares, so that buckets of the same
+    documents don't repeat the work; overlaps are one matrix product over the units
+    that both sides hold.  Of the links found those that connect are returned."""
+    key = group["key"].iloc[0]
+    a, b = (group[group["side"] == s] for s in (0, 1))
+    if not len(a) or not len(b):
+        return pd.DataFrame({"u": [], "v": []}, dtype="int64")
+    an, bn, ac, bc = a["n"].to_numpy(), b["n"].to_numpy(), a["c"].to_numpy(), b["c"].to_numpy()
+    ai, bi = a["node"].to_numpy(), b["node"].to_numpy()
+    ab, bb = np.stack(a["bands"].to_numpy()), np.stack(b["bands"].to_numpy())
+    band = int(np.flatnonzero(ab[0] == key)[0])
+    todo = (ac[:, None] != bc[None, :]) & (np.minimum(an[:, None], bn) >= similarity * np.maximum(an[:, None], bn))
+    todo &= ~(b["outside"].to_numpy()[None, :] & (ai[:, None] >= bi[None, :]))  # two outsiders meet twice
+    for k in range(band):
+        todo &= ab[:, k, None] != bb[None, :, k]
+    rows, cols = np.flatnonzero(todo.any(1)), np.flatnonzero(todo.any(0))
+    if not len(rows):
+        return pd.DataFrame({"u": [], "v": []}, dtype="int64")
+    left = [np.frombuffer(x, np.uint64) for x in a["units"].to_numpy()[rows]]
+    right = [np.frombuffer(x, np.uint64) for x in b["units"].to_numpy()[cols]]
+    both = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    overlap = np.zeros((len(rows), len(cols)), np.float32)
+    for s in range(0, len(both), COLUMNS):
+        part = both[s : s + COLUMNS]
+
+        def table(lists):
+            out = np.zeros((len(lists), len(part)), np.float32)
+            for i, x in enumerate(lists):
+                x = x[np.searchsorted(x, part[0]) : np.searchsorted(x, part[-1], side="right")]
+                at = np.searchsorted(part, x)
+                out[i, at[part[at] == x]] = 1
+            return out
+
+        overlap += table(left) @ table(right).T
+    j = overlap / (an[rows][:, None] + bn[cols][None, :] - overlap)
+    u, v = np.nonzero((j >= similarity) & todo[np.ix_(rows, cols)])
+    parent: dict[int, int] = {}
+
+    def find(x):
+        while parent.get(x, x) != x:
+            x = parent[x]
+        return x
+
+    out = []
+    for x, y in zip(rows[u].tolist(), cols[v].tolist()):
+        p, q = find(int(ac[x])), find(int(bc[y]))
+        if p != q:
+            parent[max(p, q)] = min(p, q)
+            out.append((int(ai[x]), int(bi[y])))
+    return pd.DataFrame(out, columns=["u", "v"]).astype("int64")
+
+
+def linked_nodes(nodes: DataFrame, bag_of, similarity: float = SIMILARITY, small: int = SMALL) -> DataFrame | None:
     """(id, component_id) of nodes (node, n, bands) that link with another; None if no bucket holds two."""
     banded = nodes.where(F.col("bands").isNotNull()).select("node", "n", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("node", "n")).alias("p")).where("size > 1")
-    pivots = shared.select("key", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"))
+    pivots = shared.select("key", "size", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"))
     members = materialize(banded.join(pivots, "key"), "bucket-members")
     if members.isEmpty():
         return None
@@ -201,41 +262,45 @@ def linked_nodes(nodes: DataFrame, bag_of, similarity: float = SIMILARITY, round
     known = materialize(overlap(pairs, bag), "overlaps")
     linked = smallest_ids(known.where(F.col("j") >= similarity))
 
-    def labelled(component):
-        names = component.select(F.col("id").alias("node"), F.col("component_id").alias("c"))
-        return members.join(names, "node", "left").withColumn("c", F.coalesce("c", "node"))
-
-    for _ in range(rounds):
-        # members outside the pivot's component; the smallest of them is the next pivot
-        now = labelled(linked)
-        own = linked.select(F.col("id").alias("pivot"), F.col("component_id").alias("pc"))
-        rest = materialize(now.join(own, "pivot", "left").where(F.col("c") != F.coalesce("pc", "pivot")).select("key", "node", "n", "c"), "unconnected")
-        nxt = rest.groupBy("key").agg(F.min(F.struct("node", "n", "c")).alias("p"), F.count(F.lit(1)).alias("size")).where("size > 8")
-        again = rest.join(nxt, "key").where("c <> p.c").where(_may_link("n", "p.n", similarity))
-        pairs = again.select(F.col("p.node").alias("u"), F.col("node").alias("v")).distinct().join(known, ["u", "v"], "left_anti")
-        pairs = materialize(pairs, "pivot-pairs")
-        if pairs.isEmpty():
-            break
-        more = materialize(overlap(pairs, bag), "overlaps")
-        known = known.unionByName(more)
-        linked = smallest_ids(known.where(F.col("j") >= similarity))
-
-    # what is left: members outside the pivot's component against all members of other components
-    now = labelled(linked)
-    to_pivot = known.select(F.col("u").alias("pivot"), F.col("v").alias("node"), (1 - F.col("j")).alias("d"))
-    now = now.join(to_pivot, ["pivot", "node"], "left")
+    # members outside their pivot's component, and all they have not been compared with
+    names = linked.select(F.col("id").alias("node"), F.col("component_id").alias("c"))
     own = linked.select(F.col("id").alias("pivot"), F.col("component_id").alias("pc"))
-    now = now.join(own, "pivot", "left").withColumn("outside", F.col("c") != F.coalesce("pc", "pivot"))
-    now = materialize(now.select("key", "node", "n", "c", "d", "outside"), "labelled-members")
-    a = now.where("outside").select("key", *(F.col(x).alias(f"a_{x}") for x in ("node", "n", "c", "d")))
-    b = now.select("key", *(F.col(x).alias(f"b_{x}") for x in ("node", "n", "c", "d", "outside")))
+    now = members.where("size > 2").join(names, "node", "left").withColumn("c", F.coalesce("c", "node"))
+    now = now.join(own, "pivot", "left").withColumn("outside", F.col("c") != F.coalesce("pc", "pivot")).drop("pc")
+    out_of = now.where("outside").groupBy("key").agg(F.count(F.lit(1)).alias("strangers"))
+    now = materialize(now.where("node <> pivot").join(out_of, "key").select("key", "size", "strangers", "pivot", "node", "n", "c", "outside"), "open-buckets")
+    more = []
+
+    # small buckets: pairs, each once however many buckets it shares
+    few = now.where(F.col("size") <= small)
+    to_pivot = known.select(F.col("u").alias("pivot"), F.col("v").alias("node"), (1 - F.col("j")).alias("d"))
+    few = few.join(to_pivot, ["pivot", "node"], "left")
+    a = few.where("outside").select("key", *(F.col(x).alias(f"a_{x}") for x in ("node", "n", "c", "d")))
+    b = few.select("key", *(F.col(x).alias(f"b_{x}") for x in ("node", "n", "c", "d", "outside")))
     near = F.coalesce(F.abs(F.col("a_d") - F.col("b_d")) <= 1 - similarity + 1e-9, F.lit(True))
     rest = a.join(b, "key").where("a_c <> b_c AND (NOT b_outside OR a_node < b_node)").where(_may_link("a_n", "b_n", similarity)).where(near)
     pairs = rest.select(F.least("a_node", "b_node").alias("u"), F.greatest("a_node", "b_node").alias("v")).distinct()
     pairs = materialize(pairs.join(known, ["u", "v"], "left_anti"), "rest-pairs")
     if not pairs.isEmpty():
-        more = materialize(overlap(pairs, bag), "overlaps")
-        linked = smallest_ids(known.unionByName(more).where(F.col("j") >= similarity))
+        more.append(overlap(pairs, bag).where(F.col("j") >= similarity).select("u", "v"))
+
+    # large buckets: strangers against the others, block by block
+    many = now.where(F.col("size") > small)
+    if not many.isEmpty():
+        rows = F.ceil(F.col("strangers") / BLOCK).cast("int")
+        cols = F.ceil(F.col("size") / BLOCK).cast("int")
+        at = lambda k, n: F.pmod(F.xxhash64("node", F.lit(k)), n).cast("int")
+        one = many.where("outside").select("key", "node", "n", "c", "outside", at(0, rows).alias("i"), F.explode(F.sequence(F.lit(0), cols - 1)).alias("k"), F.lit(0).alias("side"))
+        two = many.select("key", "node", "n", "c", "outside", F.explode(F.sequence(F.lit(0), rows - 1)).alias("i"), at(1, cols).alias("k"), F.lit(1).alias("side"))
+        payload = bag.join(nodes.select("node", "bands"), "node")
+        blocks = one.unionByName(two).join(payload, "node")
+        more.append(blocks.groupBy("key", "i", "k").applyInPandas(lambda g: compare_blocks(g, similarity), "u long, v long"))
+
+    if more:
+        links = known.where(F.col("j") >= similarity).select("u", "v")
+        for m in more:
+            links = links.unionByName(m)
+        linked = smallest_ids(links)
     return linked
 
 
