@@ -25,7 +25,7 @@ CHROME_WORDS = frozenset(
     "sidebar signup social sponsor sponsored subscribe subscription toolbar widget widgets".split()
 )
 _WORD = re.compile(r"[a-z]+")
-_SPACE = re.compile(r"\s+")
+_SPACE = re.compile(r"[\s\x00]+")
 #: What an open element of this name is closed by, when its end tag is left out.
 _ENDS = {"p": BLOCK_TAGS - {"body", "html"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 

@@ -12,10 +12,15 @@ lines of navigation, footers, asides, forms, adverts, notices, comments and the
 like go (also without a partner).  If a page has an article, its text is that;
 the alignment decides about all other lines.
 
-On Spark: parsing is one map; neighbours come from a sorted table of keys alone;
-pages exchange the hashes of their lines, never the text; a hot host is spread
-over as many tasks as it needs, since the order is cut by ranges.  A neighbour
-beyond the end of a range is found through the first and last key of each range.
+On Spark: a first pass parses every page for the hashes of its lines; neighbours
+come from a sorted table of keys alone, and pages exchange hashes, never text; a
+hot host is spread over as many tasks as it needs, since the order is cut by
+ranges, and a neighbour beyond the end of a range is found through the first and
+last key of each range.  A second pass parses again and joins each page with the
+places of its shared lines, its text compressed on the way: parsing twice costs
+less than keeping or moving the text twice.
+
+Pages of one host with the same html are one page (copies would delete each other).
 
 Defined cases: null html counts as empty and gives an empty text; pages without a
 URL or host are compared with nothing; repeated rows are each returned; an empty
@@ -27,6 +32,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,22 +75,8 @@ def common_lines(a: list[int], b: list[int]) -> set[int]:
     return out
 
 
-def parse(pages: DataFrame) -> DataFrame:
-    """page_id, url, host, path, lines, says (markup's word on each), hashes."""
-
-    def run(batches):
-        for batch in batches:
-            got = [blocks(h) for h in batch.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *(batch.column(c) for c in ("page_id", "url", "host", "path")),
-                    pa.array([[t for t, _ in g] for g in got], pa.list_(pa.string())),
-                    pa.array([[s for _, s in g] for g in got], pa.list_(pa.int8())),
-                    pa.array([[xxhash.xxh64_intdigest(t) - (1 << 63) for t, _ in g] for g in got], pa.list_(pa.int64())),
-                ],
-                ["page_id", "url", "host", "path", "lines", "says", "hashes"],
-            )
-
+def _pages(pages: DataFrame) -> DataFrame:
+    """page_id, url, html, and what tells pages apart: host, path, page (a hash of host and html)."""
     url = F.col("url").cast("string")
     rest = F.regexp_replace(url, r"^[A-Za-z][A-Za-z0-9+.-]*://", "")
     t = pages.select(
@@ -94,7 +86,41 @@ def parse(pages: DataFrame) -> DataFrame:
         F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1).alias("path"),
         F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"),
     )
-    return map_arrow(t, run, "page_id long, url string, host string, path string, lines array<string>, says array<tinyint>, hashes array<long>")
+    return t.withColumn("page", F.xxhash64("host", "html"))
+
+
+def line_hashes(pages: DataFrame) -> DataFrame:
+    """page, host, path, hashes of its lines."""
+
+    def run(batches):
+        for batch in batches:
+            got = [[xxhash.xxh64_intdigest(t) - (1 << 63) for t, _ in blocks(h)] for h in batch.column("html").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page", "host", "path")), pa.array(got, pa.list_(pa.int64()))], ["page", "host", "path", "hashes"])
+
+    t = pages.where("host IS NOT NULL").select("page", "host", "path", "html")
+    return map_arrow(t, run, "page long, host string, path string, hashes array<long>")
+
+
+def packed_lines(pages: DataFrame) -> DataFrame:
+    """page_id, url, page, its lines and the markup's word on each, compressed."""
+
+    def run(batches):
+        writer = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            got = []
+            for h in batch.column("html").to_pylist():
+                found = blocks(h)
+                says = bytes(s + 1 for _, s in found)
+                got.append(writer.compress(len(found).to_bytes(4, "little") + says + "\x00".join(t for t, _ in found).encode()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "url", "page")), pa.array(got, pa.binary())], ["page_id", "url", "page", "packed"])
+
+    return map_arrow(pages.select("page_id", "url", "page", "html"), run, "page_id long, url string, page long, packed binary")
+
+
+def unpack(data: bytes) -> tuple[list[str], list[int]]:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    n = int.from_bytes(raw[:4], "little")
+    return (raw[4 + n :].decode().split("\x00") if n else []), [x - 1 for x in raw[4 : 4 + n]]
 
 
 def _shared_prefix(a, b):
@@ -129,22 +155,39 @@ def nearest(keys: DataFrame) -> DataFrame:
     return both.select("row", partner.alias("partner")).where("partner IS NOT NULL")
 
 
+def shared_lines(hashes: DataFrame) -> DataFrame:
+    """page, places of the lines it has in common with the page of the nearest URL (pages with any)."""
+    one = hashes.groupBy("page", "host").agg(F.min("path").alias("path"))
+    pairs = nearest(one.select(F.col("page").alias("row"), "host", "path"))
+    lines = hashes.groupBy("page").agg(F.first("hashes").alias("hashes"))
+    mine = lines.select(F.col("page").alias("row"), F.col("hashes").alias("mine"))
+    theirs = lines.select(F.col("page").alias("partner"), F.col("hashes").alias("theirs"))
+
+    def run(batches):
+        for batch in batches:
+            found = [sorted(common_lines(a, b)) for a, b in zip(batch.column("mine").to_pylist(), batch.column("theirs").to_pylist())]
+            keep = [i for i, x in enumerate(found) if x]
+            yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(keep, pa.int64())), pa.array([found[i] for i in keep], pa.list_(pa.int32()))], ["page", "shared"])
+
+    both = pairs.join(mine, "row").join(theirs, "partner").select("row", "mine", "theirs")
+    return map_arrow(both, run, "page long, shared array<int>")
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """One row per page: page_id, url, text, n_chars."""
-    parsed = materialize(parse(pages).withColumn("row", F.monotonically_increasing_id()), "parsed-pages")
-    pairs = nearest(parsed.where("host IS NOT NULL").select("row", "host", "path"))
-    theirs = parsed.select(F.col("row").alias("partner"), F.col("hashes").alias("other"))
-    wanted = pairs.join(theirs, "partner").select("row", "other")
+    t = _pages(pages)
+    hashes = materialize(line_hashes(t), "line-hashes")
+    shared = materialize(shared_lines(hashes), "shared-lines")
 
     def run(batches):
         for batch in batches:
             text = []
-            for lines, says, mine, other in zip(*(batch.column(c).to_pylist() for c in ("lines", "says", "hashes", "other"))):
-                shared = common_lines(mine, other) if other else set()
-                article = CONTENT in says
-                keep = [t for i, (t, s) in enumerate(zip(lines, says)) if s == CONTENT or not article and s != CHROME and i not in shared]
+            for data, places in zip(batch.column("packed").to_pylist(), batch.column("shared").to_pylist()):
+                lines, says = unpack(data)
+                template, article = set(places or ()), CONTENT in says
+                keep = [x for i, (x, s) in enumerate(zip(lines, says)) if s == CONTENT or not article and s != CHROME and i not in template]
                 text.append(JOIN.join(keep))
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], ["page_id", "url", "text", "n_chars"])
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(text, pa.string()), pa.array([len(x) for x in text], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    both = parsed.join(wanted, "row", "left").select("page_id", "url", "lines", "says", "hashes", "other")
+    both = packed_lines(t).join(shared, "page", "left").select("page_id", "url", "packed", "shared")
     return map_arrow(both, run, "page_id long, url string, text string, n_chars long")

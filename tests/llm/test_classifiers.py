@@ -76,12 +76,14 @@ def bare(lines):
 
 def test_op9_template_by_differencing(spark):
     pages = [(i, f"http://h.example/en/news/{i}", bare(["Home", "About", f"Story {i}", f"More {i}", "Imprint"])) for i in range(40)]
+    pages += [(50 + i, "http://h.example/en/news/7x", pages[7][2]) for i in range(3)]  # copies at another address
     pages += [(100, "http://alone.example/x", bare(["Only", "page"])), (101, None, bare(["No url"])), (102, "http://e.example/", None), (103, "", ""), (100, "http://alone.example/x", bare(["Only", "page"]))]
     df = spark.createDataFrame([(*p, "clash") for p in pages], "page_id long, url string, html string, text string").repartition(6)
     out = page_diff.extract(df).collect()
     assert len(out) == len(pages)
     got = {r["page_id"]: r["text"] for r in out}
     assert all(got[i] == f"Story {i}\n\nMore {i}" for i in range(40))
+    assert all(got[50 + i] == "Story 7\n\nMore 7" for i in range(3))
     assert got[101] == "No url" and got[102] == "" and got[103] == ""
     assert all(r["n_chars"] == len(r["text"]) for r in out)
 
