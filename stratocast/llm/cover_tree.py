@@ -10,8 +10,10 @@ On unit vectors a cosine of c is a Euclidean distance of sqrt(2 - 2c), a metric.
   a centre below, other vectors belong to the centre that covers them.
 * Pairs of cells, then of blocks, then of nodes within two blocks are dropped if
   the distance of their centres exceeds the sum of their covering radii and the
-  threshold's distance.  What is left is compared vector by vector in double
-  precision, in matrix products of bounded size.
+  threshold's distance.  Vectors that are nodes of their own are first bounded in
+  the projection on a few main directions (a distance there is never larger).
+  What is left is compared vector by vector in double precision, in matrix
+  products of bounded size.
 
 A pair of blocks returns, for each vector, how many it links with, and for each
 connected set of vectors a star of links - not the pairs, whose number grows
@@ -47,7 +49,9 @@ SAMPLE, CENTRES = 4_000, 256
 BLOCK = 4_096
 RADII = (1.0, 0.5, 0.25)
 #: Distances that may be off by rounding: bounds keep this much clear.
-SLACK = 1e-5
+SLACK = 1e-4
+#: Directions in which vectors are compared first.
+AXES = 16
 #: Entries of a matrix of similarities at once.
 CELLS = 1 << 22
 
@@ -100,13 +104,41 @@ def levels(x: np.ndarray, radii=RADII) -> np.ndarray:
     return np.array(out)
 
 
-def traverse(x, xl, xw, y, yl, yw, threshold: float, same: bool):
-    """Links between two blocks (or within one): weighted counts of both sides and stars (x index, y index).
+def upper_bounds(x: np.ndarray, axes: np.ndarray) -> np.ndarray:
+    """Rows whose inner products bound the cosines of x from above: coordinates on a
+    few orthonormal axes, and the length of what they leave out."""
+    head = x @ axes
+    rest = np.sqrt(np.maximum(0.0, 1.0 - (head * head).sum(1, keepdims=True)))
+    return np.concatenate([head, rest], 1).astype(np.float32)
 
-    xl, yl: rows of centres as ``levels`` gives them; xw, yw: how many vectors each stands for."""
+
+class Side:
+    """One block: unit vectors, centres by level, and how many vectors each stands for."""
+
+    def __init__(self, x: np.ndarray, l: np.ndarray, w: np.ndarray, axes: np.ndarray):
+        self.x, self.l, self.w = x, l, w
+        self.bound = upper_bounds(x, axes) if len(x) else np.zeros((0, axes.shape[1] + 1), np.float32)
+        self.links = np.zeros(len(x), np.int64)
+
+    def nodes(self, level: int, a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
+        """Of the vectors a: those alone in their node; centres, covering radii and members of the other nodes."""
+        own = self.l[level][a]
+        order = np.argsort(own, kind="stable")
+        centres, first, size = np.unique(own[order], return_index=True, return_counts=True)
+        d = _distance(np.einsum("ij,ij->i", self.x[a], self.x[own]))[order]
+        radius = np.maximum.reduceat(d, first) if len(first) else d
+        fat = size > 1
+        members = a[order]
+        return members[first[~fat]], centres[fat], radius[fat], [members[f : f + n] for f, n in zip(first[fat], size[fat])]
+
+
+def traverse(left: Side, right: Side, threshold: float) -> np.ndarray:
+    """Count the links between two blocks (or within one: the same object) on both
+    sides, weighted; return for every vector (left, then right) the first of those connected with it."""
+    same = left is right
     tau = math.sqrt(2 - 2 * threshold)
-    nx, ny = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64)
-    parent = np.arange(len(x) + (0 if same else len(y)))
+    off = 0 if same else len(left.x)
+    parent = list(range(len(left.x) + (0 if same else len(right.x))))
 
     def find(i):
         while parent[i] != i:
@@ -114,9 +146,7 @@ def traverse(x, xl, xw, y, yl, yw, threshold: float, same: bool):
             i = parent[i]
         return i
 
-    off = 0 if same else len(x)
-
-    def join_all(a, b):
+    def connect(a, b):
         for i, j in zip(a.tolist(), (b + off).tolist()):
             i, j = find(i), find(j)
             if i != j:
@@ -127,68 +157,73 @@ def traverse(x, xl, xw, y, yl, yw, threshold: float, same: bool):
         step = max(1, CELLS // max(1, len(b)))
         for s in range(0, len(a), step):
             part = a[s : s + step]
-            hit = x[part] @ y[b].T >= threshold
+            hit = left.x[part] @ right.x[b].T >= threshold
             if same:
                 hit &= part[:, None] != b[None, :]
             if not hit.any():
                 continue
-            np.add.at(nx, part, hit @ yw[b])
+            np.add.at(left.links, part, hit @ right.w[b])
             if twice:
-                np.add.at(ny if not same else nx, b, xw[part] @ hit)
-            rows = np.flatnonzero(hit.any(1))
-            first = hit[rows].argmax(1)
-            join_all(part[rows], b[first])  # each row with its first partner, each column with its first
-            cols = np.flatnonzero(hit.any(0))
-            join_all(part[hit[:, cols].argmax(0)], b[cols])
-            # what these two stars have not yet connected
-            label_a = np.array([find(i) for i in part.tolist()])
-            label_b = np.array([find(j) for j in (b + off).tolist()])
-            r, c = np.nonzero(hit & (label_a[:, None] != label_b[None, :]))
-            join_all(part[r], b[c])
-
-    def nodes(l):
-        order = np.argsort(l, kind="stable")
-        centres, first = np.unique(l[order], return_index=True)
-        return centres, np.split(order, first[1:])
-
-    def radii(v, centres, members):
-        return np.array([_distance(v[m] @ v[c]).max() if len(m) > 1 else 0.0 for c, m in zip(centres, members)])
+                np.add.at(right.links, b, left.w[part] @ hit)
+            rows, cols = np.flatnonzero(hit.any(1)), np.flatnonzero(hit.any(0))
+            connect(part[rows], b[hit[rows].argmax(1)])  # each row with its first partner
+            connect(part[hit[:, cols].argmax(0)], b[cols])  # each column with its first
+            of_a = np.array([find(i) for i in part[rows].tolist()])
+            of_b = np.array([find(j) for j in (b[cols] + off).tolist()])
+            r, c = np.nonzero(hit[np.ix_(rows, cols)] & (of_a[:, None] != of_b[None, :]))
+            connect(part[rows[r]], b[cols[c]])  # what these two stars have not yet connected
+
+    def singles(a, b, mirrored):
+        """Vectors that are nodes of their own: candidates by the bound, then in double precision."""
+        step = max(1, CELLS // max(1, len(b)))
+        for s in range(0, len(a), step):
+            part = a[s : s + step]
+            near = left.bound[part] @ right.bound[b].T >= np.float32(threshold - SLACK)
+            p, q = np.nonzero(near)
+            p, q = part[p], b[q]
+            if mirrored:
+                p, q = p[p < q], q[p < q]
+            for t in range(0, len(p), 1 << 16):
+                i, j = p[t : t + (1 << 16)], q[t : t + (1 << 16)]
+                ok = np.einsum("ij,ij->i", left.x[i], right.x[j]) >= threshold
+                i, j = i[ok], j[ok]
+                np.add.at(left.links, i, right.w[j])
+                np.add.at(right.links, j, left.w[i])
+                connect(i, j)
 
     def go(level, a, b, mirrored):
-        """Vectors a of one node and b of another (mirrored: the same node), by their centres at ``level``."""
-        if level == len(RADII) or len(a) * len(b) <= 4096:
+        """Vectors a and b of one node each (mirrored: of the same)."""
+        if level == len(RADII) or len(a) * len(b) <= 1 << 14:
             compare(a, b, not mirrored)
             return
-        ca, ma = nodes(xl[level][a])
-        cb, mb = (ca, ma) if mirrored else nodes(yl[level][b])
-        ma, mb = [a[m] for m in ma], [b[m] for m in mb]
-        ra, rb = radii(x, ca, ma), radii(y, cb, mb)
-        single_a = np.array([len(m) == 1 for m in ma])
-        single_b = np.array([len(m) == 1 for m in mb])
-        step = max(1, CELLS // max(1, len(cb)))
-        x32, y32 = x[ca].astype(np.float32), y[cb].astype(np.float32)
-        for s in range(0, len(ca), step):
-            cosine = x32[s : s + step] @ y32.T
-            reach = ra[s : s + step, None] + rb[None, :] + tau + SLACK
-            near = cosine >= (1 - 0.5 * np.minimum(reach, 2.0) ** 2 - SLACK).astype(np.float32)
-            if mirrored:
-                near &= np.arange(s, s + len(cosine))[:, None] <= np.arange(len(cb))[None, :]
-            i, j = np.nonzero(near)
-            i += s
-            lone = single_a[i] & single_b[j]
-            if lone.any():  # two vectors: the pair itself, in double precision
-                p, q = np.array([ma[k][0] for k in i[lone]]), np.array([mb[k][0] for k in j[lone]])
-                ok = (np.einsum("ij,ij->i", x[p], y[q]) >= threshold) & ~(same & (p == q))
-                p, q = p[ok], q[ok]
-                np.add.at(nx, p, yw[q])
-                np.add.at(ny if not same else nx, q, xw[p])
-                join_all(p, q)
-            for k, m in zip(i[~lone].tolist(), j[~lone].tolist()):
-                go(level + 1, ma[k], mb[m], mirrored and k == m)
-
-    if len(x) and len(y):
-        go(0, np.arange(len(x)), np.arange(len(y)), same)
-    return nx, ny, np.array([find(i) for i in range(len(parent))])
+        sa, ca, ra, ma = left.nodes(level, a)
+        sb, cb, rb, mb = (sa, ca, ra, ma) if mirrored else right.nodes(level, b)
+        singles(sa, sb, mirrored)
+
+        def near(one, r, other, q, vectors):
+            """Pairs of centres nearer than their covering radii and the threshold allow."""
+            reach = np.minimum(r[:, None] + q[None, :] + tau + SLACK, 2.0)
+            return one.x[vectors[0]] @ other.x[vectors[1]].T >= 1 - 0.5 * reach**2 - SLACK
+
+        none_a, none_b = np.zeros(len(sa)), np.zeros(len(sb))
+        if len(ca):
+            alone, fat = near(left, ra, right, none_b, (ca, sb)), near(left, ra, right, rb, (ca, cb))
+            for k in range(len(ca)):
+                others = [sb[alone[k]], *(mb[m] for m in np.flatnonzero(fat[k]).tolist() if not mirrored or m > k)]
+                others = np.concatenate(others)
+                if len(others):
+                    go(level + 1, ma[k], others, False)
+                if mirrored:
+                    go(level + 1, ma[k], ma[k], True)
+        if len(cb) and not mirrored:
+            alone = near(right, rb, left, none_a, (cb, sa))
+            for m in range(len(cb)):
+                if alone[m].any():
+                    go(level + 1, sa[alone[m]], mb[m], False)
+
+    if len(left.x) and len(right.x):
+        go(0, np.arange(len(left.x)), np.arange(len(right.x)), same)
+    return np.array([find(i) for i in range(len(parent))])
 
 
 def _clean(embeddings: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -212,6 +247,8 @@ def _links_of_one_length(nodes: DataFrame, threshold: float, block_rows: int) ->
         order.append(nxt)
         left.remove(nxt)
     shared = sc.broadcast(centres[order])
+    # the sample's main directions: most of a cosine shows in them
+    main = sc.broadcast(np.linalg.svd(_unit(sample), full_matrices=False)[2][:AXES].T.copy())
 
     def assign(batches):
         c = shared.value
@@ -269,22 +306,22 @@ def _links_of_one_length(nodes: DataFrame, threshold: float, block_rows: int) ->
     second = second.where("g <> h OR other < part").select("node", "x", "w", "l0", "l1", "l2", F.col("g").alias("g1"), F.col("other").alias("p1"), F.col("h").alias("g2"), F.col("part").alias("p2"), F.lit(1).alias("side"))
 
     def dual(group: pd.DataFrame) -> pd.DataFrame:
-        sides = []
+        sides, names = [], []
         for s in (0, 1):
             part = group[group["side"] == s].sort_values("node", ignore_index=True)
             ids = part["node"].to_numpy()
             l = np.array([np.searchsorted(ids, part[f"l{k}"].to_numpy()) for k in range(len(RADII))])
-            x = _unit(np.stack(part["x"].to_numpy())) if len(part) else np.zeros((0, 1))
-            sides.append((ids, x, l, part["w"].to_numpy()))
-        (ai, a, al, aw), (bi, b, bl, bw) = sides
+            x = _unit(np.stack(part["x"].to_numpy())) if len(part) else np.zeros((0, main.value.shape[0]))
+            sides.append(Side(x, l, part["w"].to_numpy(), main.value))
+            names.append(ids)
+        one, two = sides
         key = group.iloc[0]
-        same = key["g1"] == key["g2"] and key["p1"] == key["p2"]
-        if same:
-            na, _, root = traverse(a, al, aw, a, al, aw, threshold, True)
-            ids, n = ai, na
+        if key["g1"] == key["g2"] and key["p1"] == key["p2"]:
+            root = traverse(one, one, threshold)
+            ids, n = names[0], one.links
         else:
-            na, nb, root = traverse(a, al, aw, b, bl, bw, threshold, False)
-            ids, n = np.concatenate([ai, bi]), np.concatenate([na, nb])
+            root = traverse(one, two, threshold)
+            ids, n = np.concatenate(names), np.concatenate([one.links, two.links])
         on = n > 0
         return pd.DataFrame({"node": ids[on], "root": ids[root[on]], "links": n[on]})
 
