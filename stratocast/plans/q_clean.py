@@ -108,8 +108,8 @@ def q_prj_cloud(spark, sf_dir):
 @query(
     "prj_final_columns",
     CLEAN
-    + """SELECT location_id, valid_time, temperature, surface_pressure, total_cloud_cover,
-       precipitation, humidity, wind_speed FROM clean""",
+    + """SELECT location_id, valid_time, temperature, surface_pressure, total_cloud_cover, low_cloud_cover,
+       medium_cloud_cover, high_cloud_cover, precipitation, humidity, wind_speed FROM clean""",
 )
 def q_prj_final(spark, sf_dir):
     return clean_series(obs(spark, sf_dir))
@@ -127,14 +127,14 @@ def q_flt_grid(spark, sf_dir):
     "flt_drop_null",
     FEAT
     + "SELECT location_id, valid_time, temperature FROM feat WHERE "
-    + " AND ".join(f"{c} IS NOT NULL" for c in FEATURE_NOT_NULL if c not in ("low_cloud_cover", "medium_cloud_cover", "high_cloud_cover")),
+    + " AND ".join(f"{c} IS NOT NULL" for c in FEATURE_NOT_NULL),
 )
 def q_flt_drop_null(spark, sf_dir):
     f = build_features(obs(spark, sf_dir), threshold=STANDIN_RAIN_THRESHOLD)
     return quality.drop_null_rows(f, FEATURE_NOT_NULL).select(KEY, TIME, "temperature")
 
 
-_RANGE_COLS = ["temperature", "surface_pressure", "total_cloud_cover", "precipitation", "humidity", "wind_speed"]
+_RANGE_COLS = S.OBS_MEASURES
 
 
 @query(
@@ -196,10 +196,9 @@ def q_qc_time_gaps(spark, sf_dir):
     "prj_model_inputs",
     S.with_(S.OBS, S.CLEAN, S.feat(STANDIN_RAIN_THRESHOLD, source="clean"))
     + "SELECT location_id, valid_time, "
-    + ", ".join(c for c in RAIN_FEATURES if c not in ("low_cloud_cover", "medium_cloud_cover", "high_cloud_cover"))
+    + ", ".join(RAIN_FEATURES)
     + ", hour_sin, hour_cos, month_sin, month_cos FROM feat",
 )
 def q_prj_model_inputs(spark, sf_dir):
     f = build_features(clean_table(spark, sf_dir, keep_index=True), threshold=STANDIN_RAIN_THRESHOLD)
-    present = [c for c in RAIN_FEATURES if c in f.columns]
-    return f.select(KEY, TIME, *present, "hour_sin", "hour_cos", "month_sin", "month_cos")
+    return quality.require_columns(f, RAIN_FEATURES).select(KEY, TIME, *RAIN_FEATURES, "hour_sin", "hour_cos", "month_sin", "month_cos")

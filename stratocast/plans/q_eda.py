@@ -13,7 +13,8 @@ from .clean import clean_series
 from .features import build_features, drop_incomplete
 
 CLEAN_FEAT = S.with_(S.OBS, S.CLEAN, S.feat(STANDIN_RAIN_THRESHOLD, source="clean"))
-MEASURES = ["temperature", "surface_pressure", "total_cloud_cover", "precipitation", "humidity", "wind_speed"]
+MEASURES = ["temperature", "surface_pressure", "total_cloud_cover", "low_cloud_cover", "medium_cloud_cover", "high_cloud_cover", "precipitation", "humidity",
+            "wind_speed"]
 
 
 def obs(spark, sf_dir):
@@ -116,7 +117,7 @@ def q_ag_describe(spark, sf_dir):
 
 
 _OBS_COLS = ["location_id", "valid_time", "temperature", "precipitation", "humidity", "surface_pressure",
-             "wind_speed", "total_cloud_cover", "n"]
+             "wind_speed", "total_cloud_cover", "low_cloud_cover", "medium_cloud_cover", "high_cloud_cover", "n"]
 
 
 @query(

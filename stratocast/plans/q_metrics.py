@@ -44,7 +44,7 @@ def _r6_all(df, cols):
     "ml_split_80_20",
     CLEAN
     + """SELECT location_id, valid_time,
-       CASE WHEN row_number() OVER w <= floor(count(*) OVER (PARTITION BY location_id) * 0.8) THEN 'train' ELSE 'test' END AS split
+       CASE WHEN row_number() OVER w <= floor(count(*) OVER (PARTITION BY location_id) * 0.8::DOUBLE) THEN 'train' ELSE 'test' END AS split
 FROM clean WINDOW w AS (PARTITION BY location_id ORDER BY valid_time)""",
 )
 def q_ml_split_80_20(spark, sf_dir):
@@ -59,7 +59,7 @@ def q_ml_split_80_20(spark, sf_dir):
               row_number() OVER (PARTITION BY location_id ORDER BY valid_time) - 24 AS i,
               count(*) OVER (PARTITION BY location_id) - 28 AS ns FROM kept)
 SELECT location_id, valid_time,
-       CASE WHEN i < floor(ns * 0.7) THEN 'train' WHEN i < floor(ns * 0.85) THEN 'val' ELSE 'test' END AS split
+       CASE WHEN i < floor(ns * 0.7::DOUBLE) THEN 'train' WHEN i < floor(ns * 0.85::DOUBLE) THEN 'val' ELSE 'test' END AS split
 FROM s WHERE i >= 0 AND i < ns""",
 )
 def q_ml_split_70_15_15(spark, sf_dir):

@@ -133,10 +133,11 @@ def q_sc_range_pct(spark, sf_dir):
 @query(
     "sc_hydro_bars",
     CLEAN
-    + """SELECT location_id, valid_time,
-       round(coalesce(CASE WHEN humidity > 100 THEN 100 WHEN humidity > 0 THEN humidity END, 0), 6) AS humidity_bar,
-       round(coalesce(CASE WHEN precipitation * 10 > 100 THEN 100 WHEN precipitation > 0 THEN precipitation * 10 END, 0), 6) AS precip_bar,
-       round(coalesce(CASE WHEN surface_pressure > 1040 THEN 100 WHEN surface_pressure > 980 THEN (surface_pressure - 980) / 60 * 100 END, 0), 6) AS pressure_bar FROM clean""",
+    + f"""SELECT location_id, valid_time,
+       {S.hround('coalesce(CASE WHEN humidity > 100 THEN 100 WHEN humidity > 0 THEN humidity END, 0)::DOUBLE', 6)} AS humidity_bar,
+       {S.hround('coalesce(CASE WHEN precipitation * 10 > 100 THEN 100 WHEN precipitation > 0 THEN precipitation * 10 END, 0)::DOUBLE', 6)} AS precip_bar,
+       {S.hround('coalesce(CASE WHEN surface_pressure > 1040 THEN 100 WHEN surface_pressure > 980 THEN (surface_pressure - 980) / 60 * 100 END, 0)::DOUBLE', 6)} AS pressure_bar
+FROM clean""",
 )
 def q_sc_hydro_bars(spark, sf_dir):
     c = clean(spark, sf_dir)

@@ -26,13 +26,14 @@ OBS_SCHEMA = T.StructType(
     [T.StructField(KEY, T.LongType()), T.StructField(TIME, T.TimestampNTZType())]
     + [
         T.StructField(c, T.DoubleType())
-        for c in ["temperature", "precipitation", "humidity", "surface_pressure", "wind_speed", "total_cloud_cover"]
+        for c in ["temperature", "precipitation", "humidity", "surface_pressure", "wind_speed", "total_cloud_cover",
+                  "low_cloud_cover", "medium_cloud_cover", "high_cloud_cover"]
     ]
     + [T.StructField("n", T.LongType())]
 )
 
 RAW_COLS = "event_id, valid_time, latitude, longitude, t2m, d2m, sp, tp, u10, v10, tcc, lcc, mcc, hcc"
-OBS_COLS = "location_id, valid_time, temperature, precipitation, humidity, surface_pressure, wind_speed, total_cloud_cover, n"
+OBS_COLS = "location_id, valid_time, temperature, precipitation, humidity, surface_pressure, wind_speed, total_cloud_cover, low_cloud_cover, medium_cloud_cover, high_cloud_cover, n"
 
 
 @query("src_csv_normalised", S.with_(S.RAW) + f"SELECT {RAW_COLS} FROM raw")

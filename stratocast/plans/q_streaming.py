@@ -54,14 +54,15 @@ def replay(spark, sf_dir, run_once, n_slices: int = N_SLICES):
     return src, ev.schema
 
 
-_VALUES = ["temperature", "precipitation", "humidity", "surface_pressure", "wind_speed", "total_cloud_cover"]
+_VALUES = ["temperature", "precipitation", "humidity", "surface_pressure", "wind_speed", "total_cloud_cover",
+           "low_cloud_cover", "medium_cloud_cover", "high_cloud_cover"]
 
 
 @query(
     "str_ingest",
     S.with_(S.OBS)
     + "SELECT location_id, valid_time, "
-    + ", ".join(f"round({c}, 6) AS {c}" for c in _VALUES)
+    + ", ".join(f"{S.hround(c, 6)} AS {c}" for c in _VALUES)
     + ", n FROM obs",
 )
 def q_str_ingest(spark, sf_dir):
@@ -109,13 +110,15 @@ def q_str_features(spark, sf_dir):
 def q_str_scoring(spark, sf_dir):
     """Fit the rain classifier on the batch history, then score every arriving
     hour with features built from the stored 48-hour halo."""
-    from ..operators import models
+    from ..operators import models, quality, splits
 
     hist = drop_incomplete(
         build_features(clean_table(spark, sf_dir, keep_index=True), threshold=STANDIN_RAIN_THRESHOLD)
     ).transform(checkpoint)
-    present = [c for c in RAIN_FEATURES if c in hist.columns]
-    model = models.fit_rain_classifier(hist, present, max_iter=5)
+    present = RAIN_FEATURES
+    split = splits.time_split(quality.require_columns(hist, present), (0.8,), ("train", "valid"))
+    train, valid = (split.filter(F.col("split") == s).drop("split") for s in ("train", "valid"))
+    model = models.fit_rain_classifier(train, present, valid=valid)
 
     obs_dir = shared_path(spark, "obs_stream")
     out_dir = shared_path(spark, "rain_scores")

@@ -6,6 +6,8 @@ driver can compare results; they are not used by the Spark side.
 
 from __future__ import annotations
 
+from ..schema import CLEAN_COLUMNS, VALID_RANGES
+
 
 def bround(expr: str, digits: int) -> str:
     """Half-even rounding of the shortest decimal form of a double (= Spark bround)."""
@@ -17,12 +19,8 @@ def hround(expr: str, digits: int) -> str:
     return f"CAST(round(CAST(CAST(({expr}) AS VARCHAR) AS DECIMAL(38,28)), {digits}) AS DOUBLE)"
 
 
-def r6(expr: str) -> str:
-    return f"round(({expr}), 6)"
-
-
 OBS = """obs AS (
-  SELECT user_id % 4 AS location_id,
+  SELECT user_id // 10 AS location_id,
          date_trunc('hour', ts) AS valid_time,
          avg(value) / 5 AS temperature,
          avg(CASE WHEN event_type = 'purchase' THEN value ELSE 0.0::DOUBLE END) / 5 AS precipitation,
@@ -30,6 +28,9 @@ OBS = """obs AS (
          1000.0::DOUBLE + avg(value) / 10 AS surface_pressure,
          max(value) / 10 AS wind_speed,
          avg(CASE WHEN event_type = 'error' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS total_cloud_cover,
+         avg(value) / 300 AS low_cloud_cover,
+         max(value) / 1000 AS medium_cloud_cover,
+         avg(CASE WHEN event_type = 'error' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) / 2 AS high_cloud_cover,
          count(*) AS n
   FROM events
   GROUP BY 1, 2)"""
@@ -86,7 +87,7 @@ RAW = """raw AS (
   FROM events)"""
 
 DAILY = """daily AS (
-  SELECT user_id % 4 AS location_id,
+  SELECT user_id // 10 AS location_id,
          CAST(ts AS DATE) AS day,
          min(value) / 5 AS temperature_2m_min,
          max(value) / 5 AS temperature_2m_max,
@@ -132,17 +133,7 @@ def interp(cols, source: str = "obs", name: str = "interp", mode: str = "linear"
   ) x)"""
 
 
-BOUNDS = {
-    "temperature": (-20.0, 60.0),
-    "surface_pressure": (850.0, 1080.0),
-    "total_cloud_cover": (0.0, 1.0),
-    "low_cloud_cover": (0.0, 1.0),
-    "medium_cloud_cover": (0.0, 1.0),
-    "high_cloud_cover": (0.0, 1.0),
-    "precipitation": (0.0, 300.0),
-    "humidity": (0.0, 100.0),
-    "wind_speed": (0.0, 60.0),
-}
+BOUNDS = VALID_RANGES
 
 
 def clip_expr(c: str) -> str:
@@ -150,7 +141,7 @@ def clip_expr(c: str) -> str:
     return f"CASE WHEN {c} < {lo} THEN {lo}::DOUBLE WHEN {c} > {hi} THEN {hi}::DOUBLE ELSE {c} END"
 
 
-OBS_MEASURES = ["temperature", "surface_pressure", "total_cloud_cover", "precipitation", "humidity", "wind_speed"]
+OBS_MEASURES = CLEAN_COLUMNS[1:]
 
 # obs -> interpolated -> clipped -> final columns (location first)
 CLEAN = (
@@ -158,9 +149,7 @@ CLEAN = (
     + """,
 clean AS (
   SELECT location_id, valid_time, """
-    + ", ".join(f"{clip_expr(c)} AS {c}" for c in ["temperature", "surface_pressure", "total_cloud_cover"])
-    + ", "
-    + ", ".join(f"{clip_expr(c)} AS {c}" for c in ["precipitation", "humidity", "wind_speed"])
+    + ", ".join(f"{clip_expr(c)} AS {c}" for c in OBS_MEASURES)
     + """
   FROM interp)"""
 )

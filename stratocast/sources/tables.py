@@ -18,8 +18,8 @@ TABLES = (
     "embeddings pages benchmark labels conversations"
 ).split()
 
-# Number of stand-in locations (events.user_id modulo this).
-N_LOCATIONS = 4
+# Users of one stand-in location: locations, and so series rows, grow with the table.
+USERS_PER_LOCATION = 10
 # Forward-24 label threshold used with the stand-in (1.0 marks nearly every hour).
 STANDIN_RAIN_THRESHOLD = 48.0
 
@@ -29,28 +29,37 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def location_of(user_id: Column) -> Column:
-    return (user_id % F.lit(N_LOCATIONS)).alias("location_id")
+    return F.floor(user_id / F.lit(USERS_PER_LOCATION)).cast("long").alias("location_id")
 
 
-def obs_hourly(events: DataFrame) -> DataFrame:
-    """Hourly observation series per location (FIXTURES.md B1).
-
-    One partial+final hash aggregation keyed by (location, hour): a hot key is
-    combined map-side before the shuffle, so no single task sees its raw rows.
-    """
+def hourly_measures() -> list[Column]:
+    """Aggregates of one stand-in hour, for the batch series and the stream alike."""
     v = F.col("value")
     et = F.col("event_type")
-    return events.groupBy(
-        location_of(F.col("user_id")), trunc_hour(F.col("ts")).alias("valid_time")
-    ).agg(
+    errors = F.avg(F.when(et == "error", F.lit(1.0)).otherwise(F.lit(0.0)))
+    return [
         (F.avg(v) / 5).alias("temperature"),
         (F.avg(F.when(et == "purchase", v).otherwise(F.lit(0.0))) / 5).alias("precipitation"),
         F.avg(F.when(et == "view", v)).alias("humidity"),
         (F.lit(1000.0) + F.avg(v) / 10).alias("surface_pressure"),
         (F.max(v) / 10).alias("wind_speed"),
-        F.avg(F.when(et == "error", F.lit(1.0)).otherwise(F.lit(0.0))).alias("total_cloud_cover"),
+        errors.alias("total_cloud_cover"),
+        (F.avg(v) / 300).alias("low_cloud_cover"),
+        (F.max(v) / 1000).alias("medium_cloud_cover"),
+        (errors / 2).alias("high_cloud_cover"),
         F.count(F.lit(1)).alias("n"),
-    )
+    ]
+
+
+def obs_hourly(events: DataFrame) -> DataFrame:
+    """Hourly observation series per location (FIXTURES.md B1).
+
+    One partial+final hash aggregation keyed by (location, hour): a hot key is
+    combined map-side before the shuffle, so no single task sees its raw rows.
+    """
+    return events.groupBy(
+        location_of(F.col("user_id")), trunc_hour(F.col("ts")).alias("valid_time")
+    ).agg(*hourly_measures())
 
 
 def raw_grid(events: DataFrame) -> DataFrame:

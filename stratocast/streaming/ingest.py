@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.timeparts import trunc_hour
 from ..operators import windows
 from ..schema import KEY, TIME
-from ..sources.tables import location_of
+from ..sources.tables import hourly_measures, location_of
 
 HALO_HOURS = 48
 
@@ -30,8 +30,6 @@ def observation_stream(events: DataFrame, lateness: str = "2 hours") -> DataFram
     Duplicated deliveries (same event_id) inside the lateness bound are dropped;
     hourly windows keep state only until the watermark passes them.
     """
-    v = F.col("value")
-    et = F.col("event_type")
     deduped = (
         events.withColumn("_et", utc_instant(F.col("ts")))
         .withWatermark("_et", lateness)
@@ -41,15 +39,7 @@ def observation_stream(events: DataFrame, lateness: str = "2 hours") -> DataFram
     # same hour as a wall-clock value for the output
     agg = deduped.groupBy(
         location_of(F.col("user_id")), F.window("_et", "1 hour").alias("w"), trunc_hour(F.col("ts")).alias(TIME)
-    ).agg(
-        (F.avg(v) / 5).alias("temperature"),
-        (F.avg(F.when(et == "purchase", v).otherwise(F.lit(0.0))) / 5).alias("precipitation"),
-        F.avg(F.when(et == "view", v)).alias("humidity"),
-        (F.lit(1000.0) + F.avg(v) / 10).alias("surface_pressure"),
-        (F.max(v) / 10).alias("wind_speed"),
-        F.avg(F.when(et == "error", F.lit(1.0)).otherwise(F.lit(0.0))).alias("total_cloud_cover"),
-        F.count(F.lit(1)).alias("n"),
-    )
+    ).agg(*hourly_measures())
     return agg.drop("w")
 
 
