@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import DEFAULT_THRESHOLD, SWEEP_COUNT, SWEEP_START, SWEEP_STEP
+from ..sources.literals import literal_table
 
 # Threshold grid identical to numpy.arange(0.10, 0.91, 0.05): start + i * delta,
 # delta taken as (start + step) - start.
@@ -123,6 +124,13 @@ def average_precision(points: DataFrame) -> DataFrame:
     return points.agg(F.sum(contrib).alias("average_precision"))
 
 
+def _fixed_point(points: DataFrame, **values: float) -> DataFrame:
+    """The end of a curve that belongs to no score: one literal row, so the points
+    are not computed a second time for it."""
+    columns = [("threshold", "double"), *((name, "double") for name in values)]
+    return literal_table(points.sparkSession, [(None, *values.values())], columns)
+
+
 def roc_curve(points: DataFrame) -> DataFrame:
     """(threshold, fpr, tpr) at every distinct score, plus the (0, 0) start
     with a null threshold (all intermediate points kept)."""
@@ -131,10 +139,7 @@ def roc_curve(points: DataFrame) -> DataFrame:
         (F.col("FP") / F.col("N")).alias("fpr"),
         (F.col("TP") / F.col("P")).alias("tpr"),
     )
-    start = points.limit(1).select(
-        F.lit(None).cast("double").alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr")
-    )
-    return pts.unionByName(start)
+    return pts.unionByName(_fixed_point(points, fpr=0.0, tpr=0.0))
 
 
 def pr_curve(points: DataFrame) -> DataFrame:
@@ -146,10 +151,7 @@ def pr_curve(points: DataFrame) -> DataFrame:
         (F.col("TP") / (F.col("TP") + F.col("FP"))).alias("precision"),
         (F.col("TP") / F.col("P")).alias("recall"),
     )
-    end = points.limit(1).select(
-        F.lit(None).cast("double").alias("threshold"), F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall")
-    )
-    return pts.unionByName(end)
+    return pts.unionByName(_fixed_point(points, precision=1.0, recall=0.0))
 
 
 def threshold_sweep(df: DataFrame, y="y_true", p="y_prob", thresholds=SWEEP) -> DataFrame:
@@ -163,8 +165,6 @@ def threshold_sweep(df: DataFrame, y="y_true", p="y_prob", thresholds=SWEEP) ->
     n_bin = sum((F.col(p) >= F.lit(t)).cast("int") for t in thresholds)
     t = F.col(y) == 1
     per_bin = df.groupBy(n_bin.alias("bin")).agg(F.count_if(t).alias("pos"), F.count_if(~t).alias("neg"))
-    from ..sources.literals import literal_table
-
     grid = literal_table(
         spark, [(i + 1, float(thr)) for i, thr in enumerate(thresholds)] + [(0, None)], [("bin", "int"), ("thr", "double")]
     )
@@ -218,20 +218,26 @@ def calibration(df: DataFrame, y="y_true", p="y_prob") -> DataFrame:
 
 def regression_metrics(df: DataFrame, step: str = "step", y: str = "y_true", yhat: str = "y_pred") -> DataFrame:
     """MAE, RMSE and R2 (1 - SSE/SST around the group mean) per step and over
-    all steps flattened ('overall')."""
+    all steps flattened ('overall'), from one pass: both kinds of row are groups
+    of one grouping-sets aggregate."""
     err = F.col(yhat) - F.col(y)
+    pairs = df.select(
+        F.concat(F.lit("+"), F.col(step).cast("string"), F.lit("h")).alias("_step"), F.col(y).alias("_y"), err.alias("_err")
+    )
+    e = F.col("_err")
+    out = pairs.rollup("_step").agg(
+        F.avg(F.abs(e)).alias("mae"),
+        F.sqrt(F.avg(e * e)).alias("rmse"),
+        (F.lit(1.0) - F.try_divide(F.sum(e * e), F.var_pop("_y") * F.count("_y"))).alias("r2"),
+        F.count(F.lit(1)).alias("n"),
+        F.grouping("_step").alias("_all"),
+    )
+    return out.select(F.when(F.col("_all") == 1, F.lit("overall")).otherwise(F.col("_step")).alias("step"), "mae", "rmse", "r2", "n")
 
-    def stats(frame):
-        return frame.agg(
-            F.avg(F.abs(err)).alias("mae"),
-            F.sqrt(F.avg(err * err)).alias("rmse"),
-            (F.lit(1.0) - F.try_divide(F.sum(err * err), F.var_pop(F.col(y)) * F.count(F.col(y)))).alias("r2"),
-            F.count(F.lit(1)).alias("n"),
-        )
 
-    per = stats(df.groupBy(F.concat(F.lit("+"), F.col(step).cast("string"), F.lit("h")).alias("step")))
-    overall = stats(df.groupBy(F.lit("overall").alias("step")))
-    return per.unionByName(overall)
+def forecast_band(df: DataFrame, mae: float, yhat: str = "y_pred") -> DataFrame:
+    """Adds ``lower`` and ``upper``: the forecast less and plus the model's overall MAE."""
+    return df.withColumns({"lower": F.col(yhat) - F.lit(mae), "upper": F.col(yhat) + F.lit(mae)})
 
 
 def step_bars(metrics: DataFrame) -> DataFrame:

@@ -330,15 +330,14 @@ def q_ml_regression_metrics(spark, sf_dir):
     _PAIRS
     + """SELECT p.location_id, p.valid_time, CAST(p.step AS INTEGER) AS step, p.y_pred,
        round(p.y_pred - m.mae, 6) AS lower, round(p.y_pred + m.mae, 6) AS upper
-FROM pairs p JOIN met m ON m.step = '+' || p.step || 'h'""",
+FROM pairs p JOIN met m ON m.step = 'overall'""",
 )
 def q_ml_forecast_band(spark, sf_dir):
     pairs = persistence_pairs(clean(spark, sf_dir))
-    m = pairs.groupBy("step").agg(F.avg(F.abs(F.col("y_pred") - F.col("y_true"))).alias("mae"))
-    # ``m`` has one row per forecast step (5): a proven-small broadcast
-    j = pairs.join(F.broadcast(m), "step")
-    return j.select(KEY, TIME, "step", "y_pred", r6(F.col("y_pred") - F.col("mae")).alias("lower"),
-                    r6(F.col("y_pred") + F.col("mae")).alias("upper"))
+    # one number for all steps, as the stored model metadata holds it
+    mae = pairs.agg(F.avg(F.abs(F.col("y_pred") - F.col("y_true")))).first()[0] or 0.0
+    band = M.forecast_band(pairs, mae)
+    return band.select(KEY, TIME, "step", "y_pred", r6(F.col("lower")).alias("lower"), r6(F.col("upper")).alias("upper"))
 
 
 @query(

@@ -126,6 +126,11 @@ def scored_labels(labels: DataFrame) -> DataFrame:
 _DERIVED: dict[tuple[str, str, str], str] = {}
 
 
+def forget_derived() -> None:
+    """Build derived tables anew from here on."""
+    _DERIVED.clear()
+
+
 def derived(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     """Write ``build()`` once per (application, input folder, name) as Parquet in
     the shared checkpoint folder and read it back.
