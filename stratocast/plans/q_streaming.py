@@ -85,7 +85,7 @@ a AS (SELECT location_id, max(n_rows) AS n_rows,
              max(CASE WHEN b = 24 THEN temperature END) AS v24,
              avg(CASE WHEN b BETWEEN 1 AND 6 THEN temperature END) AS m6
       FROM t GROUP BY 1)
-SELECT location_id, valid_time, round(temp_now, 6) AS temp_now, round(v1, 6) AS temp_lag_1,
+SELECT location_id, valid_time, n_rows, round(temp_now, 6) AS temp_now, round(v1, 6) AS temp_lag_1,
        round(v24, 6) AS temp_lag_24, """
     + S.bround("m6", 4)
     + " AS temp_rolling_6 FROM a",
@@ -101,7 +101,7 @@ def q_str_features(spark, sf_dir):
     )
     f = ingest.latest(spark, out_dir, [KEY])
     return f.select(
-        KEY, TIME, r6(F.col("temp_now")).alias("temp_now"), r6(F.col("temp_lag_1")).alias("temp_lag_1"),
+        KEY, TIME, "n_rows", r6(F.col("temp_now")).alias("temp_now"), r6(F.col("temp_lag_1")).alias("temp_lag_1"),
         r6(F.col("temp_lag_24")).alias("temp_lag_24"), "temp_rolling_6",
     )
 
@@ -109,7 +109,7 @@ def q_str_features(spark, sf_dir):
 @query("str_scoring")
 def q_str_scoring(spark, sf_dir):
     """Fit the rain classifier on the batch history, then score every arriving
-    hour with features built from the stored 48-hour halo."""
+    hour with features built from the stored rows they reach."""
     from ..operators import models, quality, splits
 
     hist = drop_incomplete(

@@ -11,9 +11,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from contextlib import contextmanager
+from datetime import timedelta
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.timeparts import trunc_hour
@@ -21,7 +22,8 @@ from ..operators import windows
 from ..schema import KEY, TIME
 from ..sources.tables import hourly_measures, location_of
 
-HALO_HOURS = 48
+# Rows of history a live feature reaches back (the row itself and 24 before it).
+HALO_ROWS = 25
 
 
 def observation_stream(events: DataFrame, lateness: str = "2 hours") -> DataFrame:
@@ -150,46 +152,78 @@ def run_ingest(
     start_available_now(spark, writer, skip_empty_batches)
 
 
-def halo_rows(batch: DataFrame, obs_dir: str, hours: int = HALO_HOURS) -> DataFrame:
-    """Stored observations of the batch's locations from ``hours`` before the
-    batch's first hour, merged with the batch (batch rows win).
+def read_store(spark: SparkSession, path: str) -> DataFrame | None:
+    """A versioned store, or None if nothing has been written yet; any other error is an error."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
 
-    The stored table is read with a time filter (row-group pruning on the
-    Parquet scan) before the latest-version aggregate, so each micro-batch
-    touches only its halo, not the whole history.
+
+def halo_rows(batch: DataFrame, obs_dir: str, rows: int = HALO_ROWS, days: int = 2) -> DataFrame:
+    """The batch merged with the stored rows its features reach: of each location
+    of the batch all from its first hour on, and the newest ``rows`` before it.
+
+    Rows are counted, not hours, so gaps don't shorten the history: day folders
+    are read back to ``days`` before the batch and, while a location still lacks
+    rows that older folders may hold, four times as far.  Batch rows win.
     """
     spark = batch.sparkSession
     span = batch.groupBy(KEY).agg(F.min(TIME).alias("_from"))
     first = batch.agg(F.min(TIME)).first()[0]
-    if first is None:
+    store = read_store(spark, obs_dir)
+    if first is None or store is None:
         return batch
-    # the bound as a TIMESTAMP_NTZ parsed from text: no session-zone conversion
-    lower = F.to_timestamp_ntz(F.lit(first.isoformat())) - F.make_dt_interval(F.lit(0), F.lit(hours))
-    try:
-        # the day bound prunes partition folders, the time bound row groups
-        stored = spark.read.parquet(obs_dir).filter((F.col(DAY) >= F.to_date(lower)) & (F.col(TIME) >= lower))
-    except AnalysisException as e:
-        # no earlier batch has been written; any other error of the store is an error
-        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
-        return batch
-    rest = [c for c in stored.columns if c not in (KEY, TIME, VERSION, DAY)]
-    newest = stored.groupBy(KEY, TIME).agg(F.max_by(F.struct(*rest), F.col(VERSION)).alias("_v"))
-    stored = newest.select(KEY, TIME, *[F.col("_v")[c].alias(c) for c in rest])
-    near = stored.join(span, KEY).filter(
-        F.col(TIME) >= F.col("_from") - F.make_dt_interval(F.lit(0), F.lit(hours))
-    ).select(*batch.columns)
-    both = near.withColumn("_src", F.lit(1)).unionByName(batch.withColumn("_src", F.lit(0)))
+    oldest = store.agg(F.min(DAY)).first()[0]
+    rest = [c for c in store.columns if c not in (KEY, TIME, VERSION, DAY)]
+    while True:
+        since = first.date() - timedelta(days=days)
+        newest = store.filter(F.col(DAY) >= F.lit(since)).groupBy(KEY, TIME).agg(F.max_by(F.struct(*rest), F.col(VERSION)).alias("_v"))
+        near = newest.join(span, KEY)
+        if oldest is None or since <= oldest:
+            break
+        older = near.filter(F.col(TIME) < F.col("_from")).groupBy(KEY).agg(F.count(F.lit(1)).alias("_n"))
+        if span.join(older, KEY, "left").filter(F.coalesce("_n", F.lit(0)) < rows).isEmpty():
+            break
+        days *= 4
+    before = Window.partitionBy(KEY).orderBy(F.col(TIME).desc())
+    late, early = near.filter(F.col(TIME) >= F.col("_from")), near.filter(F.col(TIME) < F.col("_from"))
+    early = early.withColumn("_back", F.row_number().over(before)).filter(F.col("_back") <= rows).drop("_back")
+    stored = late.unionByName(early).select(KEY, TIME, *[F.col("_v")[c].alias(c) for c in rest]).select(*batch.columns)
+    both = stored.withColumn("_src", F.lit(1)).unionByName(batch.withColumn("_src", F.lit(0)))
     return windows.dedup_first(both, [KEY, TIME], ["_src"]).drop("_src")
 
 
+def rows_so_far(batch: DataFrame, batch_id: int, obs_dir: str, out_dir: str) -> DataFrame:
+    """(location, _so_far): rows each location of the batch has by now - those counted
+    with its last features, and hours the store did not hold before this batch.
+    Versions of this batch itself are left out, so a replay counts alike."""
+    spark = batch.sparkSession
+    fresh = batch.select(KEY, TIME)
+    store, feats = read_store(spark, obs_dir), read_store(spark, out_dir)
+    if store is not None:
+        first = batch.agg(F.min(TIME)).first()[0]
+        seen = store.filter((F.col(VERSION) < batch_id) & (F.col(DAY) >= F.lit(first.date()))).select(KEY, TIME)
+        fresh = fresh.join(seen, [KEY, TIME], "left_anti")
+    out = batch.select(KEY).distinct().join(fresh.groupBy(KEY).agg(F.count(F.lit(1)).alias("_new")), KEY, "left")
+    if feats is not None:
+        last = feats.filter(F.col(VERSION) < batch_id).groupBy(KEY).agg(F.max_by("n_rows", VERSION).alias("_old"))
+        out = out.join(last, KEY, "left")
+    else:
+        out = out.withColumn("_old", F.lit(0).cast("long"))
+    return out.select(KEY, (F.coalesce("_old", F.lit(0)) + F.coalesce("_new", F.lit(0))).alias("_so_far"))
+
+
 def feature_writer(obs_dir: str, out_dir: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch sink for live features: newest-row features of each
-    touched location from the batch plus its stored 48-hour halo."""
+    """foreachBatch sink for live features: newest-row features of each touched
+    location from the batch and the stored rows they reach."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         feats = windows.latest_features(halo_rows(batch, obs_dir))
-        feats.write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
+        counted = feats.join(rows_so_far(batch, batch_id, obs_dir, out_dir), KEY).withColumn("n_rows", F.col("_so_far")).drop("_so_far")
+        counted.write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
 
     return write
 

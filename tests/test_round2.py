@@ -119,3 +119,27 @@ def test_features_of_a_range_equal_those_of_the_series(spark, sf):
     part = features_for_range(obs, lo, hi, threshold=48.0)
     key = lambda r: (r.location_id, r.valid_time)
     assert sorted(whole.collect(), key=key) == sorted(part.collect(), key=key) and whole.count() > 0
+
+
+def test_a_broken_store_is_an_error(spark, tmp_path):
+    from stratocast.streaming import ingest
+
+    batch = hours(spark, [(1, 5, 1.0, 0.0)])
+    assert ingest.halo_rows(batch, f"file://{tmp_path}/none").count() == 1
+    broken = tmp_path / "store" / "obs_day=2024-01-01" / "batch_id=0"
+    broken.mkdir(parents=True)
+    (broken / "part-0.parquet").write_bytes(b"not parquet at all")
+    with pytest.raises(Exception):
+        ingest.halo_rows(batch, f"file://{tmp_path}/store").count()
+
+
+def test_history_is_counted_in_rows_across_gaps(spark, tmp_path):
+    from stratocast.streaming import ingest
+
+    path = f"file://{tmp_path}/obs"
+    old = hours(spark, [(1, 24 * d, float(d), 0.0) for d in range(40)] + [(2, 0, 7.0, 0.0)])
+    ingest.versioned_writer(path)(old, 0)
+    batch = hours(spark, [(1, 24 * 40, 40.0, 0.0), (2, 24 * 40, 8.0, 0.0)])
+    out = ingest.halo_rows(batch, path)
+    assert sorted(r.temperature for r in out.filter("location_id = 1").collect()) == [float(d) for d in range(15, 41)]
+    assert sorted(r.temperature for r in out.filter("location_id = 2").collect()) == [7.0, 8.0]
