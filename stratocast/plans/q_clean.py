@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import units
 from ..operators import quality
 from ..schema import FEATURE_NOT_NULL, KEY, RAIN_FEATURES, TIME
-from ..sources.tables import STANDIN_RAIN_THRESHOLD, clean_table, load, obs_hourly, obs_table, raw_grid
+from ..sources.tables import STANDIN_RAIN_THRESHOLD, clean_table, load, obs_table, raw_grid
 from . import sqlparts as S
 from .catalog import query, r6
 from .clean import clean_series
@@ -159,7 +159,7 @@ def q_qc_range_clip(spark, sf_dir):
 
 @query(
     "qc_validate_features",
-    S.with_(S.OBS, S.CLEAN.replace("FROM obs)", "FROM obs)"), S.feat(STANDIN_RAIN_THRESHOLD, source="clean"))
+    S.with_(S.OBS, S.CLEAN, S.feat(STANDIN_RAIN_THRESHOLD, source="clean"))
     + """, kept AS (SELECT * FROM feat WHERE temp_lag_1 IS NOT NULL AND temp_lag_24 IS NOT NULL
                    AND temp_rolling_6 IS NOT NULL),
 chk AS (SELECT *, lag(temperature) OVER (PARTITION BY location_id ORDER BY valid_time) AS _expected FROM kept)

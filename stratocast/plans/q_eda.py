@@ -6,10 +6,9 @@ from pyspark.sql import functions as F
 
 from ..operators import eda
 from ..schema import KEY, TIME
-from ..sources.tables import STANDIN_RAIN_THRESHOLD, clean_table, load, obs_hourly, obs_table, order_months
+from ..sources.tables import STANDIN_RAIN_THRESHOLD, clean_table, load, obs_table, order_months
 from . import sqlparts as S
 from .catalog import query, r6
-from .clean import clean_series
 from .features import build_features, drop_incomplete
 
 CLEAN_FEAT = S.with_(S.OBS, S.CLEAN, S.feat(STANDIN_RAIN_THRESHOLD, source="clean"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import windows
 from ..schema import KEY, TIME
-from ..sources.tables import STANDIN_RAIN_THRESHOLD, clean_table, load, obs_hourly, obs_table
+from ..sources.tables import STANDIN_RAIN_THRESHOLD, clean_table, load, obs_table
 from . import sqlparts as S
 from .catalog import query, r6
 from .features import build_features, rain_rate_by_month_hour
@@ -69,7 +69,6 @@ def q_wn_label(spark, sf_dir):
 from ..functions.timeparts import cyclic_features, date_parts  # noqa: E402
 from ..operators.series import RN  # noqa: E402
 from ..schema import FORECAST_FEATURES  # noqa: E402
-from .clean import clean_series  # noqa: E402
 from .features import drop_incomplete  # noqa: E402
 
 CLEAN_FEAT = S.with_(S.OBS, S.CLEAN, S.feat(STANDIN_RAIN_THRESHOLD, source="clean"))

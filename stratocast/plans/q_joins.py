@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import joins, windows
-from ..schema import KEY, TIME
-from ..sources.tables import clean_table, daily_weather, load, obs_hourly, raw_grid
+from ..schema import TIME, WEATHER_CODES
+from ..sources.tables import clean_table, daily_weather, load, raw_grid
 from . import sqlparts as S
 from .catalog import query
-from .clean import clean_series
 
 
 @query(
@@ -28,7 +27,7 @@ def q_jn_variables(spark, sf_dir):
 @query(
     "jn_code_lookup",
     """WITH codes(code, description, icon) AS (VALUES """
-    + ", ".join(f"({c}, '{d}', '{i}')" for c, d, i in __import__("stratocast.schema", fromlist=["x"]).WEATHER_CODES)
+    + ", ".join(f"({c}, '{d}', '{i}')" for c, d, i in WEATHER_CODES)
     + """)
 SELECT e.event_id, CAST(json_extract_string(e.props, '$.k') AS INTEGER) AS weathercode,
        coalesce(c.description, 'Unknown') AS description, coalesce(c.icon, '01d') AS icon

@@ -8,10 +8,9 @@ from ..operators import metrics as M
 from ..operators import scaling, series, splits, windows
 from ..operators.series import RN
 from ..schema import FORECAST_FEATURES, KEY, TIME
-from ..sources.tables import STANDIN_RAIN_THRESHOLD, clean_table, load, obs_hourly, scored_labels
+from ..sources.tables import STANDIN_RAIN_THRESHOLD, clean_table, load, scored_labels
 from . import sqlparts as S
 from .catalog import query, r6
-from .clean import clean_series
 from .features import build_features, drop_incomplete
 
 SCORED = S.with_(S.SCORED)

@@ -6,12 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import presentation as P
 from ..functions.timeparts import day_label, hour_label
-from ..operators import joins
 from ..schema import KEY, TIME
-from ..sources.tables import clean_table, daily_weather, load, obs_hourly, scored_labels
+from ..sources.tables import clean_table, daily_weather, load, scored_labels
 from . import sqlparts as S
 from .catalog import query, r6
-from .clean import clean_series
 
 SCORED = S.with_(S.SCORED)
 CLEAN = S.with_(S.OBS, S.CLEAN)

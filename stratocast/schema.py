@@ -6,8 +6,6 @@ uses, so that results match; they are stated plainly and in their natural order.
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
 KEY = "location_id"
 TIME = "valid_time"
 
@@ -176,24 +174,6 @@ MAGNUS_A = 17.625
 MAGNUS_B = 243.04
 KELVIN_OFFSET = 273.15
 
-# ---------------------------------------------------------------------------
-# Schemas
-# ---------------------------------------------------------------------------
-
-CLEAN_SCHEMA = T.StructType(
-    [T.StructField(KEY, T.LongType()), T.StructField(TIME, T.TimestampNTZType())]
-    + [T.StructField(c, T.DoubleType()) for c in CLEAN_COLUMNS[1:]]
-)
-
-RAIN_PREDICTION_SCHEMA = T.StructType(
-    [
-        T.StructField("rain_tomorrow", T.BooleanType()),
-        T.StructField("probability", T.DoubleType()),
-        T.StructField("confidence", T.StringType()),
-        T.StructField("threshold_used", T.DoubleType()),
-    ]
-)
-
 
 def require_columns(df, required) -> None:
     """Raise ValueError naming the missing columns (checked by name only)."""
