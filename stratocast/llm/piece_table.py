@@ -49,6 +49,10 @@ def span_hash(units: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int
     return mix((total[ends] - total[starts]) * back[starts])
 
 
+def hashes(p: Pieces) -> list[np.ndarray]:
+    return [span_hash(p.cp, p.starts, p.ends, b) for b in BASES]
+
+
 def ragged(pool: np.ndarray, offset: np.ndarray, length: np.ndarray) -> np.ndarray:
     """pool[offset:offset + length] of every entry, one behind the other."""
     end = np.cumsum(length)
@@ -59,6 +63,48 @@ def ragged(pool: np.ndarray, offset: np.ndarray, length: np.ndarray) -> np.ndarr
     return pool[at]
 
 
+class FrequentTable:
+    """A fixed table from pieces to small numbers, as a few arrays that can be broadcast."""
+
+    def __init__(self, pieces: list[str], numbers: list[int]):
+        self.mask = np.uint64((1 << max(4, (2 * len(pieces)).bit_length())) - 1)
+        self.slot = np.full(int(self.mask) + 1, -1, np.int32)
+        self.number = np.array(numbers, np.uint16)
+        ends = np.cumsum([len(p) for p in pieces], dtype=np.int64)
+        cp = np.frombuffer("".join(pieces).encode("utf-32-le"), np.uint32)
+        starts = ends - np.array([len(p) for p in pieces], np.int64)
+        self.key = np.stack([span_hash(cp, starts, ends, b) for b in BASES])
+        place(self.slot, self.mask, self.key[0], np.arange(len(pieces)))
+
+    def find(self, h: list[np.ndarray]) -> np.ndarray:
+        """Entry of each key, -1 where there is none."""
+        return probe(self.slot, self.mask, self.key, h[0], h[1])
+
+
+def place(slot: np.ndarray, mask: np.uint64, h1: np.ndarray, entries: np.ndarray) -> None:
+    """Put entries with distinct keys into free slots, linear probing."""
+    at, left = h1 & mask, np.arange(len(entries))
+    while left.size:
+        free = left[slot[at[left]] < 0]
+        slot[at[free]] = entries[free]  # of several for one slot the last stays
+        left = left[slot[at[left]] != entries[left]]
+        at[left] = (at[left] + np.uint64(1)) & mask
+
+
+def probe(slot: np.ndarray, mask: np.uint64, key: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+    out = np.full(len(h1), -1, np.int64)
+    at, left = h1 & mask, np.arange(len(h1))
+    while left.size:
+        e = slot[at[left]]
+        there = e >= 0
+        left, e = left[there], e[there]
+        same = (key[0, e] == h1[left]) & (key[1, e] == h2[left])
+        out[left[same]] = e[same]
+        left = left[~same]
+        at[left] = (at[left] + np.uint64(1)) & mask
+    return out
+
+
 class PieceTable:
     def __init__(self, make, dtypes, entries: int = 1_000_000):
         """``make(piece)`` gives one array-like per dtype."""
@@ -92,33 +138,10 @@ class PieceTable:
         self.n = b
         return np.arange(a, b, dtype=np.int64)
 
-    def _insert(self, entries: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> None:
-        self.key[0, entries], self.key[1, entries] = h1, h2
-        at, left = h1 & self.mask, np.arange(len(entries))
-        while left.size:
-            free = left[self.slot[at[left]] < 0]
-            self.slot[at[free]] = entries[free]  # of several for one slot the last stays
-            left = left[self.slot[at[left]] != entries[left]]
-            at[left] = (at[left] + np.uint64(1)) & self.mask
-
-    def _find(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
-        """Entry of each key, -1 where there is none."""
-        out = np.full(len(h1), -1, np.int64)
-        at, left = h1 & self.mask, np.arange(len(h1))
-        while left.size:
-            e = self.slot[at[left]]
-            there = e >= 0
-            left, e = left[there], e[there]
-            same = (self.key[0, e] == h1[left]) & (self.key[1, e] == h2[left])
-            out[left[same]] = e[same]
-            left = left[~same]
-            at[left] = (at[left] + np.uint64(1)) & self.mask
-        return out
-
     def values(self, p: Pieces) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each pool: the elements of all pieces, and how many each piece has."""
         got: list[list] = [[] for _ in self.dtypes]
-        h = [span_hash(p.cp, p.starts, p.ends, b) for b in BASES]
+        h = hashes(p)
         step = self.limit // 2
         for a in range(0, max(1, len(p.starts)), step):
             b = min(a + step, len(p.starts))
@@ -129,7 +152,7 @@ class PieceTable:
     def _some(self, p: Pieces, h1: np.ndarray, h2: np.ndarray, a: int, b: int):
         starts, ends = p.starts[a:b], p.ends[a:b]
         long = ends - starts > LONG
-        entry = self._find(h1, h2)
+        entry = probe(self.slot, self.mask, self.key, h1, h2)
         entry[long] = -1
         miss = np.flatnonzero((entry < 0) & ~long)
         _, one, which = np.unique(h1[miss], return_index=True, return_inverse=True)
@@ -145,7 +168,9 @@ class PieceTable:
         if len(at):
             joined = p.joined
             made = self._store([self.make(joined[i:j]) for i, j in zip(starts[at].tolist(), ends[at].tolist())])
-            self._insert(made[: len(new)], h1[new], h2[new])
+            fresh = made[: len(new)]
+            self.key[0, fresh], self.key[1, fresh] = h1[new], h2[new]
+            place(self.slot, self.mask, h1[new], fresh)
             entry[miss] = made[: len(new)][which]
             entry[long] = made[len(new) :]
         out = []

@@ -50,7 +50,21 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(load(spark, sf_dir, "documents"))
 
 
-@query("op3_embedding_links")
+SQL_LINKS = """
+WITH RECURSIVE every AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+usable AS (SELECT vec_id, x, sqrt(list_sum([c * c FOR c IN x])) AS size FROM every
+           WHERE len(x) > 0 AND len([c FOR c IN x IF c IS NULL OR NOT isfinite(c)]) = 0 AND list_sum([abs(c) FOR c IN x]) > 0),
+links AS (SELECT a.vec_id AS u, b.vec_id AS v FROM usable a JOIN usable b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+          WHERE list_dot_product(a.x, b.x) / a.size / b.size >= 0.95),
+reach AS (SELECT vec_id AS u, vec_id AS v FROM every UNION SELECT r.u, l.v FROM reach r JOIN links l ON l.u = r.v),
+smallest AS (SELECT u, min(v) AS component_id FROM reach GROUP BY u),
+counted AS (SELECT u, count(*) AS n_links FROM links GROUP BY u)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM every JOIN smallest s ON s.u = vec_id LEFT JOIN counted c ON c.u = vec_id
+"""
+
+
+@query("op3_embedding_links", SQL_LINKS)
 def op3_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .cover_tree import linked_vectors
 

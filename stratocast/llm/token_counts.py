@@ -1,7 +1,7 @@
 """Operator 7: token counts by a map-side two-tier lookup.
 
-Tier one is a compact table of frequent pre-tokens with their numbers of tokens,
-broadcast once (its size is bounded by ``TABLE`` entries).  Tier two is a bounded
+Tier one is a compact hash table of frequent pre-tokens with their numbers of tokens
+(keys of 128 bits, no strings), broadcast once; ``TABLE`` entries bound its size.  Tier two is a bounded
 cache in each worker, behind which the library's model encodes what neither
 knows.  Counting is one map over the documents: no pre-token is ever shuffled.
 The table comes from a bounded sample of rows (``SAMPLE``); it only saves time,
@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .library_pieces import LibraryEncoder, byte_level, tokenizer_path
-from .piece_table import PieceTable
-from .pretoken import char_classes, split
+from .piece_table import LONG, FrequentTable, PieceTable, hashes
+from .pretoken import Pieces, char_classes, split
 from .registry import id_text, map_arrow, text_chunks
 
 TOKENIZER = "word_bpe_49k.json"
@@ -48,18 +48,28 @@ def split_number(n: int) -> list[int]:
 class WordCounter:
     """Numbers of tokens of whole texts as the library gives them."""
 
-    def __init__(self, path: str, table: dict[str, int] | None = None):
+    def __init__(self, path: str, table: FrequentTable | None = None):
         self.library = LibraryEncoder(path)
         self.tokenizer = self.library.tokenizer
-        self.table = table or {}
+        self.frequent = table or FrequentTable([], [])
         self.cache = PieceTable(self._miss, [np.uint16])
         self.plain = self._plain()
 
     def _miss(self, piece: str) -> tuple[list[int]]:
-        n = self.table.get(piece)
-        if n is None:
-            n = len(self.library.model.tokenize(byte_level(piece)))
-        return (split_number(n),)
+        return (split_number(len(self.library.model.tokenize(byte_level(piece)))),)
+
+    def _numbers(self, p: Pieces) -> np.ndarray:
+        """Tokens of each piece: the broadcast table first, then the worker's cache."""
+        entry = self.frequent.find(hashes(p))
+        known = (entry >= 0) & (p.ends - p.starts <= LONG)
+        out = np.zeros(len(entry), np.int64)
+        out[known] = self.frequent.number[entry[known]]
+        rest = np.flatnonzero(~known)
+        ((found, size),) = self.cache.values(Pieces(p.joined, p.cp, p.starts[rest], p.ends[rest], p.first))
+        total = np.concatenate([[0], np.cumsum(found, dtype=np.int64)])
+        end = np.cumsum(size)
+        out[rest] = total[end] - total[end - size]
+        return out
 
     def _plain(self) -> np.ndarray:
         """Which code points the library normalises and splits as we do, whatever stands beside them."""
@@ -88,8 +98,7 @@ class WordCounter:
             for i in whole:
                 short[i] = ""
             p = split("\x00".join(short).lower().split("\x00"), blanks=False)
-            ((found, size),) = self.cache.values(p)
-            total = np.concatenate([[0], np.cumsum(found, dtype=np.int64)])[np.concatenate([[0], np.cumsum(size)])[p.first]]
+            total = np.concatenate([[0], np.cumsum(self._numbers(p))])[p.first]
             n = (total[1:] - total[:-1]).tolist()
             for i in whole:
                 n[i] = len(self.tokenizer.encode(part[i], add_special_tokens=False).ids)
@@ -100,11 +109,11 @@ class WordCounter:
         return split([t.lower() for t in texts], blanks=False).strings()
 
 
-_COUNTERS: dict[tuple, WordCounter] = {}
+_COUNTERS: dict[str, WordCounter] = {}
 
 
-def frequent_table(docs: DataFrame, tokenizer: str = TOKENIZER, sample: int = SAMPLE, size: int = TABLE) -> tuple[bytes, np.ndarray]:
-    """Frequent pre-tokens, joined by zero bytes, and their numbers of tokens.
+def frequent_table(docs: DataFrame, tokenizer: str = TOKENIZER, sample: int = SAMPLE, size: int = TABLE) -> FrequentTable:
+    """Frequent pre-tokens and their numbers of tokens, as a hash table of a few hundred KB.
 
     Sample rows are counted where they are; only the counts of the ``size`` most
     frequent pre-tokens of each of a few tasks reach the driver."""
@@ -124,7 +133,8 @@ def frequent_table(docs: DataFrame, tokenizer: str = TOKENIZER, sample: int = SA
 
     rows = map_arrow(docs.select("text").limit(sample), run, "piece string, seen long, n long")
     top = rows.groupBy("piece").agg(F.sum("seen").alias("seen"), F.max("n").alias("n")).orderBy(F.desc("seen"), "piece").limit(size).collect()
-    return "\x00".join(r["piece"] for r in top).encode(), np.array([r["n"] for r in top], np.int32)
+    short = [r for r in top if len(r["piece"]) <= LONG]
+    return FrequentTable([r["piece"] for r in short], [r["n"] for r in short])
 
 
 def count_tokens(docs: DataFrame, tokenizer: str = TOKENIZER, limit: int = LIMIT) -> DataFrame:
@@ -133,12 +143,10 @@ def count_tokens(docs: DataFrame, tokenizer: str = TOKENIZER, limit: int = LIMIT
     table = t.sparkSession.sparkContext.broadcast(frequent_table(t, tokenizer))
 
     def run(batches):
-        names, numbers = table.value
-        key = (tokenizer, hash(names))
-        if key not in _COUNTERS:
-            _COUNTERS.clear()
-            _COUNTERS[key] = WordCounter(tokenizer_path(tokenizer), dict(zip(names.decode().split("\x00"), numbers.tolist())))
-        counter = _COUNTERS[key]
+        if tokenizer not in _COUNTERS:
+            _COUNTERS[tokenizer] = WordCounter(tokenizer_path(tokenizer))
+        counter = _COUNTERS[tokenizer]
+        counter.frequent = table.value
         for batch in batches:
             texts = batch.column("text").to_pylist()
             n = counter.counts(texts)
