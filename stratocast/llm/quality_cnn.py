@@ -155,8 +155,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> Network | None:
     drawn = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003.0 < share).limit(4 * SAMPLE)
     # at most 4 * SAMPLE ids are broadcast; of a very long text a stretch from a hashed place is learnt from
     t = id_text(docs).where("doc_id IS NOT NULL")
-    place = F.pmod(F.xxhash64("doc_id", "quality"), F.greatest(F.lit(1), F.length("text") - 8 * WINDOW + 1)).cast("int") + 1
-    got = t.join(F.broadcast(drawn), "doc_id").select("doc_id", "quality", F.substring(F.col("text"), place, F.lit(8 * WINDOW)).alias("text"))
+    place = F.pmod(F.xxhash64("doc_id", "quality"), F.greatest(F.lit(1), F.length("text") - 4 * WINDOW + 1)).cast("int") + 1
+    got = t.join(F.broadcast(drawn), "doc_id").select("doc_id", "quality", F.substring(F.col("text"), place, F.lit(4 * WINDOW)).alias("text"))
     table = got.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(4 * SAMPLE).toArrow()
     texts = [x.encode() for x in table.column("text").to_pylist()]
     y = np.array(table.column("quality").to_pylist(), np.float32)
