@@ -10,7 +10,7 @@ from ..schema import FEATURE_NOT_NULL, KEY, RAIN_FEATURES, TIME
 from ..sources.tables import STANDIN_RAIN_THRESHOLD, clean_table, load, obs_table, raw_grid
 from . import sqlparts as S
 from .catalog import query, r6
-from .clean import clean_series
+from .clean import clean_raw, clean_series
 from .features import build_features
 
 
@@ -105,6 +105,32 @@ def q_prj_cloud(spark, sf_dir):
     )
 
 
+_CONVERTED = f"""converted AS (
+  SELECT CAST(round(latitude * 4) AS BIGINT) * 10000 + CAST(round(longitude * 4) AS BIGINT) AS location_id,
+         valid_time + INTERVAL 330 MINUTE AS valid_time,
+         {_T} AS temperature, {S.bround('sp / 100', 2)} AS surface_pressure,
+         tcc AS total_cloud_cover, lcc AS low_cloud_cover, mcc AS medium_cloud_cover, hcc AS high_cloud_cover,
+         CASE WHEN hcc = 1 THEN NULL WHEN {S.bround('tp * 1000', 4)} < 0 THEN 0.0::DOUBLE
+              ELSE {S.bround('tp * 1000', 4)} END AS precipitation,
+         {S.bround(f"CASE WHEN ({_RH}) < 0 THEN 0.0 WHEN ({_RH}) > 100 THEN 100.0 ELSE ({_RH}) END", 2)} AS humidity,
+         {S.bround('sqrt(u10 * u10 + v10 * v10)', 4)} AS wind_speed
+  FROM raw)"""
+
+
+@query(
+    "prj_clean_raw",
+    S.with_(S.RAW, _CONVERTED, S.interp(S.OBS_MEASURES, "converted", "interp"))
+    + "SELECT location_id, valid_time, "
+    + ", ".join(f"{S.hround(S.clip_expr(c), 6)} AS {c}" for c in S.OBS_MEASURES)
+    + " FROM interp",
+)
+def q_prj_clean_raw(spark, sf_dir):
+    """Raw reanalysis rows without an id, with upper-case padded headers and gaps, to the clean series."""
+    r = raw(spark, sf_dir).drop("event_id").withColumn("tp", F.when(F.col("hcc") != 1, F.col("tp")))
+    out = clean_raw(r.toDF(*[f" {c.upper()} " for c in r.columns]))
+    return out.select(KEY, TIME, *[r6(F.col(c)).alias(c) for c in S.OBS_MEASURES])
+
+
 @query(
     "prj_final_columns",
     CLEAN
