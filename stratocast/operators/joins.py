@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import presentation as P
-from ..functions.timeparts import day_label
-from ..schema import KEY, TIME, UNKNOWN_CODE, WEATHER_CODES
+from ..functions.timeparts import cyclic_features, day_label
+from ..schema import FORECAST_FEATURES, KEY, RAIN_FEATURES, TIME, UNKNOWN_CODE, WEATHER_CODES
+from . import windows
+from .series import join_null_safe
 
 
 def merge_variables(instant: DataFrame, accumulated: DataFrame, on=(TIME, "latitude", "longitude")) -> DataFrame:
@@ -86,18 +88,65 @@ def resolve_places(queries: DataFrame, gazetteer: DataFrame, query_col: str = "q
     )
 
 
+def current_conditions(series: DataFrame, daily: DataFrame, feels_like: str | None = None) -> DataFrame:
+    """The newest row of each location as a display record, rounded field by field.
+
+    ``daily`` gives the extremes of the row's day; ``feels_like`` names the column of
+    the apparent temperature (null where the source has none).  The record holds the
+    values the models take as well: lags and rolling mean of the rows before."""
+    latest = windows.latest_features(series).select(KEY, "temp_lag_1", "temp_lag_24", "temp_rolling_6")
+    newest = series.groupBy(KEY).agg(F.max(TIME).alias("_t"))
+    row = join_null_safe(series, newest, [KEY]).filter(F.col(TIME) == F.col("_t")).drop("_t")
+    day = daily.select(KEY, "day", "temperature_2m_min", "temperature_2m_max")
+    j = join_null_safe(row.withColumn("day", F.to_date(TIME)), day, [KEY, "day"], "left")
+    j = join_null_safe(j, latest, [KEY])
+    b = F.bround
+    apparent = F.col(feels_like) if feels_like else F.lit(None).cast("double")
+    return j.select(
+        KEY,
+        TIME,
+        b("temperature", 2).alias("temperature"),
+        b(apparent, 2).alias("feels_like"),
+        b("temperature_2m_min", 2).alias("temp_min"),
+        b("temperature_2m_max", 2).alias("temp_max"),
+        b("temp_lag_1", 2).alias("temp_lag_1"),
+        b("temp_lag_24", 2).alias("temp_lag_24"),
+        b("temp_rolling_6", 4).alias("temp_rolling_6"),
+        b("humidity", 2).alias("humidity"),
+        b("surface_pressure", 2).alias("surface_pressure"),
+        b("total_cloud_cover", 4).alias("total_cloud_cover"),
+        b("wind_speed", 4).alias("wind_speed"),
+        *[b(c, 4).alias(c) for c in ("low_cloud_cover", "medium_cloud_cover", "high_cloud_cover", "precipitation")],
+    )
+
+
+def model_records(current: DataFrame) -> DataFrame:
+    """The two ordered feature records of the live models from a display record."""
+    hour, month = F.hour(TIME), F.month(TIME)
+    full = current.select("*", month.alias("month"), *cyclic_features(hour, month))
+    return full.select(
+        KEY,
+        TIME,
+        F.struct(*[F.col(c) for c in FORECAST_FEATURES]).alias("forecast_features"),
+        F.struct(*[F.col(c) for c in RAIN_FEATURES]).alias("rain_features"),
+    )
+
+
 def dashboard(
     current: DataFrame,
     hourly: DataFrame,
     daily: DataFrame,
     rain: DataFrame | None = None,
+    forecast: DataFrame | None = None,
+    places: DataFrame | None = None,
     hours: int = 24,
     days: int | None = None,
 ) -> DataFrame:
-    """One record per location: current conditions, hourly strip, daily list,
-    optional rain prediction.
+    """One record per location: current conditions, hourly strip, daily list, and
+    where given the rain prediction (columns of its record) and the place name.
 
-    The strip shows the newest ``hours`` hours of each location; the daily list
+    With ``forecast`` (an array ``pred`` per location) the strip shows the hours it
+    predicts, else the newest ``hours`` hours of each location; the daily list
     every day that ``daily`` holds for it (the days of a payload), or the newest
     ``days``.  Both come from per-location maxima and filters, without a window
     over a whole location.
@@ -119,6 +168,25 @@ def dashboard(
             ).alias("hourly")
         )
     )
+    if forecast is not None:
+        # the hours to come: one entry per forecast step after the newest row
+        steps = forecast.join(newest, KEY).select(
+            KEY,
+            F.posexplode("pred").alias("_i", "_temp"),
+            "_tmax",
+        )
+        at = F.col("_tmax") + F.make_dt_interval(F.lit(0), F.col("_i") + 1)
+        strip = steps.groupBy(KEY).agg(
+            F.array_sort(
+                F.collect_list(
+                    F.struct(
+                        at.alias("time"),
+                        F.concat(F.date_format(at, "HH"), F.lit(":00")).alias("label"),
+                        P.half_even_int(F.col("_temp")).alias("temp"),
+                    )
+                )
+            ).alias("hourly")
+        )
     last_day = daily.groupBy(KEY).agg(F.max("day").alias("_dmax"))
     dl = (
         lookup_codes(daily)
@@ -144,4 +212,6 @@ def dashboard(
     out = current.join(strip, KEY, "left").join(dl, KEY, "left")
     if rain is not None:
         out = out.join(rain, KEY, "left")
+    if places is not None:
+        out = out.join(places.select(KEY, F.col("display_name").alias("city")), KEY, "left")
     return out

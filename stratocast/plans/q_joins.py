@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import presentation
 from ..operators import joins, windows
-from ..schema import TIME, WEATHER_CODES
+from ..schema import DEFAULT_THRESHOLD, KEY, TIME, WEATHER_CODES
 from ..sources.tables import clean_table, daily_weather, load, raw_grid
 from . import sqlparts as S
 from .catalog import query
@@ -88,9 +89,53 @@ def q_jn_gazetteer(spark, sf_dir):
     return joins.resolve_places(_place_queries(spark, sf_dir), _gazetteer(spark, sf_dir))
 
 
-@query("jn_dashboard")
+_P = "((location_id * 37) % 100) / 100.0::DOUBLE"
+
+
+@query(
+    "jn_dashboard",
+    S.with_(S.OBS, S.CLEAN, S.DAILY)
+    + f""", newest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY location_id ORDER BY valid_time DESC) AS rk FROM clean) WHERE rk = 1),
+strip AS (SELECT location_id, string_agg(strftime(valid_time + to_hours(CAST(i AS INTEGER)), '%H') || ':00=' ||
+                 CAST(CAST({S.bround('temperature + i / 2.0::DOUBLE', 0)} AS INTEGER) AS VARCHAR), ',' ORDER BY i) AS hourly
+          FROM newest, range(1, 6) AS s(i) GROUP BY 1),
+days AS (SELECT location_id, count(*) AS n_days,
+                string_agg(CAST(day AS VARCHAR) || '=' || CAST(CAST({S.bround('temperature_2m_min', 0)} AS INTEGER) AS VARCHAR) || '/' ||
+                           CAST(CAST({S.bround('temperature_2m_max', 0)} AS INTEGER) AS VARCHAR), ',' ORDER BY day) AS forecast
+         FROM daily GROUP BY 1)
+SELECT n.location_id, n.valid_time, {S.bround('n.temperature', 2)} AS temperature, strip.hourly, days.n_days, days.forecast,
+       {_P.replace('location_id', 'n.location_id')} >= 0.5 AS rain_tomorrow,
+       round({_P.replace('location_id', 'n.location_id')}, 4) AS probability,
+       nation.n_name || ', ' || region.r_name AS city
+FROM newest n JOIN strip ON strip.location_id = n.location_id LEFT JOIN days ON days.location_id = n.location_id
+LEFT JOIN nation ON n_nationkey = n.location_id % 25 LEFT JOIN region ON r_regionkey = n_regionkey""",
+)
 def q_jn_dashboard(spark, sf_dir):
-    ev = load(spark, sf_dir, "events")
+    """The whole record per location; forecast and rain score are plain functions of the
+    newest row and the location here, so that SQL can restate them."""
     clean = clean_table(spark, sf_dir)
-    current = windows.latest_features(clean)
-    return joins.dashboard(current, clean, daily_weather(ev))
+    daily = daily_weather(load(spark, sf_dir, "events"))
+    current = joins.current_conditions(clean, daily)
+    steps = F.array(*[F.col("temperature") + F.lit(i / 2.0) for i in range(1, 6)])
+    newest = windows.last_n_rows(clean, 1)
+    forecast = newest.select(KEY, steps.alias("pred"))
+    p = ((F.col(KEY) * 37) % 100) / F.lit(100.0)
+    rain = newest.select(KEY, presentation.rain_record(p, DEFAULT_THRESHOLD).alias("rain_prediction"))
+    places = joins.resolve_places(
+        newest.join(_gazetteer(spark, sf_dir).select(F.col("rank").alias("_n"), "name"), F.col(KEY) % 25 == F.col("_n")).select(KEY, F.col("name").alias("query")),
+        _gazetteer(spark, sf_dir),
+    )
+    d = joins.dashboard(current, clean, daily, rain, forecast, places)
+    return d.select(
+        KEY,
+        TIME,
+        "temperature",
+        F.array_join(F.transform("hourly", lambda x: F.concat(x["label"], F.lit("="), x["temp"].cast("string"))), ",").alias("hourly"),
+        F.size("forecast").cast("long").alias("n_days"),
+        F.array_join(
+            F.transform("forecast", lambda x: F.concat(x["day"].cast("string"), F.lit("="), x["temp_min"].cast("string"), F.lit("/"), x["temp_max"].cast("string"))), ","
+        ).alias("forecast"),
+        F.col("rain_prediction.rain_tomorrow").alias("rain_tomorrow"),
+        F.col("rain_prediction.probability").alias("probability"),
+        "city",
+    )

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import presentation as P
 from ..functions.timeparts import day_label, hour_label
+from ..operators import joins
 from ..schema import KEY, TIME
 from ..sources.tables import clean_table, daily_weather, load, scored_labels
 from . import sqlparts as S
@@ -159,36 +160,26 @@ def q_sc_rain_tier(spark, sf_dir):
 @query(
     "prj_current_conditions",
     S.with_(S.OBS, S.CLEAN, S.DAILY)
-    + f""", t AS (SELECT *, row_number() OVER (PARTITION BY location_id ORDER BY valid_time DESC) AS rk FROM clean)
-SELECT t.location_id, t.valid_time,
-       {S.bround('t.temperature', 2)} AS temperature,
-       {S.bround('d.temperature_2m_min', 2)} AS temp_min,
-       {S.bround('d.temperature_2m_max', 2)} AS temp_max,
-       {S.bround('t.humidity', 2)} AS humidity,
-       {S.bround('t.surface_pressure', 2)} AS surface_pressure,
-       {S.bround('t.total_cloud_cover', 4)} AS total_cloud_cover,
-       {S.bround('t.wind_speed', 4)} AS wind_speed,
-       {S.bround('t.precipitation', 4)} AS precipitation
-FROM t LEFT JOIN daily d ON d.location_id = t.location_id AND d.day = CAST(t.valid_time AS DATE)
-WHERE t.rk = 1""",
+    + f""", r AS (SELECT *, row_number() OVER (PARTITION BY location_id ORDER BY valid_time DESC) AS rk,
+            count(*) OVER (PARTITION BY location_id) AS nr FROM clean),
+h AS (SELECT location_id, max(nr) AS nr, max(CASE WHEN rk = 1 THEN temperature END) AS v0,
+             max(CASE WHEN rk = 2 THEN temperature END) AS v1, max(CASE WHEN rk = 25 THEN temperature END) AS v24,
+             avg(CASE WHEN rk BETWEEN 2 AND 7 THEN temperature END) AS m6,
+             avg(CASE WHEN rk >= 2 THEN temperature END) AS mall FROM r GROUP BY 1),
+t AS (SELECT r.*, CASE WHEN h.nr >= 2 THEN v1 ELSE v0 END AS l1, CASE WHEN h.nr >= 25 THEN v24 ELSE v0 END AS l24,
+             CASE WHEN h.nr >= 7 THEN {S.bround('m6', 4)} WHEN h.nr > 1 THEN {S.bround('mall', 4)} ELSE v0 END AS r6
+      FROM r JOIN h ON h.location_id = r.location_id WHERE rk = 1)
+SELECT t.location_id, t.valid_time, {S.bround('t.temperature', 2)} AS temperature,
+       {S.bround('t.temperature - t.wind_speed / 10', 2)} AS feels_like,
+       {S.bround('d.temperature_2m_min', 2)} AS temp_min, {S.bround('d.temperature_2m_max', 2)} AS temp_max,
+       {S.bround('l1', 2)} AS temp_lag_1, {S.bround('l24', 2)} AS temp_lag_24, {S.bround('r6', 4)} AS temp_rolling_6,
+       {S.bround('t.humidity', 2)} AS humidity, {S.bround('t.surface_pressure', 2)} AS surface_pressure,
+       {S.bround('t.total_cloud_cover', 4)} AS total_cloud_cover, {S.bround('t.wind_speed', 4)} AS wind_speed,
+       {S.bround('t.low_cloud_cover', 4)} AS low_cloud_cover, {S.bround('t.medium_cloud_cover', 4)} AS medium_cloud_cover,
+       {S.bround('t.high_cloud_cover', 4)} AS high_cloud_cover, {S.bround('t.precipitation', 4)} AS precipitation
+FROM t LEFT JOIN daily d ON d.location_id = t.location_id AND d.day = CAST(t.valid_time AS DATE)""",
 )
 def q_prj_current(spark, sf_dir):
-    ev = load(spark, sf_dir, "events")
-    c = clean_table(spark, sf_dir)
-    newest = c.groupBy(KEY).agg(F.max(TIME).alias("_t"))
-    cur = c.join(newest, (c[KEY] == newest[KEY]) & (c[TIME] == newest["_t"])).select(c["*"])
-    d = daily_weather(ev)
-    j = cur.join(d, (cur[KEY] == d[KEY]) & (F.to_date(cur[TIME]) == d["day"]), "left")
-    b = F.bround
-    return j.select(
-        cur[KEY],
-        cur[TIME],
-        b(cur["temperature"], 2).alias("temperature"),
-        b(d["temperature_2m_min"], 2).alias("temp_min"),
-        b(d["temperature_2m_max"], 2).alias("temp_max"),
-        b(cur["humidity"], 2).alias("humidity"),
-        b(cur["surface_pressure"], 2).alias("surface_pressure"),
-        b(cur["total_cloud_cover"], 4).alias("total_cloud_cover"),
-        b(cur["wind_speed"], 4).alias("wind_speed"),
-        b(cur["precipitation"], 4).alias("precipitation"),
-    )
+    # the stand-in has no apparent temperature: temperature less a tenth of the wind
+    c = clean_table(spark, sf_dir).withColumn("apparent", F.col("temperature") - F.col("wind_speed") / 10)
+    return joins.current_conditions(c, daily_weather(load(spark, sf_dir, "events")), "apparent")
