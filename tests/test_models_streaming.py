@@ -101,3 +101,31 @@ def test_replay_slices_arrive_as_one_batch_each(spark, sf):
     # every restart resumes from the checkpoint and reads only its own slice
     assert all(len(b) == 1 and b[0] > 0 for b in seen), seen
     assert sum(b[0] for b in seen) == load(spark, sf, "events").count()
+
+
+def test_bundles_predict_alike_after_loading(spark, sf):
+    from stratocast.operators import bundles, windows
+    from stratocast.schema import FORECAST_FEATURES
+
+    f = _feats(spark, sf).filter("location_id < 3").transform(checkpoint)
+    feats = ["temperature", "temp_rolling_6", "wind_speed"]
+    rain = models.fit_rain_classifier(f, feats, max_iter=3)
+    path = shared_path(spark, "rain-bundle")
+    bundles.save_rain(spark, rain, 0.35, path, {"roc_auc": 0.9})
+    back, threshold, metrics = bundles.load_rain(spark, path)
+    key = ["location_id", "valid_time"]
+    rows = lambda m: {(r.location_id, r.valid_time): r.y_prob for r in m.score(f).select(*key, "y_prob").collect()}
+    assert rows(back) == rows(rain) and (threshold, metrics, back.features) == (0.35, {"roc_auc": 0.9}, feats)
+
+    seq = windows.sequences(f, FORECAST_FEATURES, 24, 5).transform(checkpoint)
+    temp = models.fit_temp_forecaster(seq, models.fit_scaler(f), max_iter=3)
+    path = shared_path(spark, "temp-bundle")
+    bundles.save_forecaster(spark, temp, path, {"mae_celsius": 1.5})
+    again, metrics = bundles.load_forecaster(spark, path)
+    some = seq.limit(50).transform(checkpoint)
+    preds = lambda m: {(r.location_id, r.valid_time): tuple(r.pred) for r in m.predict(some).select(*key, "pred").collect()}
+    assert preds(again) == preds(temp)
+    short = again.predict(some).select(*key, "pred").unionByName(some.limit(1).select(*key, F.lit(None).cast("array<double>").alias("pred")))
+    rec = models.forecast_record(short, metrics["mae_celsius"], n_hours=2).collect()
+    assert all(r.n_hours == 2 and r.mae_celsius == 1.5 for r in rec)
+    assert [r.rejected is not None for r in rec].count(True) == 1 and all(len(r.forecast) == 2 for r in rec if r.rejected is None)
