@@ -43,7 +43,7 @@ from .word_bags import bag_keys, counted, shingles, units
 
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
-CHUNK = 2_000_000
+CHUNK = 600_000
 #: Buckets up to this size are compared by pairs of rows, larger ones by blocks of members.
 SMALL, BLOCK = 16, 256
 #: Units of one matrix of a block.

@@ -37,9 +37,9 @@ RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Bytes encoded directly at the leaves of the tree.
 LEAF = 8
 #: Entries of each worker-side cache.
-CACHE = 500_000
+CACHE = 200_000
 #: Characters whose boundaries are found at once.
-CHUNK = 1_000_000
+CHUNK = 500_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:

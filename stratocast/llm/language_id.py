@@ -68,23 +68,28 @@ def feature_rows(marks: np.ndarray) -> np.ndarray:
     return x
 
 
-def fit(marks: np.ndarray, langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> tuple[list[str], np.ndarray]:
-    """Languages and the folded matrix (features x languages)."""
+def fit(packed: np.ndarray, langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> tuple[list[str], np.ndarray]:
+    """Languages and the folded matrix (features x languages), from presence rows as bits."""
+    width = int(_START[-1])
     names = sorted(set(langs))
     if not names:
-        return [], np.zeros((int(_START[-1]), 0), np.float32)
+        return [], np.zeros((width, 0), np.float32)
     y = (np.array(langs)[:, None] == np.array(names)[None, :]).astype(np.float64)
     turn = np.zeros(len(langs), np.int64)  # place of a row among those of its language
     for k in range(len(names)):
         rows = np.flatnonzero(y[:, k])
         turn[rows] = np.arange(len(rows))
     chosen = np.argsort(turn, kind="stable")[:landmarks]
-    x = feature_rows(marks)
-    k_nz = (x @ x[chosen].T).astype(np.float64)
+
+    def features(rows):
+        return feature_rows(np.unpackbits(packed[rows], axis=1, count=width))
+
+    z = features(chosen)
+    k_nz = np.concatenate([features(np.arange(a, min(a + BATCH, len(langs)))) @ z.T for a in range(0, len(langs), BATCH)]).astype(np.float64)
     k_zz = k_nz[chosen]
-    left = k_nz.T @ k_nz + ridge * len(x) * k_zz + 1e-8 * np.eye(len(chosen))
+    left = k_nz.T @ k_nz + ridge * len(langs) * k_zz + 1e-8 * np.eye(len(chosen))
     weights = np.linalg.solve(left, k_nz.T @ y)
-    return names, (x[chosen].T @ weights.astype(np.float32)).astype(np.float32)
+    return names, (z.T @ weights.astype(np.float32)).astype(np.float32)
 
 
 def held_out(doc_id, modulus: int, rest: int):
@@ -115,13 +120,13 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     # a bounded number of rows (twice PER_LANGUAGE each, before the cut below) of a few KB
     got = map_arrow(sample, run, "lang string, bits binary").limit(4 * PER_LANGUAGE * max(1, len(counts))).collect()
     taken: dict[str, int] = {}
-    marks, langs = [], []
+    bits, langs = [], []
     for r in sorted(got, key=lambda r: bytes(mix(np.frombuffer(bytes(r["bits"])[:64], np.uint64)).tobytes())):
         if taken.get(r["lang"], 0) < PER_LANGUAGE:
             taken[r["lang"]] = taken.get(r["lang"], 0) + 1
-            marks.append(np.unpackbits(np.frombuffer(bytes(r["bits"]), np.uint8), count=int(_START[-1])))
+            bits.append(bytes(r["bits"]))
             langs.append(r["lang"])
-    return fit(np.array(marks, np.uint8).reshape(len(langs), int(_START[-1])), langs)
+    return fit(np.frombuffer(b"".join(bits), np.uint8).reshape(len(langs), int(_START[-1]) // 8), langs)
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:

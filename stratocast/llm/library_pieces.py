@@ -19,7 +19,7 @@ from .pretoken import split
 from .registry import text_chunks
 
 #: Characters whose boundaries are found at once.
-CHUNK = 1_000_000
+CHUNK = 500_000
 
 
 @cache

@@ -106,7 +106,7 @@ def probe(slot: np.ndarray, mask: np.uint64, key: np.ndarray, h1: np.ndarray, h2
 
 
 class PieceTable:
-    def __init__(self, make, dtypes, entries: int = 1_000_000):
+    def __init__(self, make, dtypes, entries: int = 500_000):
         """``make(piece)`` gives one array-like per dtype."""
         self.make, self.dtypes, self.limit = make, [np.dtype(d) for d in dtypes], entries
         self.mask = np.uint64((1 << (2 * entries - 1).bit_length()) - 1)

@@ -35,7 +35,7 @@ TOKENIZER = "word_bpe_49k.json"
 LIMIT = 2048
 #: Rows whose pre-tokens are counted for the table, and entries of the table.
 SAMPLE, TABLE = 2_000, 30_000
-CHUNK = 1_000_000
+CHUNK = 500_000
 #: Code points below this may take the short way, if the library agrees.
 KNOWN = 0x2070
 

@@ -20,7 +20,6 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 def shingles(texts: list[str], words: int = WORDS) -> np.ndarray:
     """(text number << 48) + shingle of every shingle, sorted; repetitions included."""
     joined = "\x00".join(texts)
-
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     begin = np.cumsum(lengths + 1) - lengths - 1
     cp = np.frombuffer(joined.encode("utf-32-le"), np.uint32)

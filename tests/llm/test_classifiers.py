@@ -4,7 +4,6 @@ import zlib
 from collections import Counter
 
 import numpy as np
-import pytest
 
 from stratocast.llm import html_blocks, language_id, page_diff, quality_cnn
 from stratocast.sources.tables import load
@@ -43,7 +42,7 @@ def test_folded_matrix_is_kernel_ridge_regression():
     marks = np.zeros((5, int(language_id._START[-1])), np.uint8)
     for i, t in enumerate(texts):
         language_id.presence(t, marks[i])
-    names, folded = language_id.fit(marks[:4], ["a", "a", "x", "x"], landmarks=4, ridge=1e-3)
+    names, folded = language_id.fit(np.packbits(marks[:4], axis=1), ["a", "a", "x", "x"], landmarks=4, ridge=1e-3)
     x = language_id.feature_rows(marks)
     k = (x @ x.T).astype(float)
     y = np.array([[1, 0], [1, 0], [0, 1], [0, 1.0]])
