@@ -47,8 +47,9 @@ def test_boosting_stops_by_the_validation_rows(spark, sf):
     noise = valid.withColumn("rain_tomorrow", (F.xxhash64("valid_time") % 2 == 0).cast("int"))
     m = models.fit_rain_classifier(train, ["temperature", "temp_rolling_6"], valid=noise, max_iter=30)
     assert m.best_iteration < 29  # rows that can't be learnt end it early
-    top = [r.importance for r in models.importance(m).collect()]
-    assert top == sorted(top, reverse=True)
+    rows = models.importance(m).collect()
+    assert [r.importance for r in rows] == sorted((r.importance for r in rows), reverse=True)
+    assert all((r.splits > 0) == (r.importance > 0) for r in rows) and sum(r.splits for r in rows) > 0
 
 
 def test_metadata_sink_round_trip(spark):
