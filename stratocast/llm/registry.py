@@ -69,6 +69,13 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
 
 
+def bounded_sample(df: DataFrame, rows: int) -> DataFrame:
+    """At most ``rows`` rows, drawn over the whole table by a fixed seed.  (A bare limit
+    would send that many rows of every partition to one task.)"""
+    n = df.count()
+    return df if n <= rows else df.sample(fraction=min(1.0, 1.2 * rows / n), seed=17).limit(rows)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     ship(df.sparkSession)
     bound_batches(df.sparkSession)

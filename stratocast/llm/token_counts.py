@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .library_pieces import LibraryEncoder, byte_level, tokenizer_path
 from .piece_table import LONG, FrequentTable, PieceTable, hashes
 from .pretoken import Pieces, char_classes, split
-from .registry import id_text, map_arrow, text_chunks
+from .registry import bounded_sample, id_text, map_arrow, text_chunks
 
 TOKENIZER = "word_bpe_49k.json"
 LIMIT = 2048
@@ -131,7 +131,7 @@ def frequent_table(docs: DataFrame, tokenizer: str = TOKENIZER, sample: int = SA
             ["piece", "seen", "n"],
         )
 
-    rows = map_arrow(docs.select("text").limit(sample), run, "piece string, seen long, n long")
+    rows = map_arrow(bounded_sample(docs.select("text"), sample), run, "piece string, seen long, n long")
     top = rows.groupBy("piece").agg(F.sum("seen").alias("seen"), F.max("n").alias("n")).orderBy(F.desc("seen"), "piece").limit(size).collect()
     short = [r for r in top if len(r["piece"]) <= LONG]
     return FrequentTable([r["piece"] for r in short], [r["n"] for r in short])

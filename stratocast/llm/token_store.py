@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from ..session import shared_path
 from .library_pieces import encoder
-from .registry import id_text, map_arrow
+from .registry import bounded_sample, id_text, map_arrow
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
@@ -60,7 +60,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str = TOKENIZER) -> bytes:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([x[:HEAD].tobytes() for x in e.encode(batch.column("text").to_pylist())], pa.binary())], ["ids"])
 
-    rows = map_arrow(docs.select("text").limit(SAMPLE), run, "ids binary").collect()
+    rows = map_arrow(bounded_sample(docs.select("text"), SAMPLE), run, "ids binary").collect()
     samples = [bytes(r["ids"]) for r in rows if r["ids"]]
     try:
         return zstandard.train_dictionary(min(DICT_BYTES, sum(map(len, samples)) // 8), samples, level=LEVEL).as_bytes()
