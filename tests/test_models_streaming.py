@@ -130,3 +130,41 @@ def test_bundles_predict_alike_after_loading(spark, sf):
     rec = models.forecast_record(short, metrics["mae_celsius"], n_hours=2).collect()
     assert all(r.n_hours == 2 and r.mae_celsius == 1.5 for r in rec)
     assert [r.rejected is not None for r in rec].count(True) == 1 and all(len(r.forecast) == 2 for r in rec if r.rejected is None)
+
+
+def test_boosting_outlasts_weak_trees(spark, sf):
+    losses = [1.0, 0.9, 0.95, 0.93, 0.8] + [0.85] * 25 + [0.1]
+    assert models.best_iteration(losses) == 4  # past two weak trees, not past 20
+    assert models.best_iteration(losses, patience=2) == 1
+
+    f = _feats(spark, sf).withColumn("rain_tomorrow", (F.col("temp_rolling_6") > 10.0).cast("int"))
+    feats = ["temperature", "temp_rolling_6"]
+    s = splits.time_split(f.select("location_id", "valid_time", *feats, "rain_tomorrow"), (0.8,), ("train", "valid"))
+    train, valid = (s.filter(F.col("split") == x).drop("split").transform(checkpoint) for x in ("train", "valid"))
+    whole = models.fit_rain_classifier(train, feats, max_iter=12)
+    va = whole.model.stages[0].transform(valid.withColumn("rain_tomorrow", F.col("rain_tomorrow").cast("double")).withColumn("weight", F.lit(1.0)))
+    curve = whole.model.stages[1].evaluateEachIteration(va)
+    m = models.fit_rain_classifier(train, feats, valid=valid, max_iter=12, patience=12)
+    assert m.best_iteration == curve.index(min(curve)) and m.model.stages[1].getNumTrees == m.best_iteration + 1
+    # the kept prefix is the model that a fit of as many trees gives
+    again = models.fit_rain_classifier(train, feats, max_iter=m.best_iteration + 1)
+    by_row = lambda m: {(r.location_id, r.valid_time): r.y_prob for r in m.score(valid).select("location_id", "valid_time", "y_prob").collect()}
+    assert by_row(m) == by_row(again)
+    cut = models.first_trees(whole.model.stages[1], 3)
+    assert cut.getNumTrees == 3 and list(cut.treeWeights) == list(whole.model.stages[1].treeWeights)[:3]
+
+
+def test_cross_validation_fits_all_training_rows(spark, sf, monkeypatch):
+    f = _feats(spark, sf).filter("location_id < 3")
+    feats = ["temperature", "temp_rolling_6"]
+    sizes, real = [], models.fit_rain_classifier
+
+    def fit(train, *args, **kw):
+        assert kw.get("valid") is None
+        sizes.append(train.count())
+        return real(train, *args, **kw)
+
+    monkeypatch.setattr(models, "fit_rain_classifier", fit)
+    assert models.cross_validate(f, feats, n_splits=2, max_iter=2).count() == 3
+    member = splits.fold_membership(f, 2).filter("role = 'train'")
+    assert sizes == [r["count"] for r in member.groupBy("fold").count().orderBy("fold").collect()]
