@@ -11,8 +11,11 @@ kept:
 4. near dedup: of each class of near-duplicates the row with the smallest doc_id stays;
 5. packing of what is left into sequences: one row per piece.
 
-Rows are told apart by doc_id; rows without one can't be told apart and go where
-the stage would have to choose between them.
+Rows are told apart by a key that each stage writes with its input, not by doc_id:
+a repeated row is a copy like any other, texts under one doc_id are judged each by
+itself, and rows without a doc_id stay like others.  Of rows that a dedup stage
+chooses between, one without a doc_id stays only if none has one; equal doc_ids are
+told apart by the key.
 """
 
 from __future__ import annotations
@@ -29,28 +32,59 @@ from stratocast.sources.tables import load
 LANGUAGE_SCORE = 0.35
 
 
-def _keep(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id is among the chosen, with the columns of docs."""
-    ids = chosen.select(F.col("doc_id").alias("_chosen")).distinct()
-    return docs.join(ids, docs["doc_id"] == ids["_chosen"], "left_semi")
+#: Column of the row key.
+ROW = "_row"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with a key of each row, written: the key is drawn once, however often the rows are read.
+
+    xxhash64 of a single long is one-to-one, so keys are unique; it spreads them over all bits."""
+    return materialize(docs.withColumn(ROW, F.xxhash64(F.monotonically_increasing_id())), "keyed-rows")
+
+
+def _by_row(keyed: DataFrame) -> DataFrame:
+    """The key in the place of the id, and the text: what an operator then says, it says of a row."""
+    return keyed.select(F.col(ROW).alias("doc_id"), "text")
+
+
+def _keep(keyed: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Rows whose key is among the chosen (doc_id of an operator that saw ``_by_row``), without the key."""
+    rows = chosen.select(F.col("doc_id").alias("_chosen"))
+    return keyed.join(rows, keyed[ROW] == rows["_chosen"], "left_semi").drop(ROW)
+
+
+def _first_of_each(keyed: DataFrame, grouped: DataFrame, group: str, order: list) -> DataFrame:
+    """doc_id (the key) of the first row, in this order, of every group of rows."""
+    ids = keyed.select(ROW, F.col("doc_id").alias("_id"))
+    named = grouped.select(F.col("doc_id").alias(ROW), F.col(group).alias("_group")).join(ids, ROW)
+    return named.groupBy("_group").agg(F.min_by(ROW, F.struct(*order, F.col(ROW))).alias("doc_id"))
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = language_id.identify(docs)
-    return _keep(docs, found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LANGUAGE_SCORE)))
+    keyed = _keyed(docs)
+    found = language_id.predict(_by_row(keyed), language_id.learn(keyed))
+    return _keep(keyed, found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LANGUAGE_SCORE)))
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = quality_cnn.score_quality(docs, load(spark, sf_dir, "labels"))
-    return _keep(docs, found.where("predicted = 1"))
+    keyed = _keyed(docs)
+    found = quality_cnn.predict(_by_row(keyed), quality_cnn.learn(keyed, load(spark, sf_dir, "labels")))
+    return _keep(keyed, found.where("predicted = 1"))
 
 
 def drop_exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _keep(docs, exact_dedup.exact_duplicates(docs).where("kept"))
+    keyed = _keyed(docs)
+    found = exact_dedup.exact_duplicates(_by_row(keyed))
+    largest = [F.col("_id").isNull(), -F.col("_id").cast("decimal(20,0)")]
+    return _keep(keyed, _first_of_each(keyed, found, "keep_id", largest))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _keep(docs, bag_minhash.near_duplicates(docs).where("kept"))
+    keyed = _keyed(docs)
+    found = bag_minhash.near_duplicates(_by_row(keyed))
+    smallest = [F.col("_id").isNull(), F.col("_id")]
+    return _keep(keyed, _first_of_each(keyed, found, "class_id", smallest))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -67,6 +67,39 @@ def test_empty_and_odd_documents(spark, make_docs, odd):
                 assert not Counter(r["doc_id"] for r in out.collect()) - ids
 
 
+def _words(k, n=60):
+    return " ".join(f"w{k}x{i}" for i in range(n))
+
+
+def _left(stage, spark, docs):
+    return Counter((r["doc_id"], r["text"]) for r in stage(spark, docs, SF).collect())
+
+
+def test_exact_dedup_tells_rows_apart(spark, make_docs):
+    rows = [(7, "same")] * 3 + [(None, "same")] * 2 + [(5, "a"), (5, "b"), (9, "b"), (None, "alone"), (None, "two"), (None, "two"), (-(1 << 63), "low"), (3, "low")]
+    got = _left(corpus_pipeline.drop_exact_duplicates, spark, make_docs(rows).repartition(5))
+    assert got == Counter([(7, "same"), (5, "a"), (9, "b"), (None, "alone"), (None, "two"), (3, "low")])
+
+
+def test_near_dedup_tells_rows_apart(spark, make_docs):
+    a, b, c, d = (_words(k) for k in range(4))
+    rows = [(7, a)] * 3 + [(8, a + " end"), (None, a), (5, b), (5, c), (2, c + " end"), (None, d), (None, d)]
+    got = _left(corpus_pipeline.drop_near_duplicates, spark, make_docs(rows).repartition(5))
+    assert got == Counter([(7, a), (5, b), (2, c + " end"), (None, d)])
+
+
+def test_filters_judge_each_row(spark, make_docs, monkeypatch):
+    rows = [(i, ("der die das und " if i % 2 else "the of and to ") * 5 + str(i)) for i in range(60)]
+    langs = {i: "de" if i % 2 else "en" for i, _ in rows}
+    extra = [(1, "1 2 3"), (None, "the of and to " * 5), (None, "4 5"), (2, rows[2][1])]
+    assert _left(corpus_pipeline.identify_language, spark, make_docs(rows + extra, langs)) == Counter(rows + [extra[1], extra[3]])
+
+    monkeypatch.setattr(corpus_pipeline.quality_cnn, "learn", lambda docs, labels: None)
+    monkeypatch.setattr(corpus_pipeline.quality_cnn, "predict", lambda docs, net: docs.selectExpr("doc_id", "cast(text like 'good%' as int) AS predicted"))
+    rows = [(1, "good"), (1, "bad"), (None, "good too"), (None, "bad too"), (2, "good"), (2, "good")]
+    assert _left(corpus_pipeline.keep_quality, spark, make_docs(rows)) == Counter(r for r in rows if r[1].startswith("good"))
+
+
 def test_entry_without_this_subpackage(tmp_path):
     root = os.path.dirname(os.path.abspath(corpus_pipeline.__file__))
     shutil.copytree(os.path.join(root, "stratocast"), tmp_path / "stratocast", ignore=shutil.ignore_patterns("llm", "__pycache__"))
