@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from html.parser import HTMLParser
 
 #: How much the markup says: inside the article, inside a part that is none of it, neither.
 CONTENT, PLAIN, CHROME = 1, 0, -1
+#: While a page is read: a part that looks like none of the article but may be the wrapper of it all, and an article in such a part.
+_WRAPPER, _WRAPPED = -2, 2
 
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -24,12 +27,34 @@ CHROME_WORDS = frozenset(
     "pagination paywall popup promo promoted promotion reactions recommended related replies reply respond search share sharing "
     "sidebar signup social sponsor sponsored subscribe subscription toolbar widget widgets".split()
 )
+#: Elements whose names say more than the words of their attributes (an article's class has its topics, a heading's id its text).
+WORDLESS_TAGS = frozenset("html body main article h1 h2 h3 h4 h5 h6 p".split())
+#: First and last parts of class names that tell of the layout (no-sidebar, has-sidebar, ad-free).
+_LAYOUT_FIRST, _LAYOUT_LAST = frozenset("no not non without with has hide".split()), frozenset("free less none off hidden disabled".split())
 _WORD = re.compile(r"[a-z]+")
+_PART = re.compile(r"[-_]+")
 _SPACE = re.compile(r"[\s\x00]+")
 #: What an open element of this name is closed by, when its end tag is left out.
 _ENDS = {"p": BLOCK_TAGS - {"body", "html"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 
 
+@lru_cache(4096)
+def _names(value: str) -> frozenset[str]:
+    """What class names say: each as a whole, its first and its last part, unless it tells of the layout."""
+    out = set()
+    for name in value.lower().split():
+        parts = _PART.split(name.strip("-_"))
+        if parts[0] not in _LAYOUT_FIRST and parts[-1] not in _LAYOUT_LAST:
+            out |= {name, parts[0], parts[-1]}
+    return frozenset(out)
+
+
+@lru_cache(4096)
+def _marked(classes: str, ident: str, role: str) -> bool:
+    """Whether the attributes mark a part as no part of the article; an id only if it has no other word (it may be a slug)."""
+    return not CHROME_WORDS.isdisjoint(_names(classes)) or not CHROME_WORDS.isdisjoint(role.lower().split()) or set(_PART.split(ident.strip().lower())) <= CHROME_WORDS
+
+
 class _Reader(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -50,16 +75,23 @@ class _Reader(HTMLParser):
         now = self._state()[0]
         if now == CHROME:
             return CHROME
+        inside = now in (CONTENT, _WRAPPED)
         values = dict(attrs)
-        words = {w for k in ("class", "id", "role") for w in _WORD.findall((values.get(k) or "").lower())}
-        if tag in CHROME_TAGS or "hidden" in values or values.get("aria-hidden") == "true":
-            return CHROME
-        if words & CHROME_WORDS and tag not in ("html", "body", "main"):
+        if "hidden" in values or values.get("aria-hidden") == "true":
             return CHROME
-        if tag == "header" or words & {"header"} and tag == "div":
-            return now if now == CONTENT else CHROME  # an article's own header holds its title
-        if tag in ("article", "main") or words & {"main", "articlebody"} and tag in ("div", "section"):
+        if tag in CHROME_TAGS:
+            return _WRAPPER if tag == "form" and not inside else CHROME  # a form can hold a whole page
+        classes, ident, role = (values.get(k) or "" for k in ("class", "id", "role"))
+        if tag not in WORDLESS_TAGS and _marked(classes, ident, role):
+            return CHROME if inside else _WRAPPER
+        if tag == "header":
+            return now if inside else CHROME  # an article's own header holds its title
+        if tag == "div" and ("header" in _names(f"{classes} {role}") or ident.lower() in ("header", "page-header", "site-header")):
+            return now if inside else _WRAPPER
+        if tag == "main" and now != _WRAPPED:
             return CONTENT
+        if not inside and (tag == "article" or tag in ("div", "section") and not {"main", "articlebody"}.isdisjoint(_WORD.findall(f"{classes} {ident} {role}".lower()))):
+            return _WRAPPED if now == _WRAPPER else CONTENT
         return now
 
     def handle_starttag(self, tag, attrs):
@@ -106,9 +138,15 @@ class _Reader(HTMLParser):
 
 
 def blocks(html: str) -> list[tuple[str, int]]:
-    """(text, CONTENT / PLAIN / CHROME) of every block that shows text, in page order."""
+    """(text, CONTENT / PLAIN / CHROME) of every block that shows text, in page order.
+
+    An article in a part marked as none (a wrapper named after its sidebar) is the
+    page's article if there is no other and no longer text outside such parts."""
     r = _Reader()
     r.feed(html)
     r.close()
     r._flush()
-    return r.blocks
+    size = {k: sum(len(t) for t, s in r.blocks if s == k) for k in (CONTENT, PLAIN, _WRAPPED)}
+    wrapped = CONTENT if not size[CONTENT] and size[_WRAPPED] > size[PLAIN] else CHROME
+    final = {_WRAPPED: wrapped, _WRAPPER: CHROME}
+    return [(t, final.get(s, s)) for t, s in r.blocks]

@@ -69,6 +69,23 @@ def test_op9_article_by_markup():
     assert [t for t, s in html_blocks.blocks(ARTICLE) if s == html_blocks.CONTENT] == ["Head & line", "First", 'Second "x" y z', "one", "two"]
 
 
+def content(html):
+    return [t for t, s in html_blocks.blocks(html) if s == html_blocks.CONTENT]
+
+
+def test_op9_names_of_wrappers_and_slugs():
+    for wrapper in ("<div class='content-sidebar-wrap'>", "<div id='page' class='no-sidebar'>", "<div class='right-sidebar'>", "<form id='aspnet'>", "<div class='header-fixed'>"):
+        for inner in ("main", "article"):
+            assert content(f"<body>{wrapper}<nav>Menu</nav><{inner}><p>Story</p></{inner}></div></form></body>") == ["Story"], (wrapper, inner)
+    for article in ("<article class='post tag-search'>", "<article id='social-widgets'>"):
+        page = f"{article}<h2 id='related-work'>Related work</h2><section id='search-results-discussion'>Found</section><p class='ad-free'>Free</p><div class='cookie-notice'>Cookies</div><div id='comments'><article class='comment'>Nice!</article></div></article>"
+        assert content(page) == ["Related work", "Found", "Free"]
+    assert content("<article>Story</article><div class='sidebar'><article>Teaser</article></div>") == ["Story"]
+    teaser = dict(html_blocks.blocks("<div>A story that is told without any article element</div><div class='sidebar'><article>Teaser</article></div>"))
+    assert teaser["Teaser"] == html_blocks.CHROME and html_blocks.PLAIN in teaser.values()
+    assert content("<div hidden><main>Not shown</main></div><div class='main'><aside><article>Aside</article></aside>Text</div>") == ["Text"]
+
+
 def bare(lines):
     return "<html><body>" + "".join(f"<div>{x}</div>" for x in lines) + "</body></html>"
 
