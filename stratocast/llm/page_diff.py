@@ -21,6 +21,12 @@ places of its shared lines, its text compressed on the way: parsing twice costs
 less than keeping or moving the text twice.
 
 Pages of one host with the same html are one page (copies would delete each other).
+Near copies would too: neighbours are near copies if they share ``NEAR_SMALL`` of the
+characters of the smaller page's open lines (those that markup says nothing about) and
+``NEAR_LARGE`` of the larger one's.  They are joined to groups, a group is one page in
+the order of paths, and this goes on until no nearest neighbours are near copies; a
+group's pages are compared with the neighbour of the group.  A group without any other
+page on its host is compared with nothing, like a page that is alone there.
 
 Defined cases: null html counts as empty and gives an empty text; pages without a
 URL or host are compared with nothing; repeated rows are each returned; an empty
@@ -37,10 +43,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .html_blocks import CHROME, CONTENT, blocks
+from .components import smallest_ids
+from .html_blocks import CHROME, CONTENT, PLAIN, blocks
 from .registry import map_arrow
 
 JOIN = "\n\n"
+#: Shares of the characters of open lines by which neighbours are near copies.
+NEAR_SMALL, NEAR_LARGE = 0.9, 0.5
 
 
 def common_lines(a: list[int], b: list[int]) -> set[int]:
@@ -90,15 +99,22 @@ def _pages(pages: DataFrame) -> DataFrame:
 
 
 def line_hashes(pages: DataFrame) -> DataFrame:
-    """page, host, path, hashes of its lines."""
+    """page, host, path, hashes of its lines, characters of each line if open (else 0; no list for a page with an article)."""
 
     def run(batches):
         for batch in batches:
-            got = [[xxhash.xxh64_intdigest(t) - (1 << 63) for t, _ in blocks(h)] for h in batch.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page", "host", "path")), pa.array(got, pa.list_(pa.int64()))], ["page", "host", "path", "hashes"])
+            hashes, sizes = [], []
+            for h in batch.column("html").to_pylist():
+                found = blocks(h)
+                hashes.append([xxhash.xxh64_intdigest(t) - (1 << 63) for t, _ in found])
+                sizes.append([] if any(s == CONTENT for _, s in found) else [len(t) if s == PLAIN else 0 for t, s in found])
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("page", "host", "path")), pa.array(hashes, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32()))],
+                ["page", "host", "path", "hashes", "sizes"],
+            )
 
     t = pages.where("host IS NOT NULL").select("page", "host", "path", "html")
-    return map_arrow(t, run, "page long, host string, path string, hashes array<long>")
+    return map_arrow(t, run, "page long, host string, path string, hashes array<long>, sizes array<int>")
 
 
 def packed_lines(pages: DataFrame) -> DataFrame:
@@ -155,22 +171,60 @@ def nearest(keys: DataFrame) -> DataFrame:
     return both.select("row", partner.alias("partner")).where("partner IS NOT NULL")
 
 
-def shared_lines(hashes: DataFrame) -> DataFrame:
-    """page, places of the lines it has in common with the page of the nearest URL (pages with any)."""
-    one = hashes.groupBy("page", "host").agg(F.min("path").alias("path"))
-    pairs = nearest(one.select(F.col("page").alias("row"), "host", "path"))
-    lines = hashes.groupBy("page").agg(F.first("hashes").alias("hashes"))
-    mine = lines.select(F.col("page").alias("row"), F.col("hashes").alias("mine"))
-    theirs = lines.select(F.col("page").alias("partner"), F.col("hashes").alias("theirs"))
+def near_copies(mine: list[int], my_sizes: list[int], theirs: list[int], their_sizes: list[int]) -> bool:
+    """Whether two pages without an article share nearly all characters of their open lines."""
+    a, b = sum(my_sizes), sum(their_sizes)
+    if not a or not b:
+        return False
+    here = sum(my_sizes[i] for i in common_lines(mine, theirs))
+    there = sum(their_sizes[i] for i in common_lines(theirs, mine))
+    small, large = (here / a, there / b) if a <= b else (there / b, here / a)
+    return small >= NEAR_SMALL and large >= NEAR_LARGE
+
+
+def compared(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """(row, partner) -> (page, partner, alike, shared): places of common lines; alike: near copies."""
+    mine = lines.select(F.col("page").alias("row"), F.col("hashes").alias("mine"), F.col("sizes").alias("my_sizes"))
+    theirs = lines.select(F.col("page").alias("partner"), F.col("hashes").alias("theirs"), F.col("sizes").alias("their_sizes"))
 
     def run(batches):
         for batch in batches:
-            found = [sorted(common_lines(a, b)) for a, b in zip(batch.column("mine").to_pylist(), batch.column("theirs").to_pylist())]
-            keep = [i for i, x in enumerate(found) if x]
-            yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(keep, pa.int64())), pa.array([found[i] for i in keep], pa.list_(pa.int32()))], ["page", "shared"])
+            lists = [batch.column(c).to_pylist() for c in ("mine", "my_sizes", "theirs", "their_sizes")]
+            alike = [near_copies(*x) for x in zip(*lists)]
+            found = [sorted(common_lines(a, b)) for a, _, b, _ in zip(*lists)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("row"), batch.column("partner"), pa.array(alike, pa.bool_()), pa.array(found, pa.list_(pa.int32()))], ["page", "partner", "alike", "shared"]
+            )
+
+    both = pairs.join(theirs, "partner").join(mine, "row").select("row", "partner", "mine", "my_sizes", "theirs", "their_sizes")
+    return map_arrow(both, run, "page long, partner long, alike boolean, shared array<int>")
 
-    both = pairs.join(mine, "row").join(theirs, "partner").select("row", "mine", "theirs")
-    return map_arrow(both, run, "page long, shared array<int>")
+
+def shared_lines(hashes: DataFrame) -> DataFrame:
+    """page, places of the lines it has in common with the page of the nearest URL that is no near copy (pages with any)."""
+    keys = hashes.groupBy("page", "host").agg(F.min("path").alias("path")).select(F.col("page").alias("row"), "host", "path")
+    lines = hashes.groupBy("page").agg(F.first(F.struct("hashes", "sizes")).alias("x")).select("page", "x.hashes", "x.sizes")
+    found = materialize(compared(nearest(keys), lines), "compared")
+    copies = found.where("alike")
+    if copies.isEmpty():
+        return found.where(F.size("shared") > 0).select("page", "shared")
+
+    # groups of near copies, by their links so far; every round compares one page of each group
+    links = copies.select(F.col("page").alias("u"), F.col("partner").alias("v"))
+    while True:
+        links = materialize(links, "near-copies")
+        groups = materialize(smallest_ids(links), "groups")
+        others = groups.where("id <> component_id").select(F.col("id").alias("row"))
+        pairs = nearest(keys.join(others, "row", "left_anti"))
+        found = materialize(compared(pairs, lines), "compared")
+        copies = found.where("alike")
+        if copies.isEmpty():
+            break
+        links = links.unionByName(copies.select(F.col("page").alias("u"), F.col("partner").alias("v")))
+    rest = groups.where("id <> component_id").join(found.select(F.col("page").alias("component_id"), "partner"), "component_id")
+    # a page that is a near copy of its group's neighbour, though no page that stands for the group is, keeps its lines
+    late = compared(rest.select(F.col("id").alias("row"), "partner"), lines).where("NOT alike")
+    return found.unionByName(late).where(F.size("shared") > 0).select("page", "shared")
 
 
 def extract(pages: DataFrame) -> DataFrame:

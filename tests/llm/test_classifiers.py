@@ -104,6 +104,23 @@ def test_op9_template_by_differencing(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in out)
 
 
+def test_op9_near_copies_keep_their_story(spark):
+    def story(i, extra):
+        return ["Home", "About us", extra, *(f"Story {i} goes on with sentence {k} of many" for k in range(12)), "Imprint"]
+
+    pages = [(i, f"http://h.example/news/{i:02}", bare(story(i, f"Date {i}"))) for i in range(12)]
+    pages += [(100 + k, f"http://h.example/news/05-{k}", bare(story(5, f"Advert {k}"))) for k in range(7)]  # near copies side by side
+    pages += [(200, "http://h.example/news/07-print", bare(story(7, "Printed")[2:-1]))]  # without the template
+    pages += [(300 + k, f"http://twins.example/{k}", bare(story(40, f"Date {k}"))) for k in range(3)]  # nothing else on the host
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(5)
+    got = {r["page_id"]: r["text"].split("\n\n") for r in page_diff.extract(df).collect()}
+    assert len(got) == len(pages)
+    assert all(got[i] == story(i, f"Date {i}")[2:-1] for i in range(12))
+    assert all(got[100 + k] == story(5, f"Advert {k}")[2:-1] for k in range(7))
+    assert got[200] == story(7, "Printed")[2:-1]
+    assert all(got[300 + k] == story(40, f"Date {k}") for k in range(3))
+
+
 def test_op9_nearest_neighbour(spark):
     paths = ["/a/1", "/a/2", "/a/b/1", "/a/b/2", "/z", "/a/b/2"]
     keys = spark.createDataFrame([(i, "h", p) for i, p in enumerate(paths)] + [(10, "g", "/a/1")], "row long, host string, path string")
