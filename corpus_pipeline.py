@@ -11,8 +11,8 @@ kept:
 4. near dedup: of each class of near-duplicates the row with the smallest doc_id stays;
 5. packing of what is left into sequences: one row per piece.
 
-Rows are told apart by a key that each stage writes with its input, not by doc_id:
-a repeated row is a copy like any other, texts under one doc_id are judged each by
+Rows are told apart by their place in the stage's written input, not by doc_id: a
+repeated row is a copy like any other, texts under one doc_id are judged each by
 itself, and rows without a doc_id stay like others.  Of rows that a dedup stage
 chooses between, one without a doc_id stays only if none has one; equal doc_ids are
 told apart by the key.
@@ -37,10 +37,18 @@ ROW = "_row"
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with a key of each row, written: the key is drawn once, however often the rows are read.
-
-    xxhash64 of a single long is one-to-one, so keys are unique; it spreads them over all bits."""
-    return materialize(docs.withColumn(ROW, F.xxhash64(F.monotonically_increasing_id())), "keyed-rows")
+    """docs with a key of each row: its place (file and row) in the Parquet table that docs is.
+
+    The place is the same however often and in whatever splits the rows are read; anything
+    but a plain table is written first.  xxhash64 of a single long is one-to-one, so keys
+    are unique; it spreads them over all bits."""
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        docs = materialize(docs, "rows")
+    columns = docs.columns
+    placed = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_place"))
+    names = sorted(r["_file"] for r in placed.select("_file").distinct().collect())  # one row per file
+    files = docs.sparkSession.createDataFrame(list(enumerate(names)), "_number long, _file string")
+    return placed.join(F.broadcast(files), "_file").select(*columns, F.xxhash64(F.shiftleft("_number", 40) + F.col("_place")).alias(ROW))
 
 
 def _by_row(keyed: DataFrame) -> DataFrame:
