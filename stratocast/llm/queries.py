@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.tables import load
 from .registry import query
@@ -97,3 +101,53 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_cnn import score_quality
 
     return score_quality(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
+SQL_REPEATED = r"""
+WITH texts AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+each_word AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS s FROM texts),
+windows AS (SELECT doc_id, s, k FROM (SELECT doc_id, s, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY s ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS k,
+            count(*) OVER (PARTITION BY doc_id ORDER BY s ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS n FROM each_word) WHERE n = 20),
+firsts AS (SELECT k, min((doc_id, s)) AS f FROM windows GROUP BY k),
+judged AS (SELECT doc_id, s, (doc_id, s) <> f AS again FROM windows JOIN firsts USING (k)),
+covered AS (SELECT doc_id, s, word, coalesce(bool_or(again) OVER (PARTITION BY doc_id ORDER BY s ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), false) AS gone
+            FROM each_word LEFT JOIN judged USING (doc_id, s))
+SELECT t.doc_id, CAST(len(t.words) AS BIGINT) AS n_words, count(*) FILTER (WHERE gone) AS n_removed,
+       sha256(coalesce(string_agg(word, ' ' ORDER BY s) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM texts t LEFT JOIN covered c ON c.doc_id = t.doc_id GROUP BY t.doc_id, t.words
+"""
+
+
+@query("op12_repeated_passages", SQL_REPEATED)
+def op12_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .super_kmers import drop_repeated
+
+    found = drop_repeated(load(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def planted_period(doc_id: int | None, n: int) -> np.ndarray | None:
+    """Places of the words to read in a document whose words are made periodic from one place on; None: as they are."""
+    h = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
+    if h % 10 or not n:
+        return None
+    g = h // 10
+    a = g % n
+    i = np.arange(n)
+    return np.where(i < a, i, a + (i - a) % (1 + (n - a) // (3 + g % 8)))
+
+
+@query("op13_periodic_runs")
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .period_runs import highest, periodic_runs
+
+    found = periodic_runs(load(spark, sf_dir, "documents"), planted_period).withColumn("best", highest(F.col("runs")))
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *(F.col("best")[c].alias(c) for c in ("start", "length", "period")),
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.concat_ws("", F.transform("runs", lambda r: F.concat(line(r), F.lit("\n")))), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
