@@ -39,15 +39,17 @@ from .components import smallest_ids
 from .exact_dedup import suspect_filter
 from .piece_table import mix
 from .registry import id_text, map_arrow, text_chunks
-from .word_bags import bag_keys, counted, shingles, units
+from .word_bags import ENTRY, bag_keys, counted, entries, overlaps, shared, shingles
 
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
 CHUNK = 600_000
 #: Buckets up to this size are compared by pairs of rows, larger ones by blocks of members.
 SMALL, BLOCK = 16, 256
-#: Units of one matrix of a block.
-COLUMNS = 1 << 14
+#: Shingles, each as often as it stands there, of one side of a block on average (a larger document stands alone).
+UNITS = 1 << 20
+#: Columns of one matrix of a block.
+COLUMNS = 1 << 12
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _PLACE, _REGISTER = np.uint64(0xD1B54A32D192ED03), np.uint64(0xA0761D6478BD642F)
 
@@ -157,7 +159,7 @@ def sign(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
 
 
 def bags(texts: DataFrame) -> DataFrame:
-    """node, units of its multiset; rows (node, k1, k2, text) whose text has another multiset are not the node's."""
+    """node, its multiset; rows (node, k1, k2, text) whose text has another multiset are not the node's."""
 
     def run(batches):
         for batch in batches:
@@ -165,12 +167,12 @@ def bags(texts: DataFrame) -> DataFrame:
             k1, k2 = batch.column("k1").to_pylist(), batch.column("k2").to_pylist()
             out = []
             for a, b in text_chunks(t, CHUNK):
-                keys = shingles(t[a:b])
-                found = bag_keys(*counted(keys), b - a).view(np.int64).tolist()
-                out += [(nodes[a + i], u.tobytes()) for i, u in enumerate(units(keys, b - a)) if found[i] == [k1[a + i], k2[a + i]]]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], ["node", "units"])
+                held = counted(shingles(t[a:b]))
+                found = bag_keys(*held, b - a).view(np.int64).tolist()
+                out += [(nodes[a + i], bag.tobytes()) for i, bag in enumerate(entries(*held, b - a)) if found[i] == [k1[a + i], k2[a + i]]]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], ["node", "bag"])
 
-    return map_arrow(texts, run, "node long, units binary")
+    return map_arrow(texts, run, "node long, bag binary")
 
 
 def overlap(pairs: DataFrame, bag: DataFrame) -> DataFrame:
@@ -180,12 +182,12 @@ def overlap(pairs: DataFrame, bag: DataFrame) -> DataFrame:
         for batch in batches:
             j = []
             for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
-                a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                j.append(both / (len(a) + len(b) - both))
+                a, b = np.frombuffer(x, ENTRY), np.frombuffer(y, ENTRY)
+                both = shared(a, b)
+                j.append(both / (int(a["times"].sum(dtype=np.int64)) + int(b["times"].sum(dtype=np.int64)) - both))
             yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(j, pa.float64())], ["u", "v", "j"])
 
-    both = pairs.join(bag.select(F.col("node").alias("u"), F.col("units").alias("x")), "u").join(bag.select(F.col("node").alias("v"), F.col("units").alias("y")), "v")
+    both = pairs.join(bag.select(F.col("node").alias("u"), F.col("bag").alias("x")), "u").join(bag.select(F.col("node").alias("v"), F.col("bag").alias("y")), "v")
     return map_arrow(both.select("u", "v", "x", "y"), run, "u long, v long, j double")
 
 
@@ -197,7 +199,7 @@ def compare_blocks(group: pd.DataFrame, similarity: float) -> pd.DataFrame:
     """Links between the members ``side`` 0 and ``side`` 1 of one bucket that lie in different components.
 
     A pair is looked at only in the first band it shares, so that buckets of the same
-    documents don't repeat the work; overlaps are one matrix product over the units
+    documents don't repeat the work; overlaps are one matrix product over the shingles
     that both sides hold.  Of the links found those that connect are returned."""
     key = group["key"].iloc[0]
     a, b = (group[group["side"] == s] for s in (0, 1))
@@ -214,22 +216,9 @@ def compare_blocks(group: pd.DataFrame, similarity: float) -> pd.DataFrame:
     rows, cols = np.flatnonzero(todo.any(1)), np.flatnonzero(todo.any(0))
     if not len(rows):
         return pd.DataFrame({"u": [], "v": []}, dtype="int64")
-    left = [np.frombuffer(x, np.uint64) for x in a["units"].to_numpy()[rows]]
-    right = [np.frombuffer(x, np.uint64) for x in b["units"].to_numpy()[cols]]
-    both = np.intersect1d(np.concatenate(left), np.concatenate(right))
-    overlap = np.zeros((len(rows), len(cols)), np.float32)
-    for s in range(0, len(both), COLUMNS):
-        part = both[s : s + COLUMNS]
-
-        def table(lists):
-            out = np.zeros((len(lists), len(part)), np.float32)
-            for i, x in enumerate(lists):
-                x = x[np.searchsorted(x, part[0]) : np.searchsorted(x, part[-1], side="right")]
-                at = np.searchsorted(part, x)
-                out[i, at[part[at] == x]] = 1
-            return out
-
-        overlap += table(left) @ table(right).T
+    left = [np.frombuffer(x, ENTRY) for x in a["bag"].to_numpy()[rows]]
+    right = [np.frombuffer(x, ENTRY) for x in b["bag"].to_numpy()[cols]]
+    overlap = overlaps(left, right, COLUMNS)
     j = overlap / (an[rows][:, None] + bn[cols][None, :] - overlap)
     u, v = np.nonzero((j >= similarity) & todo[np.ix_(rows, cols)])
     parent: dict[int, int] = {}
@@ -251,9 +240,10 @@ def compare_blocks(group: pd.DataFrame, similarity: float) -> pd.DataFrame:
 def linked_nodes(nodes: DataFrame, bag_of, similarity: float = SIMILARITY, small: int = SMALL) -> DataFrame | None:
     """(id, component_id) of nodes (node, n, bands) that link with another; None if no bucket holds two."""
     banded = nodes.where(F.col("bands").isNotNull()).select("node", "n", F.explode("bands").alias("key"))
-    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("node", "n")).alias("p")).where("size > 1")
-    pivots = shared.select("key", "size", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"))
-    members = materialize(banded.join(pivots, "key"), "bucket-members")
+    buckets = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("units"), F.min(F.struct("node", "n")).alias("p")).where("size > 1")
+    pivots = materialize(buckets.select("key", "size", "units", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n")), "pivots")
+    # a sort-merge join of two scans: the adaptive plan splits the buckets of many members
+    members = materialize(banded.join(pivots.hint("merge"), "key"), "bucket-members")
     if members.isEmpty():
         return None
     bag = materialize(bag_of(members.select("node").distinct()), "bags")
@@ -267,8 +257,8 @@ def linked_nodes(nodes: DataFrame, bag_of, similarity: float = SIMILARITY, small
     own = linked.select(F.col("id").alias("pivot"), F.col("component_id").alias("pc"))
     now = members.where("size > 2").join(names, "node", "left").withColumn("c", F.coalesce("c", "node"))
     now = now.join(own, "pivot", "left").withColumn("outside", F.col("c") != F.coalesce("pc", "pivot")).drop("pc")
-    out_of = now.where("outside").groupBy("key").agg(F.count(F.lit(1)).alias("strangers"))
-    now = materialize(now.where("node <> pivot").join(out_of, "key").select("key", "size", "strangers", "pivot", "node", "n", "c", "outside"), "open-buckets")
+    out_of = now.where("outside").groupBy("key").agg(F.count(F.lit(1)).alias("strangers"), F.sum("n").alias("stranger_units"))
+    now = materialize(now.where("node <> pivot").join(out_of, "key").select("key", "size", "units", "strangers", "stranger_units", "pivot", "node", "n", "c", "outside"), "open-buckets")
     more = []
 
     # small buckets: pairs, each once however many buckets it shares
@@ -287,8 +277,8 @@ def linked_nodes(nodes: DataFrame, bag_of, similarity: float = SIMILARITY, small
     # large buckets: strangers against the others, block by block
     many = now.where(F.col("size") > small)
     if not many.isEmpty():
-        rows = F.ceil(F.col("strangers") / BLOCK).cast("int")
-        cols = F.ceil(F.col("size") / BLOCK).cast("int")
+        parts = lambda n, held: F.greatest(F.ceil(F.col(n) / BLOCK), F.ceil(F.col(held) / UNITS)).cast("int")
+        rows, cols = parts("strangers", "stranger_units"), parts("size", "units")
         at = lambda k, n: F.pmod(F.xxhash64("node", F.lit(k)), n).cast("int")
         one = many.where("outside").select("key", "node", "n", "c", "outside", at(0, rows).alias("i"), F.explode(F.sequence(F.lit(0), cols - 1)).alias("k"), F.lit(0).alias("side"))
         two = many.select("key", "node", "n", "c", "outside", F.explode(F.sequence(F.lit(0), rows - 1)).alias("i"), at(1, cols).alias("k"), F.lit(1).alias("side"))

@@ -148,10 +148,30 @@ def test_bags_equal_counting():
     doc, shingle, times = word_bags.counted(keys)
     for i, t in enumerate(texts):
         assert sorted(times[doc == i].tolist()) == sorted(bag(t).values())
-    units = word_bags.units(keys, len(texts))
+    bags = word_bags.entries(doc, shingle, times, len(texts))
+    every = [bag(t) for t in texts]
     for i in range(0, 250, 5):
-        a, b = bag(texts[i]), bag(texts[i + 1])
-        assert len(np.intersect1d(units[i], units[i + 1])) == sum((a & b).values())
+        assert word_bags.shared(bags[i], bags[i + 1]) == sum((every[i] & every[i + 1]).values())
+    left, right = [i for i in range(100) if every[i]], [i for i in range(80, 250) if every[i]]
+    for columns in (3, 1 << 12):
+        got = word_bags.overlaps([bags[i] for i in left], [bags[i] for i in right], columns)
+        assert got.tolist() == [[sum((every[i] & every[j]).values()) for j in right] for i in left]
+
+
+@pytest.mark.parametrize("small", [16, 1])
+def test_op6_many_repeats(make_docs, monkeypatch, small):
+    """A shingle may stand hundreds of thousands of times; small and large buckets agree with counting."""
+    monkeypatch.setattr(bag_minhash, "SMALL", small)
+    monkeypatch.setattr(bag_minhash.linked_nodes, "__defaults__", (0.8, small))
+    rest = " ".join(f"w{i}" for i in range(53_000))
+    texts = ["spam " * n for n in (70_000, 80_000, 300_000, 330_000)] + ["spam " * 247_000 + rest, "spam " * 247_000 + rest + " more"]
+    texts += ["spam " * (66_000 + 40 * i) + f"x{i} y{i} z{i}" for i in range(24)]
+    bags = [bag(t) for t in texts]
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if jaccard(bags[i], bags[j]) >= 0.8]
+    comp = components(len(texts), links)
+    out = bag_minhash.near_duplicates(make_docs(list(enumerate(texts)))).collect()
+    assert {r["doc_id"]: r["class_id"] for r in out} == dict(enumerate(comp))
+    assert comp[2] == comp[3] != comp[4] == comp[5]
 
 
 def test_signatures_estimate_weighted_jaccard_without_bias():
