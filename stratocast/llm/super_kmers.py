@@ -30,39 +30,46 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from . import words as W
+from .exact_dedup import suspect_filter
 from .registry import id_text, map_arrow
 
 WINDOW = 20
 #: Words of the stretches among which minimisers are chosen.
 M = 4
 #: Bytes of text of one block, and of text per bucket.
-BLOCK, BUCKET = 6 << 20, 8 << 20
+BLOCK, BUCKET = 8 << 20, 3 << 20
 #: Documents of the sample, and the share of them from which a stretch ranks last.
 SAMPLE, COMMON = 4_000, 0.005
 #: Words that a bucket compares at once.
 AT_ONCE = 2_000_000
 
 
-def first_equal(ids: np.ndarray, h: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
-    """For each window (by its place) the index, in ``at``, of the first that has the same words."""
+def first_equal(t: W.Tokens, at: np.ndarray, window: int) -> np.ndarray:
+    """For each window (by its first word) the index, in ``at``, of the first that has the same words."""
     if not len(at):
         return np.zeros(0, np.int64)
-    key = W.rolling(h, window)[at]
+    key = W.rolling(t.h, window)[at]
     order = np.argsort(key, kind="stable")
     new = np.concatenate([[True], key[order][1:] != key[order][:-1]])
     first = np.empty(len(at), np.int64)
     first[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]
     later = np.flatnonzero(first != np.arange(len(at)))
     one, other = at[later], at[first[later]]
-    if all((ids[one + j] == ids[other + j]).all() for j in range(window)):
+    run, size = stretches(one, one - other)  # windows in a row that repeat windows in a row: one comparison
+    text = t.buf.tobytes()
+    last = size + window - 2
+    ends = zip(t.starts[one[run]].tolist(), t.ends[one[run] + last].tolist(), t.starts[other[run]].tolist(), t.ends[other[run] + last].tolist())
+    if all(text[a:b] == text[c:d] for a, b, c, d in ends):
         return first
     # equal hashes of different windows: by the words themselves
-    _, index, which = np.unique(ids[at[:, None] + np.arange(window)], axis=0, return_index=True, return_inverse=True)
+    _, index, which = np.unique(t.numbers()[at[:, None] + np.arange(window)], axis=0, return_index=True, return_inverse=True)
     return index[which.ravel()]
 
 
@@ -87,23 +94,31 @@ def stretches(at: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return new, np.diff(np.append(new, len(at)))
 
 
-# --- messages: columns of the stretches, then their words -----------------------------
+# --- messages: documents, stretches of their windows, and the stretches' words ----------
 
-_COLUMNS = (("lost", np.uint8), ("doc_id", np.int64), ("h", np.int64), ("start", np.int64), ("count", np.int64))
+_DOC = (("lost", np.uint8), ("doc_id", np.int64), ("h", np.int64))
+_STRETCH = (("own", np.uint32), ("start", np.uint32), ("count", np.uint32))
+_COLUMNS = ("lost", "doc_id", "h", "start", "count")
 
 
-def packed(columns: dict[str, np.ndarray], text: bytes = b"") -> bytes:
-    body = [np.array([len(columns["h"])], np.int64).tobytes(), *(columns[c].astype(t).tobytes() for c, t in _COLUMNS), text]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(body))
+def packed(columns: dict[str, np.ndarray], own: np.ndarray, text: bytes = b"") -> bytes:
+    """A message: ``own`` numbers the document (in ``columns``) of each stretch, in ascending order."""
+    new = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+    held = {**{c: columns[c][own[new]] for c, _ in _DOC}, "own": np.repeat(np.arange(len(new)), np.diff(np.append(new, len(own)))), "start": columns["start"], "count": columns["count"]}
+    body = [np.array([len(new), len(own)], np.int64).tobytes(), *(held[c].astype(t).tobytes() for c, t in _DOC + _STRETCH), text]
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(body))
 
 
 def unpacked(message: bytes) -> tuple[dict[str, np.ndarray], bytes]:
+    """Per stretch its document's columns, start and count; and the words."""
     body = zstandard.ZstdDecompressor().decompress(message)
-    n, at, columns = int(np.frombuffer(body, np.int64, 1)[0]), 8, {}
-    for c, t in _COLUMNS:
-        columns[c] = np.frombuffer(body, t, n, at)
-        at += n * np.dtype(t).itemsize
-    return columns, body[at:]
+    docs, n = np.frombuffer(body, np.int64, 2).tolist()
+    at, held = 16, {}
+    for (c, t), size in zip(_DOC + _STRETCH, [docs] * 3 + [n] * 3):
+        held[c] = np.frombuffer(body, t, size, at)
+        at += size * np.dtype(t).itemsize
+    own = held["own"]
+    return {**{c: held[c][own] for c, _ in _DOC}, "start": held["start"].astype(np.int64), "count": held["count"].astype(np.int64)}, body[at:]
 
 
 def _take(columns: dict, which) -> dict:
@@ -117,90 +132,83 @@ def block_messages(columns: dict, texts: list[bytes], buckets: int, common: np.n
     once = np.ones(len(order), bool)
     once[1:] = (columns["lost"][1:] != columns["lost"][:-1]) | (columns["doc_id"][1:] != columns["doc_id"][:-1]) | (columns["h"][1:] != columns["h"][:-1])
     columns = _take(columns, once)
-    words, n = W.split([texts[i] for i in order[once].tolist()])
-    ids, distinct = W.number(words)
-    h = W.hashes(ids, distinct)
+    t = W.Tokens([texts[i] for i in order[once].tolist()])
+    n = t.count
     doc_start = np.cumsum(n) - n
     size = np.maximum(n - window + 1, 0)
     at = W.spans(doc_start, size)
     doc = np.repeat(np.arange(len(n)), size)
-    again = first_equal(ids, h, at, window) != np.arange(len(at))
-
-    def of(first, count, places, owners):
-        own = owners[first]
-        return {**{c: columns[c][own] for c in ("lost", "doc_id", "h")}, "start": places[first] - doc_start[own], "count": count}
-
+    again = first_equal(t, at, window) != np.arange(len(at))
     if again.any():
-        known = of(*stretches(at[again], doc[again]), at[again], doc[again])
-        yield int(columns["h"][0]) % buckets, 0, packed(known)
+        first, count = stretches(at[again], doc[again])
+        own, start = doc[again][first], at[again][first]
+        yield int(columns["h"][0]) % buckets, 0, packed({**columns, "start": start - doc_start[own], "count": count}, own)
     at, doc = at[~again], doc[~again]
     if not len(at):
         return
-    key = minimisers(h, window, common)[at]
+    key = minimisers(t.h, window, common)[at]
     first, count = stretches(at, key)
-    kmers, bucket = of(first, count, at, doc), (W.mixed(key[first]) % np.uint64(buckets)).astype(np.int64)
-    # one text of all words, and where each word begins in it
-    text = b" ".join(words)
-    length = np.fromiter(map(len, distinct), np.int64, len(distinct))[ids] + 1
-    begin = np.cumsum(length) - length
-    low, high = begin[at[first]], (begin + length)[at[first] + count + window - 2] - 1
+    bucket = (W.mixed(key[first]) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
-    cuts = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) != 0, [True]]))
+    first, count, bucket = first[order], count[order], bucket[order]
+    begin, own = at[first], doc[first]
+    start = begin - doc_start[own]
+    text = t.buf.tobytes()
+    low, high = t.starts[begin], t.ends[begin + count + window - 2]
+    cuts = np.flatnonzero(np.concatenate([[True], np.diff(bucket) != 0, [True]]))
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-        own = order[a:b]
-        yield int(bucket[own[0]]), 1, packed(_take(kmers, own), b" ".join([text[x:y] for x, y in zip(low[own].tolist(), high[own].tolist())]))
+        words = b" ".join([text[x:y] for x, y in zip(low[a:b].tolist(), high[a:b].tolist())])
+        yield int(bucket[a]), 1, packed({**columns, "start": start[a:b], "count": count[a:b]}, own[a:b], words)
 
 
-def settled(kmers: dict, words: list[bytes], window: int) -> tuple[dict, dict, list[bytes]]:
+def settled(kmers: dict, text: bytes, window: int) -> tuple[dict, dict, bytes]:
     """Of super-k-mers: the ranges of windows that repeat an earlier one; and what is left, as super-k-mers and their words."""
     order = np.lexsort((kmers["start"], kmers["h"], kmers["doc_id"], kmers["lost"]))
     size = kmers["count"] + window - 1
     begin = (np.cumsum(size) - size)[order]
     kmers = _take(kmers, order)
-    ids, distinct = W.number(words)
+    t = W.Tokens([text])
     at = W.spans(begin, kmers["count"])
     own = np.repeat(np.arange(len(order)), kmers["count"])
     start = W.spans(kmers["start"], kmers["count"])
-    first = first_equal(ids, W.hashes(ids, distinct), at, window)
+    first = first_equal(t, at, window)
     beaten = first != np.arange(len(at))
     # a row that stands there twice is no copy of itself
     same = start == start[first]
-    for c in ("lost", "doc_id", "h"):
+    for c, _ in _DOC:
         same &= kmers[c][own] == kmers[c][own[first]]
 
     def of(which):
         f, count = stretches(at[which], own[which])
         mine = own[which][f]
-        return {**{c: kmers[c][mine] for c in ("lost", "doc_id", "h")}, "start": start[which][f], "count": count}, at[which][f]
+        return {**{c: kmers[c][mine] for c, _ in _DOC}, "start": start[which][f], "count": count}, at[which][f]
 
     repeated, _ = of(beaten & ~same)
     left, places = of(~beaten)
-    keep = W.spans(places, left["count"] + window - 1)
-    return repeated, left, [words[i] for i in keep.tolist()]
+    low, high = t.starts[places], t.ends[places + left["count"] + window - 2]
+    held = t.buf.tobytes()
+    return repeated, left, b" ".join([held[a:b] for a, b in zip(low.tolist(), high.tolist())])
 
 
 def bucket_ranges(bodies, window: int, at_once: int = AT_ONCE):
     """Ranges of repeating windows from a bucket's messages (kind 1), some at a time."""
-    left, held = None, []
     columns, texts, n = [], [], 0
 
     def settle():
-        nonlocal left, held
-        parts = ([left] if left is not None else []) + columns
-        merged = {c: np.concatenate([p[c] for p in parts]) for c, _ in _COLUMNS}
-        repeated, left, held = settled(merged, held + b" ".join(texts).split(), window)
-        return repeated
+        merged = {c: np.concatenate([p[c] for p in columns]) for c in _COLUMNS}
+        return settled(merged, b" ".join(texts), window)
 
     for body in bodies:
         c, text = unpacked(body)
+        if n >= at_once:
+            repeated, left, held = settle()
+            yield repeated
+            columns, texts, n = [left], [held], 0
         columns.append(c)
         texts.append(text)
         n += int(c["count"].sum()) + (window - 1) * len(c["h"])
-        if n >= at_once:
-            yield settle()
-            columns, texts, n = [], [], 0
     if columns:
-        yield settle()
+        yield settle()[0]
 
 
 def common_stretches(texts: DataFrame, rows: int, m: int = M) -> np.ndarray:
@@ -210,8 +218,7 @@ def common_stretches(texts: DataFrame, rows: int, m: int = M) -> np.ndarray:
     def run(batches):
         for batch in batches:
             for t in batch.column("text").cast(pa.binary()).to_pylist():
-                ids, distinct = W.number(t.split())
-                g = np.unique(W.mixed(W.rolling(W.hashes(ids, distinct), m)) >> np.uint64(1))
+                g = np.unique(W.mixed(W.rolling(W.Tokens([t]).h, m)) >> np.uint64(1))
                 yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64))], ["g"])
 
     least = max(8, int(COMMON * min(rows, SAMPLE)))
@@ -255,38 +262,42 @@ def drop_repeated(docs: DataFrame, window: int = WINDOW, block_bytes: int = BLOC
     def receive(group: pd.DataFrame) -> pd.DataFrame:
         known = [unpacked(b)[0] for b in group["body"][group["kind"] == 0]]
         found = [*known, *bucket_ranges(group["body"][group["kind"] == 1], window, at_once)]
-        c = {k: np.concatenate([f[k] for f in found]) for k, _ in _COLUMNS}
+        c = {k: np.concatenate([f[k] for f in found]) for k in _COLUMNS}
         return pd.DataFrame({"doc_id": pd.Series(c["doc_id"]).astype("Int64").mask(c["lost"] == 1), "h": c["h"], "first": c["start"], "last": c["start"] + c["count"] - 1})
 
     sent = map_arrow(t, send, "bucket long, kind int, body binary")
     ranges = sent.groupBy("bucket").applyInPandas(receive, "doc_id long, h long, first long, last long")
     # a document's own ranges, at most as many as it has words
     ranges = ranges.groupBy("doc_id", "h").agg(F.collect_set(F.struct("first", "last")).alias("ranges"))
-    ranges = ranges.select(F.col("doc_id").alias("d"), F.col("h").alias("g"), "ranges")
+    ranges = materialize(ranges.select(F.col("doc_id").alias("d"), F.col("h").alias("g"), "ranges"), "ranges")
 
     def drop(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            r = batch.column("ranges")
-            lists = [x.split() for x in batch.column("text").cast(pa.binary()).to_pylist()]
-            removed, kept = [], []
-            for k, one in enumerate(lists):
-                mine = r[k].values if r[k].is_valid else None
-                if mine is None or not len(mine):
-                    removed.append(0)
-                    kept.append(b" ".join(one))
-                    continue
-                step = np.zeros(len(one) + 1, np.int64)
-                np.add.at(step, mine.field("first").to_numpy(), 1)
-                np.add.at(step, mine.field("last").to_numpy() + window, -1)
+            column, r = batch.column("text").cast(pa.binary()), batch.column("ranges")
+            for a in range(0, batch.num_rows, 50):
+                lists = r.slice(a, 50)
+                t = W.Tokens(column.slice(a, 50).to_pylist())
+                begin = np.cumsum(t.count) - t.count
+                own = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+                each = lists.flatten()
+                step = np.zeros(len(t.h) + 1, np.int64)
+                np.add.at(step, begin[own] + each.field("first").to_numpy(), 1)
+                np.add.at(step, begin[own] + each.field("last").to_numpy() + window, -1)
                 stays = np.flatnonzero(np.cumsum(step[:-1]) == 0)
-                removed.append(len(one) - len(stays))
-                kept.append(b" ".join([one[i] for i in stays.tolist()]))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(x) for x in lists], pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())],
-                ["doc_id", "n_words", "n_removed", "kept"],
-            )
-
-    met = t.join(ranges, t["doc_id"].eqNullSafe(ranges["d"]) & (t["h"] == ranges["g"]), "left").select("doc_id", "text", "ranges")
-    return map_arrow(met, drop, "doc_id long, n_words long, n_removed long, kept string")
+                doc = np.searchsorted(begin + t.count, stays, side="right")
+                f, size = stretches(stays, doc)
+                text = t.buf.tobytes()
+                parts = [text[x:y] for x, y in zip(t.starts[stays[f]].tolist(), t.ends[stays[f] + size - 1].tolist())]
+                cut = np.searchsorted(doc[f], np.arange(len(lists) + 1)).tolist()
+                kept = [b" ".join(parts[x:y]) for x, y in zip(cut, cut[1:])]
+                removed = t.count - np.bincount(doc, minlength=len(lists))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").slice(a, 50), pa.array(t.count), pa.array(removed), pa.array(kept, pa.binary()).cast(pa.string())],
+                    ["doc_id", "n_words", "n_removed", "kept"],
+                )
+
+    # only documents that may have ranges are shuffled; others stay where they are
+    may_have = suspect_filter(ranges.select(F.col("g").alias("h")))
+    met = t.where(may_have("h")).join(ranges, t["doc_id"].eqNullSafe(ranges["d"]) & (t["h"] == ranges["g"]), "left").select("doc_id", "text", "ranges")
+    alone = t.where(~may_have("h")).select("doc_id", "text", F.lit(None).cast("array<struct<first: long, last: long>>").alias("ranges"))
+    return map_arrow(met.unionByName(alone), drop, "doc_id long, n_words long, n_removed long, kept string")

@@ -8,18 +8,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+
+from .piece_table import span_hash
 
 #: Odd multiplier of the polynomial hashes (fixed value).
 BASE = 0x9E3779B97F4A7C15
 
 
-def split(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
-    """All words one after another, and how many each text has."""
-    lists = [t.split() for t in texts]
-    return [w for one in lists for w in one], np.fromiter(map(len, lists), np.int64, len(lists))
-
-
 def number(words: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
     """Per word the number of its value (equal words, equal numbers), and the distinct words."""
     if not words:
@@ -28,10 +23,41 @@ def number(words: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
     return coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
 
 
-def hashes(ids: np.ndarray, distinct: list[bytes], seed: int = 0) -> np.ndarray:
-    """64-bit hash of each word; the same in every task."""
-    table = np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in distinct), np.uint64, len(distinct))
-    return table[ids] if len(ids) else np.zeros(0, np.uint64)
+_GAP = np.zeros(256, bool)
+_GAP[[32, *range(9, 14)]] = True
+#: Bytes hashed at once.
+_HASHED = 1 << 21
+
+
+class Tokens:
+    """Words of texts one after another, as arrays: ``buf`` holds them with one space between, word i
+    is buf[starts[i]:ends[i]] and has the 64-bit hash h[i]; ``count`` says how many each text has."""
+
+    def __init__(self, texts: list[bytes]):
+        raw = np.frombuffer(b"\n".join(texts), np.uint8)
+        gap = _GAP[raw]
+        edge = np.concatenate([[True], gap[:-1]]) if len(gap) else gap  # behind a gap
+        size = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+        bounds = np.concatenate([[0], np.cumsum(size)])
+        self.count = np.diff(np.searchsorted(np.flatnonzero(~gap & edge), bounds))
+        stays = ~(gap & edge)
+        self.buf = raw[stays]
+        self.buf[gap[stays]] = 32
+        spaces = np.flatnonzero(self.buf == 32)
+        if len(self.buf) and (not len(spaces) or spaces[-1] != len(self.buf) - 1):
+            spaces = np.append(spaces, len(self.buf))
+        self.starts, self.ends = np.concatenate([[0], spaces[:-1] + 1]) if len(spaces) else spaces, spaces
+        self.h = np.empty(len(spaces), np.uint64)
+        s = 0
+        while s < len(spaces):
+            e = max(s + 1, int(np.searchsorted(self.ends, self.starts[s] + _HASHED)))
+            low = self.starts[s]
+            self.h[s:e] = span_hash(self.buf[low : self.ends[e - 1]], self.starts[s:e] - low, self.ends[s:e] - low, BASE)
+            s = e
+
+    def numbers(self) -> np.ndarray:
+        """Equal words, equal numbers, whatever the hashes say."""
+        return number(self.buf.tobytes().split())[0]
 
 
 def rolling(h: np.ndarray, size: int, base: int = BASE) -> np.ndarray:

@@ -112,11 +112,23 @@ def test_op12_a_passage_in_all_rows(spark, make_docs):
 
 
 def test_equal_hashes_of_other_words_are_told_apart():
-    ids = np.array([0, 1, 2, 3, 0, 1, 2, 9, 0, 1, 2, 3])
+    t = W.Tokens([b"a b c d a b c x a b c d"])
     at = np.arange(9)
     want = [0, 1, 2, 3, 4, 5, 6, 7, 0]
-    for h in (W.mixed(ids.astype(np.uint64)), np.zeros(len(ids), np.uint64)):
-        assert super_kmers.first_equal(ids, h, at, 4).tolist() == want
+    assert super_kmers.first_equal(t, at, 4).tolist() == want
+    t.h[:] = 0
+    assert super_kmers.first_equal(t, at, 4).tolist() == want
+
+
+def test_tokens_are_the_words():
+    rnd = random.Random(9)
+    texts = ["".join(rnd.choice([" ", "\n", "\t ", "a", "bc", "\x0b", "\xa0", "é", "\x1c"]) for _ in range(rnd.randrange(12))).encode() for _ in range(300)]
+    t = W.Tokens(texts)
+    words = [w.encode() for x in texts for w in words_of(x.decode())]
+    assert t.count.tolist() == [len(words_of(x.decode())) for x in texts]
+    assert [t.buf[a:b].tobytes() for a, b in zip(t.starts, t.ends)] == words
+    assert len(set(t.h.tolist())) == len(set(words)) and len(set(zip(t.h.tolist(), words))) == len(set(words))
+    assert len(W.Tokens([]).h) == 0 and W.Tokens([b"", b" "]).count.tolist() == [0, 0]
 
 
 def test_minimiser_is_the_smallest_of_the_window():
