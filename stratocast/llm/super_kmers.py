@@ -12,9 +12,10 @@ start earlier: in a document of smaller doc_id, or earlier in the same one.
    compressed message.  Stretches found in many documents of a bounded sample rank
    behind all others: windows over the edge of a common passage go where their own
    words send them.  The sample only spreads work; any choice gives the same rows.
-3. A bucket sorts the windows it got, compares those of equal hash word by word, and
-   returns the ranges of windows that stand behind an equal one.  Messages are taken
-   a bounded number of words at a time; only windows not yet beaten are carried on.
+3. A bucket sorts the windows it got, part by part of its minimisers, compares those of
+   equal hash word by word, and returns the ranges of windows that stand behind an equal
+   one.  A part takes a bounded number of words at a time; only windows not yet beaten
+   are carried on.
 4. Documents meet their ranges, and words that such windows cover are dropped.
 
 The number of buckets follows the bytes of the table.  Words are those of ``words``.
@@ -44,11 +45,13 @@ WINDOW = 20
 #: Words of the stretches among which minimisers are chosen.
 M = 4
 #: Bytes of text of one block, and of text per bucket.
-BLOCK, BUCKET = 8 << 20, 3 << 20
+BLOCK, BUCKET = 4 << 20, 8 << 20
+#: Parts of a bucket, by minimiser, that are compared one after another.
+PARTS = 12
 #: Documents of the sample, and the share of them from which a stretch ranks last.
 SAMPLE, COMMON = 4_000, 0.005
-#: Words that a bucket compares at once.
-AT_ONCE = 2_000_000
+#: Words that a part compares at once, and bytes of messages that are opened once and held.
+AT_ONCE, HELD = 1_000_000, 32 << 20
 
 
 def first_equal(t: W.Tokens, at: np.ndarray, window: int) -> np.ndarray:
@@ -102,16 +105,14 @@ _COLUMNS = ("lost", "doc_id", "h", "start", "count")
 
 
 def packed(columns: dict[str, np.ndarray], own: np.ndarray, text: bytes = b"") -> bytes:
-    """A message: ``own`` numbers the document (in ``columns``) of each stretch, in ascending order."""
+    """``own`` numbers the document (in ``columns``) of each stretch; equal ones stand together."""
     new = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
     held = {**{c: columns[c][own[new]] for c, _ in _DOC}, "own": np.repeat(np.arange(len(new)), np.diff(np.append(new, len(own)))), "start": columns["start"], "count": columns["count"]}
-    body = [np.array([len(new), len(own)], np.int64).tobytes(), *(held[c].astype(t).tobytes() for c, t in _DOC + _STRETCH), text]
-    return zstandard.ZstdCompressor(level=3).compress(b"".join(body))
+    return b"".join([np.array([len(new), len(own)], np.int64).tobytes(), *(held[c].astype(t).tobytes() for c, t in _DOC + _STRETCH), text])
 
 
-def unpacked(message: bytes) -> tuple[dict[str, np.ndarray], bytes]:
+def unpacked(body: bytes) -> tuple[dict[str, np.ndarray], bytes]:
     """Per stretch its document's columns, start and count; and the words."""
-    body = zstandard.ZstdDecompressor().decompress(message)
     docs, n = np.frombuffer(body, np.int64, 2).tolist()
     at, held = 16, {}
     for (c, t), size in zip(_DOC + _STRETCH, [docs] * 3 + [n] * 3):
@@ -121,6 +122,18 @@ def unpacked(message: bytes) -> tuple[dict[str, np.ndarray], bytes]:
     return {**{c: held[c][own] for c, _ in _DOC}, "start": held["start"].astype(np.int64), "count": held["count"].astype(np.int64)}, body[at:]
 
 
+def message(parts: list[bytes]) -> bytes:
+    sizes = np.array([len(p) for p in parts], np.int64)
+    return zstandard.ZstdCompressor(level=3).compress(b"".join([np.array([len(parts)], np.int64).tobytes(), sizes.tobytes(), *parts]))
+
+
+def opened(sent: bytes) -> list[bytes]:
+    body = zstandard.ZstdDecompressor().decompress(sent)
+    n = int(np.frombuffer(body, np.int64, 1)[0])
+    ends = 8 + 8 * n + np.concatenate([[0], np.cumsum(np.frombuffer(body, np.int64, n, 8))])
+    return [body[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist())]
+
+
 def _take(columns: dict, which) -> dict:
     return {c: v[which] for c, v in columns.items()}
 
@@ -142,23 +155,29 @@ def block_messages(columns: dict, texts: list[bytes], buckets: int, common: np.n
     if again.any():
         first, count = stretches(at[again], doc[again])
         own, start = doc[again][first], at[again][first]
-        yield int(columns["h"][0]) % buckets, 0, packed({**columns, "start": start - doc_start[own], "count": count}, own)
+        yield int(columns["h"][0]) % buckets, 0, message([packed({**columns, "start": start - doc_start[own], "count": count}, own)])
     at, doc = at[~again], doc[~again]
     if not len(at):
         return
     key = minimisers(t.h, window, common)[at]
     first, count = stretches(at, key)
-    bucket = (W.mixed(key[first]) % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    first, count, bucket = first[order], count[order], bucket[order]
+    place = W.mixed(key[first]) % np.uint64(buckets * PARTS)  # bucket, then part
+    order = np.argsort(place, kind="stable")
+    first, count, place = first[order], count[order], place[order].astype(np.int64)
     begin, own = at[first], doc[first]
     start = begin - doc_start[own]
     text = t.buf.tobytes()
     low, high = t.starts[begin], t.ends[begin + count + window - 2]
-    cuts = np.flatnonzero(np.concatenate([[True], np.diff(bucket) != 0, [True]]))
-    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+
+    def part(a, b):
+        if a == b:
+            return b""
         words = b" ".join([text[x:y] for x, y in zip(low[a:b].tolist(), high[a:b].tolist())])
-        yield int(bucket[a]), 1, packed({**columns, "start": start[a:b], "count": count[a:b]}, own[a:b], words)
+        return packed({**columns, "start": start[a:b], "count": count[a:b]}, own[a:b], words)
+
+    for bucket in np.unique(place // PARTS).tolist():
+        cuts = np.searchsorted(place, np.arange(bucket * PARTS, (bucket + 1) * PARTS + 1)).tolist()
+        yield bucket, 1, message([part(a, b) for a, b in zip(cuts, cuts[1:])])
 
 
 def settled(kmers: dict, text: bytes, window: int) -> tuple[dict, dict, bytes]:
@@ -190,15 +209,17 @@ def settled(kmers: dict, text: bytes, window: int) -> tuple[dict, dict, bytes]:
     return repeated, left, b" ".join([held[a:b] for a, b in zip(low.tolist(), high.tolist())])
 
 
-def bucket_ranges(bodies, window: int, at_once: int = AT_ONCE):
-    """Ranges of repeating windows from a bucket's messages (kind 1), some at a time."""
+def part_ranges(bodies, window: int, at_once: int = AT_ONCE):
+    """Ranges of repeating windows of one part of a bucket, some words at a time."""
     columns, texts, n = [], [], 0
 
     def settle():
         merged = {c: np.concatenate([p[c] for p in columns]) for c in _COLUMNS}
-        return settled(merged, b" ".join(texts), window)
+        return settled(merged, b" ".join(t for t in texts if t), window)
 
     for body in bodies:
+        if not body:
+            continue
         c, text = unpacked(body)
         if n >= at_once:
             repeated, left, held = settle()
@@ -211,6 +232,13 @@ def bucket_ranges(bodies, window: int, at_once: int = AT_ONCE):
         yield settle()[0]
 
 
+def bucket_ranges(messages: list[bytes], window: int, at_once: int = AT_ONCE):
+    """Ranges of repeating windows from a bucket's messages (kind 1), part by part."""
+    held = [opened(m) for m in messages] if sum(map(len, messages)) <= HELD else None
+    for k in range(PARTS):
+        yield from part_ranges((one[k] for one in held) if held is not None else (opened(m)[k] for m in messages), window, at_once)
+
+
 def common_stretches(texts: DataFrame, rows: int, m: int = M) -> np.ndarray:
     """Scrambled hashes of stretches of m words that at least COMMON of a bounded sample of documents hold."""
     part = texts if rows <= SAMPLE else texts.sample(fraction=SAMPLE / rows, seed=17)
@@ -260,8 +288,8 @@ def drop_repeated(docs: DataFrame, window: int = WINDOW, block_bytes: int = BLOC
             yield close()
 
     def receive(group: pd.DataFrame) -> pd.DataFrame:
-        known = [unpacked(b)[0] for b in group["body"][group["kind"] == 0]]
-        found = [*known, *bucket_ranges(group["body"][group["kind"] == 1], window, at_once)]
+        known = [unpacked(opened(b)[0])[0] for b in group["body"][group["kind"] == 0]]
+        found = [*known, *bucket_ranges(group["body"][group["kind"] == 1].tolist(), window, at_once)]
         c = {k: np.concatenate([f[k] for f in found]) for k in _COLUMNS}
         return pd.DataFrame({"doc_id": pd.Series(c["doc_id"]).astype("Int64").mask(c["lost"] == 1), "h": c["h"], "first": c["start"], "last": c["start"] + c["count"] - 1})
 

@@ -26,7 +26,7 @@ def number(words: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
 _GAP = np.zeros(256, bool)
 _GAP[[32, *range(9, 14)]] = True
 #: Bytes hashed at once.
-_HASHED = 1 << 21
+_HASHED = 1 << 18
 
 
 class Tokens:
