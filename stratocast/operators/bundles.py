@@ -9,10 +9,10 @@ from __future__ import annotations
 import json
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.regression import LinearRegressionModel
 from pyspark.sql import SparkSession
 
-from .models import RainModel, TempForecaster
+from .forecast import TempForecaster
+from .models import RainModel
 from .scaling import MinMax
 
 
@@ -47,14 +47,15 @@ def load_rain(spark: SparkSession, path: str) -> tuple[RainModel, float, dict]:
 
 
 def save_forecaster(spark: SparkSession, model: TempForecaster, path: str, metrics: dict | None = None) -> None:
-    """One model per step, the scaler, the window and the horizon."""
-    for h, m in enumerate(model.models, start=1):
-        m.write().overwrite().save(f"{path}/step-{h}")
+    """The coefficients of every step, the scaler, the window and the horizon."""
     s = model.scaler
     meta = {
         "features": model.features,
         "lookback": model.lookback,
         "forecast_n": model.horizon,
+        "coef": model.coef,
+        "penalty": model.penalty,
+        "rounds": model.rounds,
         "scaler": {"cols": list(s.cols), "lo": list(s.lo), "hi": list(s.hi)},
         "metrics": metrics or {},
     }
@@ -64,6 +65,6 @@ def save_forecaster(spark: SparkSession, model: TempForecaster, path: str, metri
 def load_forecaster(spark: SparkSession, path: str) -> tuple[TempForecaster, dict]:
     meta = _read_meta(spark, path)
     s = meta["scaler"]
-    models = [LinearRegressionModel.load(f"{path}/step-{h}") for h in range(1, meta["forecast_n"] + 1)]
     scaler = MinMax(tuple(s["cols"]), tuple(s["lo"]), tuple(s["hi"]))
-    return TempForecaster(scaler, models, meta["lookback"], meta["forecast_n"], meta["features"]), meta["metrics"]
+    model = TempForecaster(scaler, meta["coef"], meta["lookback"], meta["forecast_n"], meta["features"], meta["penalty"], meta["rounds"])
+    return model, meta["metrics"]

@@ -81,6 +81,30 @@ def index_rows(
     )
 
 
+def index_all(
+    df: DataFrame, bucket: Column, group: Column, order: str = TIME, tiebreak: Sequence[str] = ()
+) -> DataFrame:
+    """Add ``_rn``: 1-based position among all rows in (order, tiebreak) order.
+
+    ``bucket`` and ``group`` must be monotone in that order, and a group whole buckets
+    (day, say).  Rows are numbered within their bucket, buckets summed up within their
+    group and only the groups - one row each - over the table, so no window but that
+    over the groups sees more than one group's buckets."""
+    d = df.withColumns({"_bkt": bucket, "_grp": group})
+    counts = d.groupBy("_grp", "_bkt").agg(F.count(F.lit(1)).alias("_cnt"))
+    groups = counts.groupBy("_grp").agg(F.sum("_cnt").alias("_cnt"))
+    before = lambda w: F.coalesce(F.sum("_cnt").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = groups.select("_grp", before(Window.orderBy("_grp")).alias("_goff"))
+    offsets = counts.select("_grp", "_bkt", before(Window.partitionBy("_grp").orderBy("_bkt")).alias("_off"))
+    offsets = join_null_safe(offsets, groups, ["_grp"]).select("_grp", "_bkt", (F.col("_off") + F.col("_goff")).alias("_off"))
+    local = Window.partitionBy("_grp", "_bkt").orderBy(F.col(order), *[F.col(c) for c in tiebreak])
+    return (
+        join_null_safe(d, offsets, ["_grp", "_bkt"])
+        .withColumn(RN, F.col("_off") + F.row_number().over(local))
+        .drop("_bkt", "_grp", "_off")
+    )
+
+
 def block_of(rn: Column, block_rows: int) -> Column:
     return F.floor((rn - F.lit(1)) / F.lit(block_rows)).cast("long")
 

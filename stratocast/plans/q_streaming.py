@@ -10,14 +10,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..schema import KEY, RAIN_FEATURES, TIME
-from ..session import shared_path, checkpoint
-from ..sources.tables import STANDIN_RAIN_THRESHOLD, clean_table, load
+from ..schema import KEY, TIME
+from ..session import shared_path
+from ..sources.tables import STANDIN_RAIN_THRESHOLD, load
 from ..streaming import ingest
 from . import sqlparts as S
 from .catalog import query, r6
 from .clean import clean_series
-from .features import build_features, drop_incomplete
+from .features import build_features
 
 N_SLICES = 4
 
@@ -108,17 +108,13 @@ def q_str_features(spark, sf_dir):
 
 @query("str_scoring")
 def q_str_scoring(spark, sf_dir):
-    """Fit the rain classifier on the batch history, then score every arriving
+    """Load the rain classifier fitted on the batch history, and score every arriving
     hour with features built from the stored rows they reach."""
-    from ..operators import models, quality, splits
+    from ..operators import models
+    from .q_models import rain_model
 
-    hist = drop_incomplete(
-        build_features(clean_table(spark, sf_dir, keep_index=True), threshold=STANDIN_RAIN_THRESHOLD)
-    ).transform(checkpoint)
-    present = RAIN_FEATURES
-    split = splits.time_split(quality.require_columns(hist, present), (0.8,), ("train", "valid"))
-    train, valid = (split.filter(F.col("split") == s).drop("split") for s in ("train", "valid"))
-    model = models.fit_rain_classifier(train, present, valid=valid)
+    model, threshold, _ = rain_model(spark, sf_dir)
+    present = model.features
 
     obs_dir = shared_path(spark, "obs_stream")
     out_dir = shared_path(spark, "rain_scores")
@@ -131,7 +127,7 @@ def q_str_scoring(spark, sf_dir):
         feats = build_features(merged, threshold=STANDIN_RAIN_THRESHOLD)
         mine = feats.join(batch.select(KEY, TIME), [KEY, TIME], "left_semi").na.drop(subset=present)
         scored = model.score(mine)
-        return models.rain_predictions(scored.select(KEY, TIME, "y_prob"))
+        return models.rain_predictions(scored.select(KEY, TIME, "y_prob"), threshold)
 
     def write(batch, batch_id):
         batch.persist()

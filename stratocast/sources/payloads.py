@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import schema as K
 from ..schema import KEY, TIME
 
 TIME_FMT = "yyyy-MM-dd'T'HH:mm"
@@ -125,19 +126,74 @@ def parse_daily_payloads(payloads: DataFrame) -> DataFrame:
     )
 
 
+# --- model metadata documents -----------------------------------------------------
+
+#: Fields of the classifier's document, in order.
+RAIN_META = """model string, features array<string>, target string, best_threshold double, best_iteration int, train_rows long, test_rows long,
+hyperparameters map<string, double>, cv_results struct<mean_accuracy: double, std_accuracy: double, mean_f1: double, std_f1: double, mean_roc_auc: double, std_roc_auc: double>,
+roc_auc double, avg_precision double, metrics_at_0_5 struct<accuracy: double, f1_score: double>,
+metrics_at_best_threshold struct<threshold: double, accuracy: double, f1_score: double>, feature_importance_gain map<string, double>"""
+#: Fields of the forecaster's document, in order; keys of ``per_step_metrics`` are the steps.
+TEMP_META = """model string, target string, features array<string>, target_idx int, lookback int, forecast_n int, n_features int,
+penalty array<double>, rounds int, train_samples long, val_samples long, test_samples long,
+metrics struct<mae_celsius: double, rmse_celsius: double, r2_score: double>, per_step_metrics map<string, struct<mae: double, rmse: double, r2: double>>, scaler_path string"""
+
+
+def _r4(x):
+    return None if x is None else round(float(x), 4)
+
+
+def rain_meta(spark: SparkSession, model, threshold: float, metrics: dict, cv: dict, gain: dict) -> DataFrame:
+    """The classifier's document: ``metrics`` as its bundle holds them, ``cv`` metric -> (mean, std), ``gain`` per feature."""
+    order = sorted(gain.items(), key=lambda x: -x[1])
+    params = {
+        "n_estimators": K.RAIN_TREES, "max_depth": K.RAIN_DEPTH, "learning_rate": K.RAIN_LEARNING_RATE, "subsample": K.RAIN_SUBSAMPLE,
+        "colsample_bytree": K.RAIN_COLSAMPLE, "random_state": K.RAIN_SEED, "early_stopping_rounds": K.EARLY_STOP_ROUNDS,
+    }
+    row = (
+        "gbt", model.features, "rain_tomorrow", threshold, model.best_iteration, metrics["train_rows"], metrics["test_rows"],
+        {k: float(v) for k, v in params.items()}, tuple(_r4(v) for m in ("accuracy", "f1", "roc_auc") for v in cv[m]),
+        _r4(metrics["roc_auc"]), _r4(metrics["avg_precision"]), tuple(map(_r4, metrics["at_0_5"])),
+        (threshold, *map(_r4, metrics["at_best"])), {k: _r4(v) for k, v in order},
+    )
+    return spark.createDataFrame([row], RAIN_META)
+
+
+def temp_meta(spark: SparkSession, model, metrics: dict, scaler_path: str) -> DataFrame:
+    """The forecaster's document: ``metrics`` as its bundle holds them (steps -> mae, rmse, r2; samples of each part)."""
+    steps = {k: tuple(map(_r4, v)) for k, v in metrics["steps"].items()}
+    row = (
+        "direct_huber", K.FORECAST_TARGET, model.features, model.features.index(K.FORECAST_TARGET), model.lookback, model.horizon, len(model.features),
+        model.penalty, model.rounds, *metrics["samples"], steps["overall"], {k: v for k, v in sorted(steps.items()) if k != "overall"}, scaler_path,
+    )
+    return spark.createDataFrame([row], TEMP_META)
+
+
 def write_meta(df: DataFrame, path: str) -> None:
-    """Metadata sink: a one-row frame written as JSON."""
+    """Metadata sink: a one-row frame written as a JSON document."""
     df.coalesce(1).write.mode("overwrite").json(path)
 
 
-def read_meta(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
-    """Read each model's metadata (multi-line JSON allowed) and combine them,
-    one row per model; a missing file raises."""
+def read_meta(spark: SparkSession, paths: dict[str, str], strict: bool = True) -> DataFrame:
+    """Each model's document (JSON over any number of lines), one row per model: its text, however fields differ
+    between documents.  A missing file raises; one that is no JSON object raises too, or with ``strict`` off gives null."""
     frames = []
     for model, path in paths.items():
-        m = spark.read.option("multiLine", True).json(path)
-        frames.append(m.select(F.lit(model).alias("model"), F.to_json(F.struct("*")).alias("meta")))
+        text = spark.read.text(path, wholetext=True)
+        variant = (F.parse_json if strict else F.try_parse_json)(F.col("value"))
+        frames.append(text.where(F.length(F.trim("value")) > 0).select(F.lit(model).alias("model"), F.to_json(variant).alias("meta")))
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f)
     return out
+
+
+def meta_fields(documents: DataFrame, schema: str, col: str = "meta") -> DataFrame:
+    """Documents as typed columns of ``schema`` (a field that one lacks is null), the fields that the schema does
+    not know as a map of JSON texts (``other``), and what is no document at all in ``corrupt``."""
+    known = F.from_json(F.col(col), f"{schema}, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"})
+    names = [f.name for f in T.StructType.fromDDL(schema).fields]
+    rest = F.map_filter(F.from_json(F.col(col), "map<string, string>"), lambda k, _: ~k.isin(names))
+    d = documents.withColumns({"_known": known, "other": rest})
+    keep = [c for c in documents.columns if c != col]
+    return d.select(*keep, *[F.col("_known")[n].alias(n) for n in names if n not in keep], *[F.col("_known")[n].alias(f"meta_{n}") for n in names if n in keep], "other", F.col("_known._corrupt").alias("corrupt"))

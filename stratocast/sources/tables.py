@@ -131,6 +131,20 @@ def forget_derived() -> None:
     _DERIVED.clear()
 
 
+def derived_path(spark: SparkSession, sf_dir: str, name: str, write) -> str:
+    """Folder in the shared checkpoint folder that ``write(path)`` fills once per
+    (application, input folder, name)."""
+    from ..session import shared_path
+
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    path = _DERIVED.get(key)
+    if path is None:
+        path = shared_path(spark, name)
+        write(path)
+        _DERIVED[key] = path
+    return path
+
+
 def derived(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     """Write ``build()`` once per (application, input folder, name) as Parquet in
     the shared checkpoint folder and read it back.
@@ -139,15 +153,7 @@ def derived(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     written table keeps each branch from re-deriving it from the raw events, and
     the files survive executor loss.
     """
-    from ..session import shared_path
-
-    key = (spark.sparkContext.applicationId, sf_dir, name)
-    path = _DERIVED.get(key)
-    if path is None:
-        path = shared_path(spark, name)
-        build().write.mode("overwrite").parquet(path)
-        _DERIVED[key] = path
-    return spark.read.parquet(path)
+    return spark.read.parquet(derived_path(spark, sf_dir, name, lambda path: build().write.mode("overwrite").parquet(path)))
 
 
 def obs_table(spark: SparkSession, sf_dir: str) -> DataFrame:
