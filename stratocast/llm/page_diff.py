@@ -9,8 +9,9 @@ Differencing alone can't tell a menu that differs from page to page from text,
 nor a paragraph that two articles really share from template.  Where the markup
 says which it is, the markup decides: lines of an article or main element stay,
 lines of navigation, footers, asides, forms, adverts, notices, comments and the
-like go (also without a partner).  If a page has an article, its text is that;
-the alignment decides about all other lines.
+like go (also without a partner).  If a page has an article, its text is that; the
+alignment decides about all other lines, and about those parts of the article that
+only a piece of a class name speaks against (``related-work``, ``share-price``).
 
 On Spark: a first pass parses every page for the hashes of its lines; neighbours
 come from a sorted table of keys alone, and pages exchange hashes, never text; a
@@ -22,7 +23,8 @@ less than keeping or moving the text twice.
 
 Pages of one host with the same html are one page (copies would delete each other).
 Near copies would too: neighbours are near copies if they share ``NEAR_SMALL`` of the
-characters of the smaller page's open lines (those that markup says nothing about) and
+characters of the smaller page's open lines (those that markup says nothing about, or
+the article's where a part of it is in doubt) and
 ``NEAR_LARGE`` of the larger one's.  They are joined to groups, a group is one page in
 the order of paths, and this goes on until no nearest neighbours are near copies; a
 group's pages are compared with the neighbour of the group.  A group without any other
@@ -30,7 +32,9 @@ page on its host is compared with nothing, like a page that is alone there.
 
 Defined cases: null html counts as empty and gives an empty text; pages without a
 URL or host are compared with nothing; repeated rows are each returned; an empty
-table gives an empty result; other columns are ignored.
+table gives an empty result; other columns are ignored.  A very long page is read in
+linear time and aligned in linear memory (time grows with the product of both pages'
+lines where they differ).
 """
 
 from __future__ import annotations
@@ -44,10 +48,12 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from .components import smallest_ids
-from .html_blocks import CHROME, CONTENT, PLAIN, blocks
+from .html_blocks import CHROME, CONTENT, DOUBT, PLAIN, blocks
 from .registry import map_arrow
 
 JOIN = "\n\n"
+#: Entries of a table of common subsequences; beyond it the lines are halved.
+TABLE = 1 << 20
 #: Shares of the characters of open lines by which neighbours are near copies.
 NEAR_SMALL, NEAR_LARGE = 0.9, 0.5
 
@@ -67,20 +73,43 @@ def common_lines(a: list[int], b: list[int]) -> set[int]:
     cols = np.array([x for x in b[head : len(b) - tail] if x in mine], np.int64)
     if not rows:
         return out
-    # lengths of the common subsequence, row by row
-    table = np.zeros((len(rows) + 1, len(cols) + 1), np.int32)
-    for r, i in enumerate(rows, 1):
-        same = table[r - 1, :-1] + (cols == np.int64(a[i]))
-        table[r, 1:] = np.maximum.accumulate(np.maximum(same, table[r - 1, 1:]))
-    r, c = len(rows), len(cols)
-    while r and c:
-        if table[r, c] == table[r - 1, c]:
-            r -= 1
-        elif table[r, c] == table[r, c - 1]:
-            c -= 1
-        else:
-            out.add(rows[r - 1])
-            r, c = r - 1, c - 1
+    out |= {rows[i] for i in _longest(np.array([a[i] for i in rows], np.int64), cols)}
+    return out
+
+
+def _lengths(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Length of the longest common subsequence of a with every prefix of b."""
+    row = np.zeros(len(b) + 1, np.int32)
+    for x in a:
+        row[1:] = np.maximum.accumulate(np.maximum(row[:-1] + (b == x), row[1:]))
+    return row
+
+
+def _longest(a: np.ndarray, b: np.ndarray) -> list[int]:
+    """Places in a of a longest common subsequence with b, by halving a: memory is linear in the lines."""
+    out, todo = [], [(0, len(a), 0, len(b))]
+    while todo:
+        a0, a1, b0, b1 = todo.pop()
+        if a0 == a1 or b0 == b1:
+            continue
+        if (a1 - a0) * (b1 - b0) > TABLE and a1 - a0 > 1:
+            mid = (a0 + a1) // 2
+            at = b0 + int((_lengths(a[a0:mid], b[b0:b1]) + _lengths(a[mid:a1][::-1], b[b0:b1][::-1])[::-1]).argmax())
+            todo += [(a0, mid, b0, at), (mid, a1, at, b1)]
+            continue
+        table = np.zeros((a1 - a0 + 1, b1 - b0 + 1), np.int32)
+        for r in range(1, a1 - a0 + 1):
+            same = table[r - 1, :-1] + (b[b0:b1] == a[a0 + r - 1])
+            table[r, 1:] = np.maximum.accumulate(np.maximum(same, table[r - 1, 1:]))
+        r, c = a1 - a0, b1 - b0
+        while r and c:
+            if table[r, c] == table[r - 1, c]:
+                r -= 1
+            elif table[r, c] == table[r, c - 1]:
+                c -= 1
+            else:
+                out.append(a0 + r - 1)
+                r, c = r - 1, c - 1
     return out
 
 
@@ -99,7 +128,7 @@ def _pages(pages: DataFrame) -> DataFrame:
 
 
 def line_hashes(pages: DataFrame) -> DataFrame:
-    """page, host, path, hashes of its lines, characters of each line if open (else 0; no list for a page with an article)."""
+    """page, host, path, hashes of its lines, characters of each line if open (else 0; no list for a page whose article is in no doubt)."""
 
     def run(batches):
         for batch in batches:
@@ -107,7 +136,9 @@ def line_hashes(pages: DataFrame) -> DataFrame:
             for h in batch.column("html").to_pylist():
                 found = blocks(h)
                 hashes.append([xxhash.xxh64_intdigest(t) - (1 << 63) for t, _ in found])
-                sizes.append([] if any(s == CONTENT for _, s in found) else [len(t) if s == PLAIN else 0 for t, s in found])
+                says = {s for _, s in found}
+                open_ = {CONTENT, DOUBT} if DOUBT in says else set() if CONTENT in says else {PLAIN}
+                sizes.append([len(t) if s in open_ else 0 for t, s in found] if open_ else [])
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in ("page", "host", "path")), pa.array(hashes, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32()))],
                 ["page", "host", "path", "hashes", "sizes"],
@@ -172,7 +203,7 @@ def nearest(keys: DataFrame) -> DataFrame:
 
 
 def near_copies(mine: list[int], my_sizes: list[int], theirs: list[int], their_sizes: list[int]) -> bool:
-    """Whether two pages without an article share nearly all characters of their open lines."""
+    """Whether two pages share nearly all characters of their open lines."""
     a, b = sum(my_sizes), sum(their_sizes)
     if not a or not b:
         return False
@@ -238,8 +269,8 @@ def extract(pages: DataFrame) -> DataFrame:
             text = []
             for data, places in zip(batch.column("packed").to_pylist(), batch.column("shared").to_pylist()):
                 lines, says = unpack(data)
-                template, article = set(places or ()), CONTENT in says
-                keep = [x for i, (x, s) in enumerate(zip(lines, says)) if s == CONTENT or not article and s != CHROME and i not in template]
+                template, article = set(places or ()), CONTENT in says or DOUBT in says
+                keep = [x for i, (x, s) in enumerate(zip(lines, says)) if s == CONTENT or (s == DOUBT or not article and s != CHROME) and i not in template]
                 text.append(JOIN.join(keep))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(text, pa.string()), pa.array([len(x) for x in text], pa.int64())], ["page_id", "url", "text", "n_chars"])
 

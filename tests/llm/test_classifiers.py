@@ -143,6 +143,69 @@ def test_common_lines_is_a_longest_common_subsequence():
         assert all(any(x == y for y in rest) for x in (a[i] for i in got))
 
 
+def test_common_lines_by_halves(monkeypatch):
+    rng = np.random.default_rng(1)
+    cases = [tuple(rng.integers(0, 9, rng.integers(0, 60)).tolist() for _ in range(2)) for _ in range(100)]
+    whole = [len(page_diff.common_lines(a, b)) for a, b in cases]
+    monkeypatch.setattr(page_diff, "TABLE", 4)
+    for (a, b), n in zip(cases, whole):
+        got = sorted(page_diff.common_lines(a, b))
+        rest = iter(b)
+        assert len(got) == n and all(any(x == y for y in rest) for x in (a[i] for i in got))
+
+
+def test_common_lines_of_very_long_pages():
+    from bisect import bisect_left
+
+    n = 30_000
+    a = list(range(n))
+    b = np.random.default_rng(2).permutation(n).tolist()
+    b[: n // 2] = sorted(b[: n // 2])
+    tails = []  # of distinct lines it is a longest increasing subsequence
+    for x in b:
+        k = bisect_left(tails, x)
+        tails[k : k + 1] = [x]
+    assert len(page_diff.common_lines(a, b)) == len(tails)
+
+
+def test_op9_parts_of_an_article_that_are_in_doubt(spark):
+    says = lambda html: {t: s for t, s in html_blocks.blocks(html)}
+    page = "<article><p>Story</p><div class='share-price'>12 EUR</div><section class='related-work'><h2>Related work</h2><p>Others</p></section><div class='recommended-dose'>2 pills</div>"
+    page += "<p>So <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p><div class='share'>Share</div><div class='social-share'>Tweet</div><div class='post related'>More</div><div class='no-comments'>None</div></article>"
+    got = says(page)
+    assert [t for t, s in got.items() if s == html_blocks.DOUBT] == ["12 EUR", "Related work", "Others", "2 pills"]
+    assert [t for t, s in got.items() if s == html_blocks.CONTENT] == ["Story", "So x=1 holds", "None"]
+    assert [t for t, s in got.items() if s == html_blocks.CHROME] == ["Share", "Tweet", "More"]
+
+    def article(i, more=""):
+        return f"<body><nav>Menu</nav><article><p>Story {i} is told here</p><div class='share-price'><p>{i} EUR</p></div>{more}<div class='related-links'><p>Read on</p></div></article></body>"
+
+    pages = [(i, f"http://h.example/n/{i:02}", article(i)) for i in range(9)]
+    pages += [(20 + k, "http://g.example/n/1", article(1, f"<p>{k}</p>")) for k in range(2)]  # near copies and nothing else
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    text = {r["page_id"]: r["text"].split("\n\n") for r in page_diff.extract(df).collect()}
+    assert all(text[i] == [f"Story {i} is told here", f"{i} EUR"] for i in range(9))  # the line that pages share goes
+    assert all(text[20 + k] == ["Story 1 is told here", "1 EUR", str(k), "Read on"] for k in range(2))
+
+
+def test_op9_elements_left_open():
+    import time
+
+    began = time.time()
+    for tag in ("b", "p", "div", "span", "li", "td"):
+        page = f"<{tag}>x " * 100_000
+        assert sum(len(t.split()) for t, _ in html_blocks.blocks(page + "</i>" * 1000)) == 100_000
+    assert "y" in html_blocks.blocks("<b><i>" * 50_000 + "<p>x<p>y" * 20_000)[-1][0]
+    assert time.time() - began < 60
+
+
+def test_op9_very_long_pages(spark):
+    pages = [(i, f"http://h.example/{i}", bare([f"line {k}" if k % 3 else f"own {i} {k}" for k in range(20_000)])) for i in range(2)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"].split("\n\n") for r in page_diff.extract(df).collect()}
+    assert all(got[i] == [f"own {i} {k}" for k in range(0, 20_000, 3)] for i in range(2))
+
+
 def test_op9_empty(spark):
     assert page_diff.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
