@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -69,10 +70,35 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+_GIVEN: list[str] = []
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/stratocast/{name}-{uuid.uuid4().hex[:12]}"
+    _GIVEN.append(f"{base}/stratocast/{name}-{uuid.uuid4().hex[:12]}")
+    return _GIVEN[-1]
+
+
+@contextmanager
+def own_tables(spark: SparkSession, keep: list[str]):
+    """Delete the tables that the library writes within this block when it ends, but those named in
+    ``keep`` by then.  For work whose result is written within the block."""
+    mark = len(_GIVEN)
+    try:
+        yield
+    finally:
+        for path in [p for p in _GIVEN[mark:] if p not in keep]:
+            delete_table(spark, path)
+
+
+def delete_table(spark: SparkSession, path: str) -> None:
+    """Delete a table under ``shared_path`` that is no longer read."""
+    if path not in _GIVEN:
+        raise ValueError(f"{path} is no table of this application")
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _GIVEN.remove(path)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
