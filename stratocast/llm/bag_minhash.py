@@ -256,9 +256,10 @@ def linked_nodes(nodes: DataFrame, bag_of, similarity: float = SIMILARITY, small
     names = linked.select(F.col("id").alias("node"), F.col("component_id").alias("c"))
     own = linked.select(F.col("id").alias("pivot"), F.col("component_id").alias("pc"))
     now = members.where("size > 2").join(names, "node", "left").withColumn("c", F.coalesce("c", "node"))
-    now = now.join(own, "pivot", "left").withColumn("outside", F.col("c") != F.coalesce("pc", "pivot")).drop("pc")
+    now = materialize(now.join(own, "pivot", "left").withColumn("outside", F.col("c") != F.coalesce("pc", "pivot")).drop("pc"), "named-members")
     out_of = now.where("outside").groupBy("key").agg(F.count(F.lit(1)).alias("strangers"), F.sum("n").alias("stranger_units"))
-    now = materialize(now.where("node <> pivot").join(out_of, "key").select("key", "size", "units", "strangers", "stranger_units", "pivot", "node", "n", "c", "outside"), "open-buckets")
+    now = now.join(materialize(out_of, "strangers").hint("merge"), "key")  # two scans, as above
+    now = materialize(now.where("node <> pivot").select("key", "size", "units", "strangers", "stranger_units", "pivot", "node", "n", "c", "outside"), "open-buckets")
     more = []
 
     # small buckets: pairs, each once however many buckets it shares

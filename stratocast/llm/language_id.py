@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .piece_table import mix
 from .pretoken import LETTER, char_classes
-from .registry import id_text, map_arrow
+from .registry import id_text, keep_rows, map_arrow
 
 UNKNOWN = "und"
 #: Buckets of the presence table of each n (n = 1, 2, ...).
@@ -129,25 +129,40 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return fit(np.frombuffer(b"".join(bits), np.uint8).reshape(len(langs), int(_START[-1]) // 8), langs)
 
 
+def tell(texts: list[str], names: list[str], matrix: np.ndarray) -> tuple[list[str], list[float]]:
+    """Language and score of each text."""
+    pred, score = [], []
+    for a in range(0, len(texts), BATCH):
+        part = texts[a : a + BATCH]
+        marks = np.zeros((len(part), int(_START[-1])), np.uint8)
+        known = [presence(t, marks[i]) and bool(names) for i, t in enumerate(part)]
+        f = np.clip(feature_rows(marks) @ matrix, 0, 1) if names else np.zeros((len(part), 1))
+        top = f.argmax(1)
+        share = f.max(1) / np.maximum(f.sum(1), 1e-9)
+        pred += [names[k] if ok else UNKNOWN for k, ok in zip(top.tolist(), known)]
+        score += [float(s) if ok else 0.0 for s, ok in zip(share.tolist(), known)]
+    return pred, score
+
+
+def keep_known(docs: DataFrame, model: tuple[list[str], np.ndarray], least: float) -> DataFrame:
+    """The rows, as they are, of which a learned language is predicted with a score of ``least`` or more."""
+    names, folded = model
+    shared = docs.sparkSession.sparkContext.broadcast(folded)
+
+    def judge(texts):
+        return [p != UNKNOWN and s >= least for p, s in zip(*tell(texts, names, shared.value))]
+
+    return keep_rows(docs, judge)
+
+
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     """Columns: doc_id, held_out, lang_pred, score."""
     names, folded = model
     shared = docs.sparkSession.sparkContext.broadcast(folded)
 
     def run(batches):
-        matrix = shared.value
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            pred, score = [], []
-            for a in range(0, len(texts), BATCH):
-                part = texts[a : a + BATCH]
-                marks = np.zeros((len(part), int(_START[-1])), np.uint8)
-                known = [presence(t, marks[i]) and bool(names) for i, t in enumerate(part)]
-                f = np.clip(feature_rows(marks) @ matrix, 0, 1) if names else np.zeros((len(part), 1))
-                top = f.argmax(1)
-                share = f.max(1) / np.maximum(f.sum(1), 1e-9)
-                pred += [names[k] if ok else UNKNOWN for k, ok in zip(top.tolist(), known)]
-                score += [float(s) if ok else 0.0 for s, ok in zip(share.tolist(), known)]
+            pred, score = tell(batch.column("text").to_pylist(), names, shared.value)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     out = map_arrow(id_text(docs), run, "doc_id long, lang_pred string, score double")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .language_id import held_out
-from .registry import id_text, map_arrow
+from .registry import id_text, keep_rows, map_arrow
 
 WIDTH, STRIDE, POOL = 16, 8, 64
 EMBED, FILTERS = 6, 32
@@ -170,15 +170,24 @@ def learn(docs: DataFrame, labels: DataFrame) -> Network | None:
     return net
 
 
+def judged(texts: list[str], net: Network | None) -> np.ndarray:
+    """Score of each text; 0.5 without a network."""
+    return np.full(len(texts), 0.5) if net is None or not texts else net.scores([t.encode() for t in texts])
+
+
+def keep_good(docs: DataFrame, net: Network | None, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows, as they are, that are predicted to be of label 1."""
+    shared = docs.sparkSession.sparkContext.broadcast(net)
+    return keep_rows(docs, lambda texts: (judged(texts, shared.value) >= threshold).tolist())
+
+
 def predict(docs: DataFrame, net: Network | None, threshold: float = THRESHOLD) -> DataFrame:
     """Columns: doc_id, held_out, score, predicted."""
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches):
-        model = shared.value
         for batch in batches:
-            texts = [x.encode() for x in batch.column("text").to_pylist()]
-            s = np.full(len(texts), 0.5) if model is None or not texts else model.scores(texts)
+            s = judged(batch.column("text").to_pylist(), shared.value)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     out = map_arrow(id_text(docs), run, "doc_id long, score double, predicted int")

@@ -82,6 +82,19 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(fn, schema)
 
 
+def keep_rows(docs: DataFrame, judge: Callable[[list[str]], list[bool]], text_col: str = "text") -> DataFrame:
+    """Rows whose text (null: empty) the judge keeps, columns as they are: one map, nothing is shuffled or joined."""
+    ship(docs.sparkSession)
+    bound_batches(docs.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            texts = [t or "" for t in batch.column(text_col).to_pylist()]
+            yield batch.filter(pa.array(judge(texts), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def text_chunks(texts: list[str], limit: int) -> Iterator[tuple[int, int]]:
     """Index ranges [a, b) over texts of at most ``limit`` characters each (a longer text stands alone)."""
     a, size = 0, 0

@@ -6,6 +6,7 @@ import subprocess
 import sys
 from collections import Counter
 
+import numpy as np
 import public_tokenizers as P
 from tokenizers import Tokenizer
 
@@ -95,11 +96,21 @@ def test_filters_judge_each_row(spark, make_docs, monkeypatch):
     assert _left(corpus_pipeline.identify_language, spark, make_docs(rows + extra, langs)) == Counter(rows + [extra[1], extra[3]])
 
     monkeypatch.setattr(corpus_pipeline.quality_cnn, "learn", lambda docs, labels: None)
-    monkeypatch.setattr(corpus_pipeline.quality_cnn, "predict", lambda docs, net: docs.selectExpr("doc_id", "cast(text like 'good%' as int) AS predicted"))
+    monkeypatch.setattr(corpus_pipeline.quality_cnn, "judged", lambda texts, net: np.array([float(t.startswith("good")) for t in texts]))
     rows = [(1, "good"), (1, "bad"), (None, "good too"), (None, "bad too"), (2, "good"), (2, "good")]
     assert _left(corpus_pipeline.keep_quality, spark, make_docs(rows)) == Counter(r for r in rows if r[1].startswith("good"))
 
 
+def test_run_leaves_no_table_of_its_stages(spark):
+    from stratocast import session
+
+    before = set(session._GIVEN)
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001").count()
+    left = [p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in session._GIVEN if p not in before]
+    assert out and [x for x in left if x.startswith("pipeline")] == ["pipeline-near_dedup"]
+    assert not {"signatures", "dropped-rows", "fingerprint-blocks", "rows"} & set(left)
+
+
 def test_entry_without_this_subpackage(tmp_path):
     root = os.path.dirname(os.path.abspath(corpus_pipeline.__file__))
     shutil.copytree(os.path.join(root, "stratocast"), tmp_path / "stratocast", ignore=shutil.ignore_patterns("llm", "__pycache__"))
