@@ -11,9 +11,10 @@ kept:
 4. near dedup: of each class of near-duplicates the row with the smallest doc_id stays;
 5. packing of what is left into sequences: one row per piece.
 
-Rows are told apart by their place in the stage's written input, not by doc_id: a
-repeated row is a copy like any other, texts under one doc_id are judged each by
-itself, and rows without a doc_id stay like others.  Of rows that a dedup stage
+The first two are filters: one map over the rows, in which each is judged by its text,
+and nothing is shuffled but what the classifiers learn from.  The dedup stages tell rows
+apart by their place in the stage's written input, not by doc_id: a repeated row is a
+copy like any other, and rows without a doc_id stay like others.  Of rows that a stage
 chooses between, one without a doc_id stays only if none has one; equal doc_ids are
 told apart by the key.
 """
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from stratocast.llm import bag_minhash, exact_dedup, language_id, packing, quality_cnn
 from stratocast.llm.registry import ship
-from stratocast.session import materialize
+from stratocast.session import delete_table, materialize, own_tables, shared_path
 from stratocast.sources.tables import load
 
 #: Shares of the kernel score below which no language is believed.
@@ -56,43 +57,40 @@ def _by_row(keyed: DataFrame) -> DataFrame:
     return keyed.select(F.col(ROW).alias("doc_id"), "text")
 
 
-def _keep(keyed: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Rows whose key is among the chosen (doc_id of an operator that saw ``_by_row``), without the key."""
-    rows = chosen.select(F.col("doc_id").alias("_chosen"))
-    return keyed.join(rows, keyed[ROW] == rows["_chosen"], "left_semi").drop(ROW)
-
-
-def _first_of_each(keyed: DataFrame, grouped: DataFrame, group: str, order: list) -> DataFrame:
-    """doc_id (the key) of the first row, in this order, of every group of rows."""
+def _dropped(keyed: DataFrame, grouped: DataFrame, group: str, order: list) -> DataFrame:
+    """Keys of all rows but the first, in this order, of every group of rows (doc_id of ``grouped`` is the key)."""
     ids = keyed.select(ROW, F.col("doc_id").alias("_id"))
     named = grouped.select(F.col("doc_id").alias(ROW), F.col(group).alias("_group")).join(ids, ROW)
-    return named.groupBy("_group").agg(F.min_by(ROW, F.struct(*order, F.col(ROW))).alias("doc_id"))
+    first = named.groupBy("_group").agg(F.min_by(ROW, F.struct(*order, F.col(ROW))).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    return named.join(first, "_group").where(F.col(ROW) != F.col("_first")).select(ROW)
+
+
+def _without(keyed: DataFrame, dropped: DataFrame) -> DataFrame:
+    """Rows whose key is not among the dropped, without the key.  What is dropped is the smaller list; it is
+    written first, so that the join is planned by its size."""
+    return keyed.join(materialize(dropped, "dropped-rows"), ROW, "left_anti").drop(ROW)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    keyed = _keyed(docs)
-    found = language_id.predict(_by_row(keyed), language_id.learn(keyed))
-    return _keep(keyed, found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LANGUAGE_SCORE)))
+    return language_id.keep_known(docs, language_id.learn(docs), LANGUAGE_SCORE)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    keyed = _keyed(docs)
-    found = quality_cnn.predict(_by_row(keyed), quality_cnn.learn(keyed, load(spark, sf_dir, "labels")))
-    return _keep(keyed, found.where("predicted = 1"))
+    return quality_cnn.keep_good(docs, quality_cnn.learn(docs, load(spark, sf_dir, "labels")))
 
 
 def drop_exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     keyed = _keyed(docs)
     found = exact_dedup.exact_duplicates(_by_row(keyed))
     largest = [F.col("_id").isNull(), -F.col("_id").cast("decimal(20,0)")]
-    return _keep(keyed, _first_of_each(keyed, found, "keep_id", largest))
+    return _without(keyed, _dropped(keyed, found, "keep_id", largest))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     keyed = _keyed(docs)
     found = bag_minhash.near_duplicates(_by_row(keyed))
     smallest = [F.col("_id").isNull(), F.col("_id")]
-    return _keep(keyed, _first_of_each(keyed, found, "class_id", smallest))
+    return _without(keyed, _dropped(keyed, found, "class_id", smallest))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -111,8 +109,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages.  Once a stage's rows are written, the tables it worked with go, and those it read."""
     ship(spark)
-    docs = load(spark, sf_dir, "documents")
+    docs, last = load(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        path = shared_path(spark, f"pipeline-{name}")
+        with own_tables(spark, []):
+            stage(spark, docs, sf_dir).write.mode("overwrite").parquet(path)
+        if last is not None:
+            delete_table(spark, last)
+        docs, last = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
