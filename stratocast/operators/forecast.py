@@ -16,11 +16,13 @@ the validation samples.
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -277,3 +279,7 @@ def newest_windows(df: DataFrame, features: Sequence[str] = K.FORECAST_FEATURES,
     # at most `lookback` rows a location
     held = tail.groupBy(KEY).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
     return held.select(KEY, F.element_at("_rows", -1)[TIME].alias(TIME), F.transform("_rows", lambda r: r["v"]).alias("x"))
+
+
+# what workers run here they get with the task: they need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

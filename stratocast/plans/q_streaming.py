@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from ..schema import KEY, TIME
 from ..session import shared_path
-from ..sources.tables import STANDIN_RAIN_THRESHOLD, load
-from ..streaming import ingest
+from ..sources.tables import STANDIN_RAIN_THRESHOLD, load, obs_hourly
+from ..streaming import ingest, state, store
 from . import sqlparts as S
 from .catalog import query, r6
 from .clean import clean_series
@@ -66,10 +66,18 @@ _VALUES = ["temperature", "precipitation", "humidity", "surface_pressure", "wind
     + ", n FROM obs",
 )
 def q_str_ingest(spark, sf_dir):
-    sink = shared_path(spark, "obs_stream")
+    root = shared_path(spark, "obs_store")
     ckpt = shared_path(spark, "ckpt_ingest")
-    replay(spark, sf_dir, lambda src, schema: ingest.run_ingest(spark, src, sink, ckpt, schema, skip_empty_batches=True))
-    out = ingest.latest(spark, sink, [KEY, TIME])
+
+    def run_once(src, schema):
+        ingest.run_ingest(spark, src, store.log_of(root), ckpt, schema, skip_empty_batches=True)
+        store.compact(spark, root, [KEY, TIME])
+        store.vacuum(spark, root)
+
+    replay(spark, sf_dir, run_once)
+    out = store.read_latest(spark, root, [KEY, TIME])
+    if out is None:  # no events
+        out = obs_hourly(load(spark, sf_dir, "events"))
     return out.select(KEY, TIME, *[r6(F.col(c)).alias(c) for c in _VALUES], "n")
 
 
@@ -91,14 +99,7 @@ SELECT location_id, valid_time, n_rows, round(temp_now, 6) AS temp_now, round(v1
     + " AS temp_rolling_6 FROM a",
 )
 def q_str_features(spark, sf_dir):
-    obs_dir = shared_path(spark, "obs_stream")
-    out_dir = shared_path(spark, "live_features")
-    ckpt = shared_path(spark, "ckpt_features")
-    replay(
-        spark,
-        sf_dir,
-        lambda src, schema: ingest.run_features(spark, obs_dir, out_dir, ckpt, src, schema, skip_empty_batches=True),
-    )
+    out_dir = follow(spark, sf_dir, "live_features", ["temperature"], lambda out: state.feature_writer(out))
     f = ingest.latest(spark, out_dir, [KEY])
     return f.select(
         KEY, TIME, "n_rows", r6(F.col("temp_now")).alias("temp_now"), r6(F.col("temp_lag_1")).alias("temp_lag_1"),
@@ -106,45 +107,35 @@ def q_str_features(spark, sf_dir):
     )
 
 
+def follow(spark, sf_dir, name, values, writer):
+    """Replay the events through the ingest and, after each slice, a query that follows its log into ``writer(folder)``."""
+    root, out_dir = shared_path(spark, "obs_store"), shared_path(spark, name)
+    first, second = shared_path(spark, "ckpt_ingest"), shared_path(spark, f"ckpt_{name}")
+    obs = obs_hourly(load(spark, sf_dir, "events")).schema
+
+    def run_once(src, schema):
+        ingest.run_ingest(spark, src, store.log_of(root), first, schema, skip_empty_batches=True)
+        state.follow_store(spark, store.log_of(root), obs, second, writer(out_dir), values)
+
+    replay(spark, sf_dir, run_once)
+    return out_dir
+
+
 @query("str_scoring")
 def q_str_scoring(spark, sf_dir):
     """Load the rain classifier fitted on the batch history, and score every arriving
-    hour with features built from the stored rows they reach."""
+    hour with features built from the rows kept in state for its location."""
     from ..operators import models
     from .q_models import rain_model
 
     model, threshold, _ = rain_model(spark, sf_dir)
     present = model.features
 
-    obs_dir = shared_path(spark, "obs_stream")
-    out_dir = shared_path(spark, "rain_scores")
-    ckpt = shared_path(spark, "ckpt_scoring")
-
-    def score(batch):
+    def score(rows):
         # cleaned as the training rows were; rows without 24 rows of history or
         # with an unknown value are not scored
-        merged = clean_series(ingest.halo_rows(batch, obs_dir).drop("n"))
-        feats = build_features(merged, threshold=STANDIN_RAIN_THRESHOLD)
-        mine = feats.join(batch.select(KEY, TIME), [KEY, TIME], "left_semi").na.drop(subset=present)
-        scored = model.score(mine)
-        return models.rain_predictions(scored.select(KEY, TIME, "y_prob"), threshold)
-
-    def write(batch, batch_id):
-        batch.persist()
-        # a no-data batch (watermark advance only) has nothing to store or score
-        if not batch.isEmpty():
-            ingest.versioned_writer(obs_dir)(batch, batch_id)
-            ingest.scoring_writer(score, out_dir)(batch, batch_id)
-        batch.unpersist()
+        feats = build_features(clean_series(rows), threshold=STANDIN_RAIN_THRESHOLD).na.drop(subset=present)
+        return models.rain_predictions(model.score(feats).select(KEY, TIME, "y_prob"), threshold)
 
-    def run_once(src, schema):
-        writer = (
-            ingest.observation_stream(ingest.file_stream(spark, src, schema))
-            .writeStream.outputMode("update")
-            .foreachBatch(write)
-            .option("checkpointLocation", ckpt)
-        )
-        ingest.start_available_now(spark, writer, skip_empty_batches=True)
-
-    replay(spark, sf_dir, run_once)
+    out_dir = follow(spark, sf_dir, "rain_scores", _VALUES, lambda out: state.scoring_writer(score, out))
     return ingest.latest(spark, out_dir, [KEY, TIME])

@@ -122,24 +122,30 @@ def test_features_of_a_range_equal_those_of_the_series(spark, sf):
 
 
 def test_a_broken_store_is_an_error(spark, tmp_path):
-    from stratocast.streaming import ingest
+    from stratocast.streaming import store
 
-    batch = hours(spark, [(1, 5, 1.0, 0.0)])
-    assert ingest.halo_rows(batch, f"file://{tmp_path}/none").count() == 1
-    broken = tmp_path / "store" / "obs_day=2024-01-01" / "batch_id=0"
+    assert store.read_latest(spark, f"file://{tmp_path}/none", ["location_id", "valid_time"]) is None
+    broken = tmp_path / "store" / "log" / "obs_day=2024-01-01" / "batch_id=0"
     broken.mkdir(parents=True)
     (broken / "part-0.parquet").write_bytes(b"not parquet at all")
     with pytest.raises(Exception):
-        ingest.halo_rows(batch, f"file://{tmp_path}/store").count()
+        store.read_latest(spark, f"file://{tmp_path}/store", ["location_id", "valid_time"]).count()
 
 
 def test_history_is_counted_in_rows_across_gaps(spark, tmp_path):
-    from stratocast.streaming import ingest
+    from stratocast.streaming import ingest, state
 
-    path = f"file://{tmp_path}/obs"
+    path, got = f"file://{tmp_path}/obs", {}
     old = hours(spark, [(1, 24 * d, float(d), 0.0) for d in range(40)] + [(2, 0, 7.0, 0.0)])
+
+    def follow():
+        state.follow_store(spark, path, old.schema, f"file://{tmp_path}/ckpt", lambda rows, n: got.update({n: rows.collect()}), ["temperature"])
+
     ingest.versioned_writer(path)(old, 0)
-    batch = hours(spark, [(1, 24 * 40, 40.0, 0.0), (2, 24 * 40, 8.0, 0.0)])
-    out = ingest.halo_rows(batch, path)
-    assert sorted(r.temperature for r in out.filter("location_id = 1").collect()) == [float(d) for d in range(15, 41)]
-    assert sorted(r.temperature for r in out.filter("location_id = 2").collect()) == [7.0, 8.0]
+    follow()
+    ingest.versioned_writer(path)(hours(spark, [(1, 24 * 40, 40.0, 0.0), (2, 24 * 40, 8.0, 0.0)]), 1)
+    follow()
+    rows = got[max(got)]
+    assert sorted(r.temperature for r in rows if r.location_id == 1)[-26:] == [float(d) for d in range(15, 41)]
+    assert sorted(r.temperature for r in rows if r.location_id == 2) == [7.0, 8.0]
+    assert {(r.location_id, r.n_rows) for r in rows} == {(1, 41), (2, 2)} and [r.temperature for r in rows if r.touched and r.location_id == 1] == [40.0]
