@@ -12,9 +12,24 @@ from . import windows
 from .series import join_null_safe
 
 
-def merge_variables(instant: DataFrame, accumulated: DataFrame, on=(TIME, "latitude", "longitude")) -> DataFrame:
-    """Attach accumulated variables to instantaneous rows by key (not by position)."""
-    return instant.join(accumulated, list(on), "inner")
+def merge_variables(instant: DataFrame, accumulated: DataFrame, on=(TIME, "latitude", "longitude"), repeated: str = "error") -> DataFrame:
+    """Attach accumulated variables to instantaneous rows by key (not by position): one row per
+    instantaneous row that has a partner.
+
+    An accumulated key that stands more than once would multiply rows.  ``repeated='error'``
+    fails the job at the first such key, ``'first'`` takes its first row in input order and
+    ``'all'`` joins each.  Either way a key's rows are combined map-side before the join."""
+    if repeated == "all":
+        return instant.join(accumulated, list(on), "inner")
+    if repeated == "first":
+        return instant.join(windows.dedup_first(accumulated, list(on), []), list(on), "inner")
+    if repeated != "error":
+        raise ValueError("repeated must be 'error', 'first' or 'all'")
+    rest = [c for c in accumulated.columns if c not in on]
+    one = accumulated.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct(*rest)).alias("_v"))
+    key = F.concat_ws(", ", *[F.col(c).cast("string") for c in on])
+    told = F.when(F.col("_n") == 1, F.col("_v")).otherwise(F.raise_error(F.concat(F.lit("accumulated key stands more than once: "), key)))
+    return instant.join(one.withColumn("_v", told).select(*on, *[F.col("_v")[c].alias(c) for c in rest]), list(on), "inner")
 
 
 def weather_codes(spark: SparkSession) -> DataFrame:

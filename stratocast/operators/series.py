@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..schema import KEY, TIME
+from ..session import checkpoint
 
 RN = "_rn"
 BLOCK = "_blk"
@@ -146,6 +147,75 @@ def framed(
     )
 
 
+_EPOCH = "1970-01-01"
+HOUR = 3_600_000_000
+
+
+def micros(order: str = TIME) -> Column:
+    """A wall-clock time as microseconds, for range frames."""
+    return F.timestamp_diff("MICROSECOND", F.lit(_EPOCH).cast("timestamp_ntz"), F.col(order))
+
+
+def framed_time(
+    df: DataFrame,
+    build: Callable[[WindowSpec], list[Column]],
+    back_hours: int,
+    fwd_hours: int,
+    keys: Sequence[str] | str = (KEY,),
+    order: str = TIME,
+    block_hours: int = 10_000,
+) -> DataFrame:
+    """Add the window columns ``build(w)`` computed over ranges of time: ``w`` is ordered by
+    microseconds (``HOUR`` of them an hour) and partitioned by (keys, block of time).
+
+    No rows are numbered: blocks follow from the time alone, rows within ``back_hours``
+    of a block's start (``fwd_hours`` of its end) are copied into it as halo and dropped
+    afterwards.  Rows without a time only see each other."""
+    if not (0 <= back_hours <= block_hours and 0 <= fwd_hours <= block_hours):
+        raise ValueError("halo wider than a block")
+    ks, at, size = _keys(keys), "_micros", block_hours * HOUR
+    d = df.withColumn(at, micros(order))
+    t = F.col(at)
+    blk = F.coalesce(F.floor(t / F.lit(size)), F.lit(-(1 << 40))).cast("long")
+    place = F.pmod(t, F.lit(size))
+    targets = [blk]
+    if back_hours:
+        targets.append(F.when(place >= F.lit(size - back_hours * HOUR), blk + F.lit(1)))
+    if fwd_hours:
+        targets.append(F.when(place < F.lit(fwd_hours * HOUR), blk - F.lit(1)))
+    spread = d.select("*", F.explode(F.filter(F.array(*targets), lambda x: x.isNotNull())).alias(BLOCK)).withColumn("_core", F.col(BLOCK) == blk)
+    w = Window.partitionBy(*ks, BLOCK).orderBy(at)
+    return spread.select(*df.columns, "_core", *build(w)).filter(F.col("_core")).drop("_core")
+
+
+#: Days of kept rows, times keys, up to which their table is broadcast (some 32 bytes each).
+KEPT_DAYS = 1_000_000
+
+
+def newest_days(df: DataFrame, n: int, keys: Sequence[str] | str = (KEY,), order: str = TIME) -> DataFrame:
+    """The days that hold the newest ``n`` rows of each key: keys, ``_day``, its rows ``_c``, all rows of the key
+    ``_cnt`` and those on newer days ``_newer``; from the key and time columns alone."""
+    ks = _keys(keys)
+    per_day = df.groupBy(*ks, F.to_date(F.col(order)).alias("_day")).agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy(*ks)
+    newer = F.coalesce(F.sum("_c").over(w.orderBy(F.col("_day").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return per_day.select("*", F.sum("_c").over(w).alias("_cnt"), newer.alias("_newer")).filter(F.col("_newer") < n)
+
+
+def newest_rows(df: DataFrame, n: int, keys: Sequence[str] | str = (KEY,), order: str = TIME) -> DataFrame:
+    """The newest ``n`` rows of each key, with ``_cnt``, the rows it has in all, and ``_back``, 0 for the newest.
+
+    Rows are counted per (key, day) first; rows of days that can't hold a key's newest
+    ``n`` go before anything is shuffled (while the table of days is small enough to
+    broadcast, which is checked; beyond that in the join)."""
+    ks = _keys(keys)
+    days = checkpoint(newest_days(df, n, keys, order).drop("_c"))
+    small = days.count() <= KEPT_DAYS
+    rows = join_null_safe(df.withColumn("_day", F.to_date(F.col(order))), F.broadcast(days) if small else days, [*ks, "_day"])
+    back = F.col("_newer") + F.row_number().over(Window.partitionBy(*ks, "_day").orderBy(F.col(order).desc_nulls_last())) - 1
+    return rows.withColumn("_back", back).filter(F.col("_back") < n).drop("_day", "_newer")
+
+
 def carry_nearest(
     df: DataFrame,
     cols: Sequence[str],

@@ -105,6 +105,44 @@ def add_time_lags(df, col="temperature", hours=LAG_HOURS):
     return out
 
 
+def add_time_features(
+    df,
+    col="temperature",
+    rain="precipitation",
+    lags=LAG_HOURS,
+    window=ROLLING_WINDOW,
+    digits=4,
+    threshold=RAIN_THRESHOLD_MM,
+    lookahead=RAIN_LOOKAHEAD_H,
+    tail="zero",
+    block_hours=10_000,
+):
+    """Lags, rolling mean and forward label by *time*, in one pass: the value exactly ``n`` hours
+    earlier (null when that hour is missing), the mean of the last ``window`` hours and the sum of
+    the next ``lookahead`` hours (unknown unless every one of those hours has a value).
+
+    Where rows follow each other hour by hour this equals the row mode."""
+    h = series.HOUR
+    prefix = "temp" if col == "temperature" else col
+
+    def build(w: WindowSpec) -> list[Column]:
+        value, amount = nan_to_null(F.col(col)), nan_to_null(F.col(rain))
+        past, ahead = w.rangeBetween(-(window - 1) * h, 0), w.rangeBetween(1, lookahead * h)
+        mean = F.when(F.count(value).over(past) == window, F.avg(value).over(past))
+        total = F.when(F.count(amount).over(ahead) == lookahead, F.sum(amount).over(ahead) > F.lit(float(threshold)))
+        if tail == "zero":
+            total = F.coalesce(total, F.lit(False))
+        elif tail != "null":
+            raise ValueError("tail must be 'zero' or 'null'")
+        return [
+            *[F.max(value).over(w.rangeBetween(-n * h, -n * h)).alias(f"{prefix}_lag_{n}h") for n in lags],
+            (mean if digits is None else F.bround(mean, digits)).alias(f"{prefix}_rolling_{window}h"),
+            total.cast("int").alias("rain_tomorrow"),
+        ]
+
+    return series.framed_time(df, build, max([*lags, window]), lookahead, block_hours=block_hours)
+
+
 def add_rolling_mean(df, col="temperature", window=ROLLING_WINDOW, digits=4, block_rows=DEFAULT_BLOCK_ROWS):
     d = ensure_index(df)
     return series.framed(
@@ -263,12 +301,9 @@ def sequences(
 def latest_features(df: DataFrame, col: str = "temperature") -> DataFrame:
     """Per location, features of the newest row from the rows before it:
     value 1 and 24 rows back, mean of the 6 rows before (shorter histories fall
-    back as the live service does).  Only the newest 25 rows of each location
-    are read after a cheap filter on the row index."""
-    d = series.index_rows(df.drop(RN) if RN in df.columns else df)
-    cnt = d.groupBy(KEY).agg(F.max(RN).alias("_cnt"))
-    tail = series.join_null_safe(d, cnt, [KEY]).withColumn("_back", F.col("_cnt") - F.col(RN))  # 0 = newest
-    tail = tail.filter(F.col("_back") <= 24)
+    back as the live service does).  Rows are read on the days that hold the
+    newest 25 of each location (``series.newest_rows``)."""
+    tail = series.newest_rows(df.drop(RN) if RN in df.columns else df, 25)
     b = F.col("_back")
     v = F.col(col)
     agg = tail.groupBy(KEY).agg(
@@ -296,13 +331,9 @@ def latest_features(df: DataFrame, col: str = "temperature") -> DataFrame:
 
 
 def last_n_rows(df: DataFrame, n: int = 24) -> DataFrame:
-    """Keep the newest ``n`` rows of each location.
+    """Keep the newest ``n`` rows of each location, numbered (``_rn``) by their place in all its rows.
 
-    The rows present are numbered afresh (an index carried from an earlier
-    stage may have gaps where rows were filtered out), so the newest ``n`` are
-    exactly those with ``_rn > count - n``: a filter after a per-location count,
-    with no window over a location's history.
-    """
-    d = series.index_rows(df.drop(RN) if RN in df.columns else df)
-    cnt = d.groupBy(KEY).agg(F.max(RN).alias("_cnt"))
-    return series.join_null_safe(d, cnt, [KEY]).filter(F.col(RN) > F.col("_cnt") - F.lit(n)).drop("_cnt")
+    An index carried from an earlier stage may have gaps where rows were filtered
+    out, so rows are counted afresh - per day, which also tells the days to read."""
+    tail = series.newest_rows(df.drop(RN) if RN in df.columns else df, n)
+    return tail.withColumn(RN, F.col("_cnt") - F.col("_back")).drop("_cnt", "_back")

@@ -26,7 +26,7 @@ def location_from_grid(df: DataFrame) -> DataFrame:
 
 def clean_raw(raw: DataFrame, block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
     """Full cleaning of raw reanalysis rows (any header case / spacing)."""
-    d = quality.normalise_headers(raw)
+    d = quality.nulls_for_nan(quality.normalise_headers(raw))
     d = quality.rename_known(d)
     d = quality.parse_datetime(d)
     d = quality.convert_units(d)

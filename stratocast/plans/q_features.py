@@ -183,6 +183,25 @@ def q_wn_sequences(spark, sf_dir):
     )
 
 
+@query(
+    "wn_time_features",
+    S.with_(S.OBS)
+    + f"""SELECT location_id, valid_time,
+       max(temperature) OVER (w RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND INTERVAL 1 HOUR PRECEDING) AS temp_lag_1h,
+       max(temperature) OVER (w RANGE BETWEEN INTERVAL 24 HOURS PRECEDING AND INTERVAL 24 HOURS PRECEDING) AS temp_lag_24h,
+       CASE WHEN count(temperature) OVER w6 = 6 THEN {S.bround("avg(temperature) OVER w6", 4)} END AS temp_rolling_6h,
+       CAST(coalesce(CASE WHEN count(precipitation) OVER wf = 24 THEN sum(precipitation) OVER wf > 48.0 END, false) AS INTEGER) AS rain_tomorrow
+FROM obs
+WINDOW w AS (PARTITION BY location_id ORDER BY valid_time),
+       w6 AS (PARTITION BY location_id ORDER BY valid_time RANGE BETWEEN INTERVAL 5 HOURS PRECEDING AND CURRENT ROW),
+       wf AS (PARTITION BY location_id ORDER BY valid_time RANGE BETWEEN INTERVAL 1 HOUR FOLLOWING AND INTERVAL 24 HOURS FOLLOWING)""",
+)
+def q_wn_time_features(spark, sf_dir):
+    """Features by time on a series with gaps (not filled in)."""
+    out = windows.add_time_features(obs_table(spark, sf_dir), threshold=STANDIN_RAIN_THRESHOLD)
+    return out.select(KEY, TIME, "temp_lag_1h", "temp_lag_24h", "temp_rolling_6h", "rain_tomorrow")
+
+
 @query(
     "wn_latest_features",
     S.with_(S.OBS, S.CLEAN)

@@ -22,7 +22,22 @@ def q_jn_variables(spark, sf_dir):
     r = raw_grid(load(spark, sf_dir, "events"))
     instant = r.select("event_id", TIME, "latitude", "longitude", "t2m", "sp")
     accumulated = r.select(TIME, "latitude", "longitude", "tp")
-    return joins.merge_variables(instant, accumulated)
+    # users of one grid cell share a key and an hour: every row of theirs
+    return joins.merge_variables(instant, accumulated, repeated="all")
+
+
+@query(
+    "jn_variables_hourly",
+    S.with_(S.RAW)
+    + """SELECT a.event_id, a.valid_time, a.latitude, a.longitude, a.t2m, a.sp, b.tp
+FROM raw a JOIN (SELECT valid_time, latitude, longitude, sum(tp) AS tp FROM raw GROUP BY 1, 2, 3) b
+  ON a.valid_time = b.valid_time AND a.latitude = b.latitude AND a.longitude = b.longitude""",
+)
+def q_jn_variables_hourly(spark, sf_dir):
+    """One accumulated row per key: each instantaneous row once, a repeated key fails the job."""
+    r = raw_grid(load(spark, sf_dir, "events"))
+    accumulated = r.groupBy(TIME, "latitude", "longitude").agg(F.sum("tp").alias("tp"))
+    return joins.merge_variables(r.select("event_id", TIME, "latitude", "longitude", "t2m", "sp"), accumulated)
 
 
 @query(

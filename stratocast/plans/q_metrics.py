@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..operators import metrics as M
 from ..operators import scaling, series, splits, windows
-from ..operators.series import RN
 from ..schema import FORECAST_FEATURES, KEY, TIME
 from ..sources.tables import STANDIN_RAIN_THRESHOLD, clean_table, load, scored_labels
 from . import sqlparts as S
@@ -62,16 +61,19 @@ SELECT location_id, valid_time,
 FROM s WHERE i >= 0 AND i < ns""",
 )
 def q_ml_split_70_15_15(spark, sf_dir):
-    k = series.index_rows(kept_features(spark, sf_dir).select(KEY, TIME))
-    n = k.groupBy(KEY).agg(F.max(RN).alias("_n"))
-    s = k.join(n, KEY).select(KEY, TIME, (F.col(RN) - 24).alias("i"), (F.col("_n") - 28).alias("ns"))
-    s = s.filter((F.col("i") >= 0) & (F.col("i") < F.col("ns")))
-    split = (
-        F.when(F.col("i") < F.floor(F.col("ns") * 0.7), "train")
-        .when(F.col("i") < F.floor(F.col("ns") * 0.85), "val")
-        .otherwise("test")
-    )
-    return s.select(KEY, TIME, split.alias("split"))
+    return splits.sequence_split(kept_features(spark, sf_dir).select(KEY, TIME), 24, 5).select(KEY, TIME, "split")
+
+
+@query(
+    "ml_split_global",
+    CLEAN
+    + """SELECT location_id, valid_time,
+       CASE WHEN row_number() OVER (ORDER BY valid_time, location_id) <= floor(count(*) OVER () * 0.8::DOUBLE) THEN 'train' ELSE 'test' END AS split
+FROM clean""",
+)
+def q_ml_split_global(spark, sf_dir):
+    """One time order over all locations, as a single series has it."""
+    return splits.time_split(clean(spark, sf_dir), (0.8,), ("train", "test"), keys=()).select(KEY, TIME, "split")
 
 
 @query(

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import schema as K
 from ..schema import KEY, TIME
 from ..session import shared_path
 from ..sources import files, payloads
@@ -106,6 +107,27 @@ def q_src_daily_payload(spark, sf_dir):
     return out.withColumn("day", F.col("day").cast("timestamp_ntz"))
 
 
+def _live_sql():
+    clouds = ", ".join(f"{S.bround(f'{c} * 100 / 100', 4)} AS {c}" for c in payloads.CLOUDS.values())
+    dew = "(humidity / 10)"
+    rh = f"100.0::DOUBLE * exp({K.MAGNUS_A}::DOUBLE * {dew} / ({K.MAGNUS_B}::DOUBLE + {dew})) / exp({K.MAGNUS_A}::DOUBLE * temperature / ({K.MAGNUS_B}::DOUBLE + temperature))"
+    return S.with_(S.OBS) + f""", d AS (SELECT *, CAST(valid_time AS DATE) AS day FROM obs),
+k AS (SELECT *, row_number() OVER (PARTITION BY location_id, day ORDER BY valid_time DESC) AS back,
+             min(temperature) OVER w AS temp_min, max(temperature) OVER w AS temp_max,
+             CAST(count(humidity) OVER w AS INTEGER) AS hours FROM d WINDOW w AS (PARTITION BY location_id, day))
+SELECT location_id, valid_time, temperature, surface_pressure, CASE WHEN precipitation > 0 THEN precipitation ELSE 0 END AS precipitation,
+       wind_speed, {clouds}, {S.bround(rh, 2)} AS humidity, temp_min, temp_max, hours FROM k WHERE back = 1"""
+
+
+@query("src_live_payload", _live_sql())
+def q_src_live_payload(spark, sf_dir):
+    """Current conditions from whole live payloads; a dry hour leaves precipitation out."""
+    o = obs_hourly(load(spark, sf_dir, "events")).withColumn("dewpoint", F.col("humidity") / 10)
+    o = o.withColumn("precipitation", F.when(F.col("precipitation") > 0, F.col("precipitation")))
+    built = payloads.build_live_payloads(o)
+    return payloads.current_conditions(payloads.parse_live_payloads(built)).drop("day", "corrupt")
+
+
 @query("snk_roundtrip", S.with_(S.OBS) + f"SELECT {OBS_COLS} FROM obs")
 def q_snk_roundtrip(spark, sf_dir):
     o = obs_hourly(load(spark, sf_dir, "events"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.quality import normalise_headers
+from ..operators.quality import normalise_headers, nulls_for_nan
 
 # Microsecond timestamps survive a CSV round trip only with an explicit format.
 TS_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
@@ -23,8 +23,8 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def read_csv_typed(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """CSV with a declared schema (no inference pass over the data)."""
-    return (
+    """CSV with a declared schema (no inference pass over the data); NaN is null."""
+    return nulls_for_nan(
         spark.read.option("header", True)
         .option("timestampNTZFormat", TS_FORMAT)
         .schema(schema)
@@ -34,7 +34,7 @@ def read_csv_typed(spark: SparkSession, path: str, schema: T.StructType) -> Data
 
 def read_csv_normalised(spark: SparkSession, path: str, types: dict[str, T.DataType]) -> DataFrame:
     """CSV whose header may be padded or upper-case: names trimmed and
-    lower-cased, then each known column cast to its declared type."""
+    lower-cased, then each known column cast to its declared type; NaN is null."""
     raw = normalise_headers(spark.read.option("header", True).csv(path))
     casts = []
     for c in raw.columns:
@@ -45,7 +45,7 @@ def read_csv_normalised(spark: SparkSession, path: str, types: dict[str, T.DataT
             casts.append(F.col(c).cast(t).alias(c))
         else:
             casts.append(F.col(c))
-    return raw.select(*casts)
+    return nulls_for_nan(raw.select(*casts))
 
 
 def write_partitioned(df: DataFrame, path: str, by: list[str], fmt: str = "parquet") -> None:
@@ -54,8 +54,8 @@ def write_partitioned(df: DataFrame, path: str, by: list[str], fmt: str = "parqu
 
 def read_partitioned(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """One scan over every partition folder (year=/month=/...); filters on the
-    partition columns prune folders."""
-    return spark.read.format(fmt).load(path)
+    partition columns prune folders.  NaN is null."""
+    return nulls_for_nan(spark.read.format(fmt).load(path))
 
 
 def with_year_month(df: DataFrame, ts: str = "valid_time") -> DataFrame:

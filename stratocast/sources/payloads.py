@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schema as K
+from ..functions import units
 from ..schema import KEY, TIME
 
 TIME_FMT = "yyyy-MM-dd'T'HH:mm"
@@ -82,6 +83,68 @@ def parse_hourly_payloads(payloads: DataFrame) -> DataFrame:
     return out.na.drop(subset=[TIME, "temperature", "dewpoint"])
 
 
+# --- the whole live payload: current conditions, hourly history, daily extremes -----
+
+#: Percentages of the current section that become fractions.
+CLOUDS = {"cloud_cover": "total_cloud_cover", "cloud_cover_low": "low_cloud_cover", "cloud_cover_mid": "medium_cloud_cover", "cloud_cover_high": "high_cloud_cover"}
+LIVE_SCHEMA = """current struct<time: string, temperature_2m: double, apparent_temperature: double, surface_pressure: double, precipitation: double,
+dewpoint_2m: double, wind_speed_10m: double, cloud_cover: double, cloud_cover_low: double, cloud_cover_mid: double, cloud_cover_high: double>,
+hourly struct<time: array<string>, temperature_2m: array<double>, dewpoint_2m: array<double>>,
+daily struct<time: array<string>, temperature_2m_min: array<double>, temperature_2m_max: array<double>>, _corrupt string"""
+
+
+def build_live_payloads(series: DataFrame, dew_col: str = "dewpoint") -> DataFrame:
+    """(location, day, payload JSON): the day's hours, its extremes, and its last hour as the current
+    conditions (fields that are null are left out, as a service leaves them out)."""
+    rows = F.array_sort(F.collect_list(F.struct(F.col(TIME).alias("t"), F.col("temperature").alias("temp"), F.col(dew_col).alias("dew"))))
+    values = ["temperature", "surface_pressure", "precipitation", dew_col, "wind_speed", *CLOUDS.values()]
+    last = F.max_by(F.struct(*[F.col(c) for c in values]), F.col(TIME)).alias("last")
+    g = series.groupBy(KEY, F.to_date(F.col(TIME)).alias("day")).agg(rows.alias("r"), last, F.min("temperature").alias("lo"), F.max("temperature").alias("hi"))
+    now = F.struct(
+        F.date_format(F.element_at("r", -1)["t"], TIME_FMT).alias("time"), F.col("last.temperature").alias("temperature_2m"), F.col("last.surface_pressure").alias("surface_pressure"),
+        F.col("last.precipitation").alias("precipitation"), F.col("last")[dew_col].alias("dewpoint_2m"), F.col("last.wind_speed").alias("wind_speed_10m"),
+        *[(F.col("last")[c] * 100).alias(name) for name, c in CLOUDS.items()],
+    )
+    hourly = F.struct(
+        F.transform("r", lambda x: F.date_format(x["t"], TIME_FMT)).alias("time"), F.transform("r", lambda x: x["temp"]).alias("temperature_2m"), F.transform("r", lambda x: x["dew"]).alias("dewpoint_2m")
+    )
+    daily = F.struct(F.array(F.date_format("day", DAY_FMT)).alias("time"), F.array("lo").alias("temperature_2m_min"), F.array("hi").alias("temperature_2m_max"))
+    return g.select(KEY, "day", F.to_json(F.struct(now.alias("current"), hourly.alias("hourly"), daily.alias("daily"))).alias("payload"))
+
+
+def parse_live_payloads(payloads: DataFrame) -> DataFrame:
+    """Payload -> its sections as one nested row; ``corrupt`` has the text of a payload that is no such document."""
+    keep = [c for c in payloads.columns if c != "payload"]
+    j = F.from_json("payload", LIVE_SCHEMA, {"columnNameOfCorruptRecord": "_corrupt"})
+    return payloads.select(*keep, j.alias("j")).select(*keep, "j.current", "j.hourly", "j.daily", F.col("j._corrupt").alias("corrupt"))
+
+
+def current_conditions(parsed: DataFrame) -> DataFrame:
+    """One record per payload: the current section in the library's names and units, the day's extremes, and the
+    hours of history it brings.  Precipitation that the service leaves out is 0, cloud cover comes as a fraction
+    (4 dp), humidity from temperature and dew point; other missing fields are null, a corrupt payload gives a
+    record of nulls with its text."""
+    now, day = F.col("current"), F.col("daily")
+    keep = [c for c in parsed.columns if c not in ("current", "hourly", "daily", "corrupt")]
+    there = now.isNotNull()
+    whole = F.arrays_zip(F.col("hourly.time"), F.col("hourly.temperature_2m"), F.col("hourly.dewpoint_2m"))
+    full = F.filter(whole, lambda h: h["time"].isNotNull() & h["temperature_2m"].isNotNull() & h["dewpoint_2m"].isNotNull())
+    return parsed.select(
+        *keep,
+        F.to_timestamp_ntz(now["time"], F.lit(TIME_FMT)).alias(TIME),
+        now["temperature_2m"].alias("temperature"),
+        now["surface_pressure"].alias("surface_pressure"),
+        F.when(there, F.coalesce(now["precipitation"], F.lit(0.0))).alias("precipitation"),
+        now["wind_speed_10m"].alias("wind_speed"),
+        *[units.percent_to_fraction(now[c]).alias(name) for c, name in CLOUDS.items()],
+        units.relative_humidity(now["temperature_2m"], now["dewpoint_2m"], clip=False).alias("humidity"),
+        F.get(day["temperature_2m_min"], 0).alias("temp_min"),
+        F.get(day["temperature_2m_max"], 0).alias("temp_max"),
+        F.when(there, F.size(full)).alias("hours"),
+        "corrupt",
+    )
+
+
 def build_daily_payloads(daily: DataFrame) -> DataFrame:
     """(location, week, payload JSON) with up to 7 days of parallel arrays."""
     week = F.floor(F.datediff(F.col("day"), F.lit("1970-01-05").cast("date")) / 7).alias("week")
