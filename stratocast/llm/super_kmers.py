@@ -45,9 +45,9 @@ WINDOW = 20
 #: Words of the stretches among which minimisers are chosen.
 M = 4
 #: Bytes of text of one block, and of text per bucket.
-BLOCK, BUCKET = 4 << 20, 8 << 20
+BLOCK, BUCKET = 3 << 20, 4 << 20
 #: Parts of a bucket, by minimiser, that are compared one after another.
-PARTS = 12
+PARTS = 6
 #: Documents of the sample, and the share of them from which a stretch ranks last.
 SAMPLE, COMMON = 4_000, 0.005
 #: Words that a part compares at once, and bytes of messages that are opened once and held.
