@@ -62,6 +62,8 @@ def _dropped(keyed: DataFrame, grouped: DataFrame, group: str, order: list) -> D
     ids = keyed.select(ROW, F.col("doc_id").alias("_id"))
     named = grouped.select(F.col("doc_id").alias(ROW), F.col(group).alias("_group")).join(ids, ROW)
     first = named.groupBy("_group").agg(F.min_by(ROW, F.struct(*order, F.col(ROW))).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    # two written tables in a sort-merge join: the adaptive plan splits a large group
+    named, first = materialize(named, "grouped-rows"), materialize(first, "first-rows").hint("merge")
     return named.join(first, "_group").where(F.col(ROW) != F.col("_first")).select(ROW)
 
 
