@@ -6,19 +6,22 @@ pieces fill sequences depends on their lengths alone, and there are at most
 ``CAPACITY`` different lengths, so the search runs on the histogram of lengths
 (a few KB on the driver, however many documents there are):
 
-* a filling is planned around the largest remaining length.  Candidate fillings
-  take each available second length and go on with the longest that fits;
-  fillings dominated by another (same waste with more, smaller documents; more
-  waste) are left out;
-* a filling is used as often as the counts allow, so a search of a few thousand
-  steps packs any number of documents;
+* a filling is planned around the largest remaining length.  Its candidates take
+  each available second length, the one that promises least waste first, and go on
+  with the longest that fits.  A candidate is left out if another one of the node
+  dominates it in Martello and Toth's sense: the documents of the one can be dealt to
+  those of the other as to bins (tested up to ``DEALT`` documents, and up to ``STEPS``
+  steps; what is not decided stays);
+* a filling is used as often as the counts allow, then half as often, down to once, so a
+  search of a few thousand steps packs any number of documents;
 * best-fit decreasing gives the first incumbent; branches whose waste so far
-  rules out fewer sequences than the incumbent's are cut; the search ends at the
-  lower bound (Martello and Toth's L2) or after ``NODES`` nodes.
+  rules out fewer sequences than the incumbent's are cut; the search goes on depth first,
+  candidates being made as they are asked for, and ends at the lower bound (Martello and
+  Toth's L2), when nothing is left, or after ``NODES`` nodes - then with the incumbent.
 
-Each filling used up empties some length or leaves fewer of it than one filling
-takes, so the plan has at most sum(CAPACITY / l) fillings: its size is bounded by
-the capacity.  On Spark every piece gets its rank among pieces of its length
+Each filling of best fit empties some length or leaves fewer of it than one filling
+takes, so that plan has at most sum(CAPACITY / l) fillings, and one that the search finds
+at most ``NODES``: its size is bounded whatever the input.  On Spark every piece gets its rank among pieces of its length
 (counts by (length, salt) first, so no length is ever one task) and finds its
 sequence and offset in the broadcast plan by binary search.
 
@@ -29,6 +32,7 @@ an empty result; repeated rows are packed each; other columns are ignored.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +46,10 @@ from .registry import id_text, map_arrow
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
 CAPACITY = 2048
-#: Nodes of the search, candidates kept at each.
-NODES, WIDTH = 6_000, 3
+#: Nodes of the search.
+NODES = 6_000
+#: Documents of a filling up to which, and steps within which, it is decided whether it is dominated.
+DEALT, STEPS = 16, 2_000
 #: Pieces of one (length, salt) group on average, if all had one length.
 GROUP = 20_000
 
@@ -64,9 +70,12 @@ def lower_bound(count: np.ndarray, capacity: int) -> int:
     return best
 
 
-def _fit(count: np.ndarray, first: int, capacity: int) -> dict[int, int]:
-    """Best fit around ``first``: always the longest document that still fits."""
+def _fit(count: np.ndarray, first: int, capacity: int, second: int = 0) -> dict[int, int]:
+    """Best fit around ``first`` (and ``second``): always the longest document that still fits."""
     use, gap = {first: 1}, capacity - first
+    if second:
+        use[second] = use.get(second, 0) + 1
+        gap -= second
     while gap > 0:
         free = count[: gap + 1].copy()
         for l, c in use.items():
@@ -82,43 +91,55 @@ def _fit(count: np.ndarray, first: int, capacity: int) -> dict[int, int]:
     return use
 
 
-def fillings(count: np.ndarray, capacity: int, width: int) -> list[dict[int, int]]:
-    """Undominated fillings around the largest length, least waste first; of equal waste the one with fewer documents."""
+def dominates(one: dict[int, int], other: dict[int, int]) -> bool:
+    """Whether the documents of ``other`` can be dealt to those of ``one`` as to bins (so ``one`` leaves no worse a rest)."""
+    bins = sorted((l for l, c in one.items() for _ in range(max(0, c - other.get(l, 0)))), reverse=True)
+    rest = sorted((l for l, c in other.items() for _ in range(max(0, c - one.get(l, 0)))), reverse=True)
+    if sum(rest) > sum(bins) or len(rest) > DEALT:
+        return False
+    steps = STEPS
+
+    def deal(i: int) -> bool:
+        nonlocal steps
+        if i == len(rest):
+            return True
+        tried = set()
+        for k, room in enumerate(bins):
+            if room >= rest[i] and room not in tried and steps > 0:
+                steps -= 1
+                tried.add(room)
+                bins[k] -= rest[i]
+                if deal(i + 1):
+                    return True
+                bins[k] += rest[i]
+        return False
+
+    return deal(0)
+
+
+def fillings(count: np.ndarray, capacity: int, waste: int) -> Iterator[dict[int, int]]:
+    """Undominated fillings around the largest length with at most this waste, made as they are asked for."""
     first = int(np.flatnonzero(count)[-1])
-    found = [_fit(count, first, capacity)]
     gap = capacity - first
     left = count[: gap + 1].copy()
     if first <= gap:
         left[first] -= 1
     there = np.flatnonzero(left > 0)
-    if len(there):
-        longest = np.maximum.accumulate(np.where(left > 0, np.arange(gap + 1), 0))
-        rest, picks = gap - there, [there]
-        while True:
-            nxt = longest[rest]
-            if not nxt.any():
-                break
-            if len(picks) >= 64:  # many tiny documents: best fit does as well
-                break
-            picks.append(nxt)
-            rest = rest - nxt
-        table = np.stack(picks)
-        size = (table > 0).sum(0)
-        seen = set()
-        for j in np.lexsort((size, rest))[: 4 * width]:
-            lengths, n = np.unique(table[:, j][table[:, j] > 0], return_counts=True)
-            use = dict(zip(lengths.tolist(), n.tolist()))
-            use[first] = use.get(first, 0) + 1
-            key = tuple(sorted(use.items()))
-            if key not in seen and all(count[l] >= c for l, c in use.items()):
-                seen.add(key)
-                found.append(use)
-    found.sort(key=lambda u: (capacity - sum(l * c for l, c in u.items()), sum(u.values())))
-    kept: list[dict[int, int]] = []
-    for u in found:
-        if u not in kept and len(kept) < width:
-            kept.append(u)
-    return kept
+    if not len(there):
+        if gap <= waste:
+            yield {first: 1}
+        return
+    # what each second length would leave if no document ran out
+    longest = np.maximum.accumulate(np.where(left > 0, np.arange(gap + 1), 0))
+    rest, size = gap - there, np.ones(len(there), np.int64)
+    while (nxt := longest[rest]).any():
+        rest, size = rest - nxt, size + (nxt > 0)
+    made: list[dict[int, int]] = []
+    for second in there[np.lexsort((-there, size, rest))].tolist():
+        use = _fit(count, first, capacity, second)
+        if capacity - sum(l * c for l, c in use.items()) <= waste and not any(dominates(u, use) for u in made):
+            made.append(use)
+            yield use
 
 
 def best_fit(count: np.ndarray, capacity: int) -> list[Filling]:
@@ -139,27 +160,37 @@ def plan_fillings(count: np.ndarray, capacity: int = CAPACITY, nodes: int = NODE
     bound = lower_bound(count, capacity)
     best = best_fit(count, capacity)
     n_best = sum(t for t, _ in best)
-    stack = [(count, None, 0, 0)]  # counts left, chain of fillings, sequences, waste
+
+    def branches(left: np.ndarray, waste: int) -> Iterator[tuple[int, dict[int, int]]]:
+        for use in fillings(left, capacity, waste):
+            times = min(int(left[l]) // c for l, c in use.items())
+            while times:
+                yield times, use
+                times //= 2
+
+    def allowed(waste: int) -> int:
+        return (n_best - 1) * capacity - total - waste
+
+    # counts left, chain of fillings, sequences, waste, what may come next
+    stack = [(count, None, 0, 0, branches(count, allowed(0)))]
     while stack and nodes > 0 and n_best > bound:
-        left, chain, used, waste = stack.pop()
-        nodes -= 1
-        if waste > (n_best - 1) * capacity - total:
-            continue
+        left, chain, used, waste, more = stack[-1]
         if not left.any():
             best, n_best = [], used
             while chain:
                 best.append(chain[0])
                 chain = chain[1]
+        step = next(more, None) if left.any() and allowed(waste) >= 0 else None
+        if step is None:
+            stack.pop()
             continue
-        for use in reversed(fillings(left, capacity, WIDTH)):
-            times = min(int(left[l]) // c for l, c in use.items())
-            after = left.copy()
-            for l, c in use.items():
-                after[l] -= times * c
-            lost = times * (capacity - sum(l * c for l, c in use.items()))
-            stack.append((after, ((times, use), chain), used + times, waste + lost))
-        if len(stack) > 2_000:  # the oldest alternatives would be reached last
-            del stack[: len(stack) - 2_000]
+        nodes -= 1
+        times, use = step
+        after = left.copy()
+        for l, c in use.items():
+            after[l] -= times * c
+        lost = waste + times * (capacity - sum(l * c for l, c in use.items()))
+        stack.append((after, (step, chain), used + times, lost, branches(after, allowed(lost)) if after.any() else iter(())))
     return best
 
 

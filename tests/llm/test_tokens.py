@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import random
 import zlib
 from collections import Counter
@@ -164,6 +165,23 @@ def test_plan_is_optimal_on_small_cases(seed):
     assert packing.lower_bound(count, 20) <= exhaustive(items, 20)
 
 
+def test_dominated_fillings_are_left_out():
+    count = np.zeros(2049, np.int64)
+    count[[1000, 524, 300, 200, 100]] = [1, 2, 2, 2, 3]
+    assert list(packing.fillings(count, 2048, 2048)) == [{1000: 1, 524: 2}]
+    assert packing.dominates({1000: 1, 524: 2}, {1000: 1, 524: 1, 300: 1, 200: 1}) and packing.dominates({9: 1, 6: 1}, {9: 1, 3: 1, 2: 1})
+    assert not packing.dominates({9: 1, 6: 1}, {9: 1, 5: 1, 2: 1}) and not packing.dominates({9: 1}, {10: 1}) and packing.dominates({7: 2}, {7: 2})
+    rnd = random.Random(5)
+    for _ in range(200):
+        one, other = (Counter(rnd.randrange(1, 9) for _ in range(rnd.randrange(1, 5))) for _ in range(2))
+        bins, rest = list(one.elements()), list(other.elements())
+        deals = any(all(sum(x for x, k in zip(rest, to) if k == b) <= bins[b] for b in range(len(bins))) for to in itertools.product(range(len(bins)), repeat=len(rest)))
+        if packing.dominates(one, other):
+            assert deals
+        elif not one & other:
+            assert not deals  # without documents in common the test is exact
+
+
 def test_plan_of_many_documents_is_near_the_bound():
     rng = np.random.default_rng(2)
     count = np.bincount(np.clip(rng.lognormal(6, 1, 200_000).astype(int) + 1, 1, 2048), minlength=2049)
