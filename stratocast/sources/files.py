@@ -49,7 +49,9 @@ def read_csv_normalised(spark: SparkSession, path: str, types: dict[str, T.DataT
 
 
 def write_partitioned(df: DataFrame, path: str, by: list[str], fmt: str = "parquet") -> None:
-    df.write.mode("overwrite").partitionBy(*by).format(fmt).save(path)
+    """One folder per value of ``by``.  Rows of a folder meet first, else every task would write a file into
+    every folder; folders too large for one task are split among several (by their measured size)."""
+    df.hint("rebalance", *by).write.mode("overwrite").partitionBy(*by).format(fmt).save(path)
 
 
 def read_partitioned(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:

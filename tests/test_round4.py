@@ -1,9 +1,12 @@
 """Fits that end with their scan, even partitions, partitioned sinks of many folders, keyed state without a frame per key."""
 
+import os
+
 from pyspark.ml.classification import GBTClassifier
 from pyspark.sql import functions as F
 
 from stratocast.operators import models
+from stratocast.sources import files
 
 
 def noisy(spark, n):
@@ -51,3 +54,13 @@ def test_training_rows_lie_in_even_partitions(spark, monkeypatch):
 def test_partitions_follow_cores_and_bytes():
     mb = 1 << 20
     assert [models.partitions_for(s * mb, 12) for s in (0, 5, 8, 9, 90, 300, 768, 769, 2000)] == [1, 1, 1, 2, 12, 12, 12, 24, 36]
+
+
+def test_partitioned_sink_writes_a_folder_from_one_task(spark, tmp_path):
+    d = spark.range(4000).select((F.col("id") % 50).alias("k"), F.col("id").alias("v")).repartition(8)
+    d = d.unionByName(spark.createDataFrame([(None, -1)], "k long, v long"))
+    path = str(tmp_path / "p")
+    files.write_partitioned(d, path, ["k"])
+    count = sum(f.endswith(".parquet") for _, _, found in os.walk(path) for f in found)
+    assert count == 51
+    assert sorted(r["v"] for r in files.read_partitioned(spark, path).collect()) == [-1, *range(4000)]
