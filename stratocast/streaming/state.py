@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from datetime import timedelta
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -53,19 +54,28 @@ class RecentRows(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         columns = ["t", "version", *self.values]
-        new = pd.concat([r[columns] for r in rows], ignore_index=True)
-        old = pd.DataFrame(list(self.rows.get()), columns=columns)
-        hours = self.seen.get()[0] if self.seen.exists() else 0
-        hours += new.loc[~new["t"].isin(old["t"]), "t"].nunique()
-        both = pd.concat([old.assign(touched=False), new.assign(touched=True)], ignore_index=True) if len(old) else new.assign(touched=True)
-        touched = set(new["t"])
-        both = both.sort_values(["t", "version"], kind="stable").drop_duplicates("t", keep="last")
-        both["touched"] = both["t"].isin(touched)
-        cells = [tuple(None if pd.isna(v) else float(v) for v in r[2:]) for r in both[columns].tail(self.held).itertuples(index=False, name=None)]
-        heads = both[["t", "version"]].tail(self.held).astype("int64").itertuples(index=False, name=None)
-        self.rows.put([(*h, *c) for h, c in zip(heads, cells)])
-        self.seen.update((int(hours),))
-        yield pd.DataFrame({KEY: pd.Series([key[0]] * len(both), dtype="Int64"), "t": both["t"].astype("int64").to_numpy(), **{v: both[v].astype("float64").to_numpy() for v in self.values}, "touched": both["touched"].to_numpy(), "n_rows": int(hours)})
+        newest = {r[0]: tuple(r) for r in self.rows.get()}
+        before, touched = set(newest), set()
+        # plain tuples: frames would cost more than the few rows of a key in them
+        for frame in rows:
+            for row in zip(*(frame[c].tolist() for c in columns)):
+                t = row[0]
+                touched.add(t)
+                if t not in newest or row[1] >= newest[t][1]:
+                    newest[t] = row
+        hours = int(self.seen.get()[0] if self.seen.exists() else 0) + len(touched - before)
+        both = [newest[t] for t in sorted(newest)]
+        known = lambda v: None if v is None or v != v else float(v)
+        self.rows.put([(int(r[0]), int(r[1]), *map(known, r[2:])) for r in both[-self.held :]])
+        self.seen.update((hours,))
+        t, _, *cells = zip(*both)
+        n, place = len(both), key[0]
+        missing = place is None or place != place
+        yield pd.DataFrame({
+            KEY: pd.array([None] * n, dtype="Int64") if missing else pd.arrays.IntegerArray(np.full(n, place, "int64"), np.zeros(n, "bool")),
+            "t": np.array(t, "int64"), **{v: np.array(c, "float64") for v, c in zip(self.values, cells)},
+            "touched": np.fromiter((x in touched for x in t), "bool", n), "n_rows": np.full(n, hours, "int64"),
+        })
 
     def close(self) -> None:
         pass

@@ -64,3 +64,45 @@ def test_partitioned_sink_writes_a_folder_from_one_task(spark, tmp_path):
     count = sum(f.endswith(".parquet") for _, _, found in os.walk(path) for f in found)
     assert count == 51
     assert sorted(r["v"] for r in files.read_partitioned(spark, path).collect()) == [-1, *range(4000)]
+
+
+class Held:
+    """State of one key, as the processor uses it."""
+
+    def __init__(self):
+        self.value = []
+
+    def get(self):
+        return self.value
+
+    def put(self, rows):
+        self.value = rows
+
+    update = put
+
+    def exists(self):
+        return bool(self.value)
+
+
+def test_keyed_state_keeps_the_newest_version_of_an_hour(monkeypatch):
+    import pandas as pd
+
+    from stratocast.streaming import state
+
+    p = state.RecentRows(["a", "b"], 3, None)
+    p.rows, p.seen = Held(), Held()
+    frame = lambda *rows: pd.DataFrame(rows, columns=["t", "version", "a", "b"])
+    first = [frame((3, 0, 1.0, None), (1, 0, 2.0, 5.0)), frame((3, 0, 7.0, 8.0), (2, 0, 3.0, 1.0), (0, 0, 4.0, 4.0))]
+    out = next(p.handleInputRows((None,), iter(first), None))
+    assert out["t"].tolist() == [0, 1, 2, 3] and out["a"].tolist() == [4.0, 2.0, 3.0, 7.0] and out["location_id"].isna().all()
+    assert out["touched"].all() and set(out["n_rows"]) == {4}
+    assert p.rows.get() == [(1, 0, 2.0, 5.0), (2, 0, 3.0, 1.0), (3, 0, 7.0, 8.0)]
+    # no frame is built of the state: that cost more than the rows
+    real, built = pd.DataFrame, []
+    monkeypatch.setattr(state.pd, "DataFrame", lambda *a, **k: built.append(1) or real(*a, **k))
+    monkeypatch.setattr(state.pd, "concat", None)
+    out = next(p.handleInputRows((9,), iter([real([(4, 1, None, 1.5), (3, 1, 6.0, None), (2, -1, 0.0, 0.0)], columns=["t", "version", "a", "b"])]), None))
+    assert len(built) == 1 and out["location_id"].tolist() == [9] * 4 and set(out["n_rows"]) == {5}
+    assert out["t"].tolist() == [1, 2, 3, 4] and out["touched"].tolist() == [False, True, True, True]
+    assert out["a"].tolist()[:3] == [2.0, 3.0, 6.0] and out["a"].isna().tolist()[3] and out["b"].isna().tolist() == [False, False, True, False]
+    assert p.rows.get() == [(2, 0, 3.0, 1.0), (3, 1, 6.0, None), (4, 1, None, 1.5)]
